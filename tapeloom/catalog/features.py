@@ -275,7 +275,7 @@ def feat21(spark, sf):
 SQL_PROFILE = f"""{SQL_BARS}, {SQL_DIM}, {SQL_SESSION},
 vb AS (SELECT *, row_number() OVER (PARTITION BY ticker, session ORDER BY ts) AS n, min(low) OVER ws AS lo, max(high) OVER ws AS hi, sum(volume) OVER ws AS vsum FROM sess
   WINDOW ws AS (PARTITION BY ticker, session ORDER BY ts)),
-hist AS (SELECT a.ticker, a.ts, a.lo, a.hi, least(floor(((b.high + b.low + b.close) / 3.0::DOUBLE - a.lo) / (a.hi - a.lo) * 24), 23) AS bin, sum(b.volume) AS v
+hist AS (SELECT a.ticker, a.ts, a.lo, a.hi, greatest(0, least(floor(((b.high + b.low + b.close) / 3.0::DOUBLE - a.lo) / (a.hi - a.lo) * 24), 23)) AS bin, sum(b.volume) AS v
   FROM vb a JOIN vb b ON a.ticker = b.ticker AND a.session = b.session AND b.ts <= a.ts WHERE a.n >= 6 AND a.hi > a.lo AND a.vsum > 0 GROUP BY 1, 2, 3, 4, 5),
 ranked AS (SELECT *, row_number() OVER o AS rk, sum(v) OVER (PARTITION BY ticker, ts ORDER BY v DESC, bin ROWS UNBOUNDED PRECEDING) - v AS before, sum(v) OVER (PARTITION BY ticker, ts) AS tot FROM hist
   WINDOW o AS (PARTITION BY ticker, ts ORDER BY v DESC, bin)),

@@ -47,8 +47,13 @@ def rstd(x, w, n, m=None) -> Column:
 
 
 def rmedian(x, w, n, m=None) -> Column:
-    """Exact median of a bounded frame."""
-    return guarded(F.percentile(col(x), F.lit(0.5)), x, trailing(w, n), n if m is None else m)
+    """Exact median of a bounded frame: sorted frame values, middle one or two."""
+    frame = trailing(w, n)
+    values = F.sort_array(F.collect_list(col(x)).over(frame))
+    size = F.count(col(x)).over(frame)
+    low = F.get(values, F.floor((size - 1) / 2).cast("int"))
+    high = F.get(values, F.floor(size / 2).cast("int"))
+    return F.when(size >= (n if m is None else m), low + (high - low) * 0.5)
 
 
 def change(x, w, k: int) -> Column:

@@ -92,11 +92,20 @@ def in_blocks(
     ``fn`` must keep the helper columns (_b, _own, _blk); ``_pos`` is the exact
     0-based row position within the series.
     """
+    d, w = block_frame(df, back=back, ahead=ahead, lay=lay)
+    return finish_blocks(fn(d, w))
+
+
+def block_frame(df: DataFrame, *, back: int = 0, ahead: int = 0, lay: Layout = BARS) -> tuple[DataFrame, WindowSpec]:
+    """The two halves of ``in_blocks`` for callers that need them apart."""
     placed = _placed(df, back, ahead, lay)
     w = Window.partitionBy(*lay.keys, "_blk").orderBy(*lay.sort())
-    placed = placed.withColumn("_pos", F.first("_p0").over(w) + F.row_number().over(w) - 1)
-    out = fn(placed, w).where("_own = _blk")
-    return out.drop("_b", "_p0", "_own", "_blk", "_pos")
+    return placed.withColumn("_pos", F.first("_p0").over(w) + F.row_number().over(w) - 1), w
+
+
+def finish_blocks(d: DataFrame) -> DataFrame:
+    """Drop halo copies and helper columns."""
+    return d.where("_own = _blk").drop("_b", "_p0", "_own", "_blk", "_pos")
 
 
 def _placed(df: DataFrame, back: int, ahead: int, lay: Layout) -> DataFrame:
@@ -107,9 +116,7 @@ def _placed(df: DataFrame, back: int, ahead: int, lay: Layout) -> DataFrame:
 def block_groups(df: DataFrame, *, back: int = 0, ahead: int = 0, lay: Layout = BARS) -> tuple[DataFrame, list[str]]:
     """Rows with their block and halo copies, and the grouping keys: each group is
     bounded by block rows + halo, so it may go to ``applyInPandas``."""
-    placed = _placed(df, back, ahead, lay)
-    w = Window.partitionBy(*lay.keys, "_blk").orderBy(*lay.sort())
-    placed = placed.withColumn("_pos", F.first("_p0").over(w) + F.row_number().over(w) - 1)
+    placed, _ = block_frame(df, back=back, ahead=ahead, lay=lay)
     return placed.withColumn("_halo", F.col("_own") != F.col("_blk")), [*lay.keys, "_blk"]
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import change, clip, guarded, log_return, nz, rmean, rmedian, rstd, rsum, trailing, zero
-from .blocks import BARS, Layout, fill_forward, in_blocks, running, with_position
+from .blocks import BARS, Layout, block_frame, fill_forward, finish_blocks, in_blocks, running, with_position
 from .spread import salted_join
 
 # kernel envelope: lookback bars, bandwidth, band width in deviations
@@ -290,68 +293,53 @@ def structure(df: DataFrame, lay: Layout = BARS) -> DataFrame:
 STEP = 12
 
 
-def step_arrays(df: DataFrame, value: str, window: int, lay: Layout) -> DataFrame:
-    """(keys, step, seg): the last ``window`` values at every 12th bar, as a bounded array.
-
-    Bars are packed 12 to a row first, so the sliding frame holds window/12 packs and
-    is evaluated once per step, not once per bar.
-    """
-    keys = list(lay.keys)
-    packs = df.groupBy(*keys, F.floor(F.col("pos") / STEP).alias("step")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias("_pack"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    k = window // STEP
-    by_step = lay.with_(order=("step",), numeric=True, bucket=4096)
-
-    def frame(d: DataFrame, w: WindowSpec) -> DataFrame:
-        f = trailing(w, k)
-        return d.withColumn("seg", F.when((F.col("_pos") >= k - 1) & (F.col("_n") == STEP), F.flatten(F.collect_list("_pack").over(f))))
-
-    out = in_blocks(packs, frame, back=k, lay=by_step).where(F.col("seg").isNotNull())
-    finite = F.filter("seg", lambda x: x.isNotNull() & ~F.isnan(x))
-    return out.select(*keys, "step", finite.alias("seg"))
-
-
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+def step_segment(w: WindowSpec, value: str, window: int) -> Column:
+    """The last ``window`` non-null values at every 12th bar; null on the bars between."""
+    at_step = (F.pmod(F.col("_pos"), F.lit(STEP)) == STEP - 1) & (F.col("_pos") >= window - 1)
+    return F.when(at_step, F.collect_list(value).over(trailing(w, window)))
 
 
 def hurst_from(seg: Column) -> Column:
-    """Rescaled range exponent of one array."""
-    n = F.size(seg)
-    mean = _mean(seg)
-    zero_ = F.struct(F.lit(0.0).alias("y"), F.lit(-1e300).alias("hi"), F.lit(1e300).alias("lo"), F.lit(0.0).alias("ss"))
-
-    def step(acc: Column, x: Column) -> Column:
-        y = acc["y"] + x
-        return F.struct(y.alias("y"), F.greatest(acc["hi"], y).alias("hi"), F.least(acc["lo"], y).alias("lo"), (acc["ss"] + x * x).alias("ss"))
+    """Rescaled range exponent of one array: one pass for the mean, which the second
+    pass carries in its state so that it is worked out once."""
+    d = lambda x: F.lit(float(x))
+    mean = F.aggregate(seg, d(0), lambda s, x: s + x) / F.size(seg)
+    start = F.struct(
+        mean.alias("m"), F.size(seg).cast("double").alias("n"), d(0).alias("y"), d(-1e300).alias("hi"), d(1e300).alias("lo"), d(0).alias("ss")
+    )
 
-    stats = F.aggregate(F.transform(seg, lambda x: x - mean), zero_, step)
-    span, sd = stats["hi"] - stats["lo"], F.sqrt(stats["ss"] / (n - 1))
-    ok = (n >= 32) & (sd >= 1e-12) & (span > 0)
-    return F.when(ok, F.ln(span / sd) / F.ln(n.cast("double")))
+    def step(a: Column, x: Column) -> Column:
+        e = x - a["m"]
+        y = a["y"] + e
+        return F.struct(
+            a["m"].alias("m"), a["n"].alias("n"), y.alias("y"),
+            F.greatest(a["hi"], y).alias("hi"), F.least(a["lo"], y).alias("lo"), (a["ss"] + e * e).alias("ss"),
+        )
 
+    def finish(a: Column) -> Column:
+        sd = F.sqrt(a["ss"] / (a["n"] - 1))
+        span = a["hi"] - a["lo"]
+        return F.when((a["n"] >= 32) & (sd >= 1e-12) & (span > 0), F.ln(span / sd) / F.ln(a["n"]))
 
-def hold_steps(df: DataFrame, steps: DataFrame, cols: list[str], lay: Layout) -> DataFrame:
-    """Bars with the value of the last finished step; bar 12k+11 .. 12k+22 take step k."""
-    d = df.withColumn("step", F.floor((F.col("pos") - (STEP - 1)) / STEP))
-    return d.join(steps.select(*lay.keys, "step", *cols), [*lay.keys, "step"], "left").drop("step")
+    return F.aggregate(seg, start, step, finish)
 
 
 def hurst(df: DataFrame, window: int = 192, lay: Layout = BARS) -> DataFrame:
-    d = in_blocks(df, lambda x, w: x.withColumns({"pos": F.col("_pos"), "_r": change("close", w, 1)}), back=1, lay=lay)
-    steps = step_arrays(d, "_r", window, lay).withColumn("seg", F.array_compact("seg")).withColumn("hurst_rs", hurst_from(F.col("seg"))).drop("seg")
-    steps = fill_forward(steps, ["hurst_rs"], lay.with_(order=("step",), numeric=True, bucket=4096))
-    return hold_steps(d, steps, ["hurst_rs"], lay).drop("_r", "pos")
+    """Exponent at every 12th bar, then held; a step that cannot be computed keeps the
+    last computed value."""
+
+    def stage(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_r", change("close", w, 1))
+        d = d.withColumn("_seg", step_segment(w, "_r", window))
+        return d.withColumn("hurst_rs", F.when(F.col("_seg").isNotNull(), hurst_from(F.col("_seg")))).drop("_r", "_seg")
+
+    return fill_forward(in_blocks(df, stage, back=window + 1, lay=lay), ["hurst_rs"], lay)
 
 
 SPECTRAL = "struct<spec_dominant_period:double,spec_entropy:double,spec_low_high_ratio:double>"
 
 
 def _spectrum(x):
-    import numpy as np
-
     n = len(x)
     if n < 16 or np.std(x) < 1e-12:
         return None
@@ -369,18 +357,37 @@ def _spectrum(x):
 def spectral(df: DataFrame, window: int = 96, lay: Layout = BARS) -> DataFrame:
     """Dominant period, spectral entropy and low/high power, from Arrow batches of
     bounded arrays (one per 12 bars)."""
-    import pandas as pd
-
     @F.pandas_udf(SPECTRAL)
     def spectrum(seg: pd.Series) -> pd.DataFrame:
-        rows = [_spectrum(s) or (None, None, None) for s in seg]
+        rows = [(_spectrum(s) if s is not None else None) or (None, None, None) for s in seg]
         return pd.DataFrame(rows, columns=["spec_dominant_period", "spec_entropy", "spec_low_high_ratio"], dtype="float64")
 
     names = ["spec_dominant_period", "spec_entropy", "spec_low_high_ratio"]
-    d = in_blocks(df, lambda x, w: x.withColumns({"pos": F.col("_pos"), "_r": change("close", w, 1)}), back=1, lay=lay)
-    steps = step_arrays(d, "_r", window, lay).withColumn("_s", spectrum("seg")).select(*lay.keys, "step", "_s.*")
-    clean = steps.select(*lay.keys, "step", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
-    return hold_steps(d, clean, names, lay).drop("_r", "pos")
+
+    def segments(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_r", change("close", w, 1))
+        return d.withColumn("_seg", step_segment(w, "_r", window)).drop("_r")
+
+    d, w = block_frame(df, back=window + 2 * STEP, lay=lay)
+    d = segments(d, w)
+    # only the step rows carry an array to Python, one value per array comes back
+    d = d.withColumn("_s", spectrum("_seg"))
+    hold = w.rowsBetween(-(STEP - 1), 0)
+    live = F.when(F.col("_seg").isNotNull(), F.struct(*[F.nanvl(f"_s.{c}", F.lit(None)).alias(c) for c in names]))
+    d = d.withColumn("_h", F.last(live, ignorenulls=True).over(hold))
+    return finish_blocks(d).select(*df.columns, *[F.col(f"_h.{c}").alias(c) for c in names])
+
+
+def block_median(d: DataFrame, x: str, name: str, n: int, m: int, keys: tuple[str, ...] = ("ticker",), order: str = "ts") -> DataFrame:
+    """Long rolling median inside a block (skip list, n log n in all); the group is the
+    block, so it is bounded, and the block shuffle is reused."""
+    schema = T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pdf.assign(**{name: pdf[x].rolling(n, min_periods=m).median()})
+
+    return d.groupBy(*keys, "_blk").applyInPandas(fn, schema)
 
 
 def conditional_vol(d: DataFrame, w: WindowSpec) -> DataFrame:
@@ -398,8 +405,6 @@ BINS, VALUE_AREA, MIN_PROFILE_BARS = 24, 0.70, 6
 
 def _profile_levels(lo, hi, close, typical, vol):
     """Point of control and value area at every bar of one session, bars so far included."""
-    import numpy as np
-
     run_lo, run_hi = np.minimum.accumulate(lo), np.maximum.accumulate(hi)
     levels = np.repeat(np.asarray(close, dtype=float)[:, None], 3, axis=1)
     for j in range(MIN_PROFILE_BARS - 1, len(close)):
@@ -421,9 +426,6 @@ def _profile_levels(lo, hi, close, typical, vol):
 def volume_profile(df: DataFrame) -> DataFrame:
     """Session-expanding profile.  One row per session carries its bars as a bounded
     array; Arrow batches of sessions go through one vectorised function."""
-    import numpy as np
-    import pandas as pd
-
     level = "array<struct<vp_poc:double,vp_vah:double,vp_val:double>>"
 
     @F.pandas_udf(level)
@@ -492,7 +494,8 @@ def factors(d: DataFrame, w: WindowSpec, *, vol: int = 20, trend: int = 252, ski
             "risk_on": F.coalesce(F.col("close") > rmean("close", w, sma), F.lit(False)),
         }
     )
-    return d.withColumn("vol_ratio", F.col("ann_vol") / nz(rmedian("ann_vol", w, med, trend)))
+    d = block_median(d, "ann_vol", "_med", med, trend)
+    return d.withColumn("vol_ratio", F.col("ann_vol") / nz("_med")).drop("_med")
 
 
 FACTORS_BACK = 1260 + 20 + 1
@@ -511,7 +514,8 @@ def bar_observations(d: DataFrame, w: WindowSpec, *, hour: int = 12, day: int =
             "trend_z": (F.col("_mu") - rmean("_mu", w, day, hour)) / nz(rstd("_mu", w, day, hour)),
         }
     )
-    d = d.withColumn("vol_ratio", F.col("_vol") / nz(rmedian("_vol", w, day, max(hour, day // 4))))
+    d = block_median(d, "_vol", "_med", day, max(hour, day // 4))
+    d = d.withColumn("vol_ratio", F.col("_vol") / nz("_med")).drop("_med")
     z = (F.col("vol_ratio") - rmean("vol_ratio", w, hour, rolling_min)) / nz(rstd("vol_ratio", w, hour, rolling_min))
     d = d.withColumn("vol_z", z)
     return d.drop("_mu", "_sd", "_vol")
@@ -533,7 +537,8 @@ def period_features(closes: DataFrame, lay: Layout = BARS) -> DataFrame:
     def first(d, w):
         d = d.withColumn("log_ret", log_return("close", w))
         d = d.withColumn("_vol", rstd("log_ret", w, 20) * math.sqrt(365))
-        return d.withColumn("vol_ratio", F.col("_vol") / nz(rmedian("_vol", w, 252, 20))).drop("_vol")
+        d = block_median(d, "_vol", "_med", 252, 20)
+        return d.withColumn("vol_ratio", F.col("_vol") / nz("_med")).drop("_vol", "_med")
 
     d = in_blocks(closes, first, back=252 + 22, lay=lay).where(F.col("log_ret").isNotNull() & F.col("vol_ratio").isNotNull())
     d = in_blocks(d, rolling_z, back=12, lay=lay)
