@@ -3,5 +3,6 @@
 from .base import ORACLE, QUERIES
 from . import bars as _bars  # noqa: F401
 from . import features as _features  # noqa: F401
+from . import audits as _audits  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
