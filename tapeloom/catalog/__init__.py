@@ -5,5 +5,6 @@ from . import bars as _bars  # noqa: F401
 from . import features as _features  # noqa: F401
 from . import audits as _audits  # noqa: F401
 from . import labels as _labels  # noqa: F401
+from . import scores as _scores  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -38,7 +38,7 @@ def min_edge(requested, floor, calibrated=None, *, fallback: float = 0.0, cap: f
     if fallback > 0:
         out = F.greatest(out, F.lit(min(fallback, cap)))
     if calibrated is not None:
-        out = F.greatest(out, F.least(c(calibrated), F.lit(cap)))  # greatest skips a null
+        out = F.greatest(out, F.when(c(calibrated).isNotNull(), F.least(c(calibrated), F.lit(cap))))
     return F.least(out, F.lit(cap))
 
 
@@ -340,7 +340,7 @@ def rule_move(vol, bars: int, per_year: float = 252.0) -> Column:
 
 def stop_probability(prev: str = "p_imp_prev") -> Column:
     i, m, s = F.col("p_imp"), F.col("p_mr"), F.col("p_st")
-    p = m + 0.12 * s + F.greatest(F.lit(0.0), 0.38 - i) + zero(0.45 * F.greatest(F.lit(0.0), F.col(prev) - i) + 0 * F.col(prev))
+    p = m + 0.12 * s + F.greatest(F.lit(0.0), 0.38 - i) + zero(F.when(F.col(prev).isNotNull(), 0.45 * F.greatest(F.lit(0.0), F.col(prev) - i)))
     return clip(p, 0, 1)
 
 
