@@ -17,6 +17,11 @@ def clip(x: str | Column, lo: float | Column, hi: float | Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(lo_, F.least(hi_, x)))
 
 
+def bound(x: str | Column, lo: float, hi: float) -> Column:
+    """Clip of a value that is never null (scores, probabilities); half the expression."""
+    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), col(x)))
+
+
 def nz(x: str | Column) -> Column:
     """Zero becomes null, for divisors."""
     return F.nullif(col(x), F.lit(0.0))

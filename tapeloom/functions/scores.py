@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EXITS, Exits
-from .frames import clip, nz, zero
+from .frames import bound, clip, nz, zero
 
 EDGE_CAP_BPS, EDGE_BUFFER_BPS = 60.0, 2.0
 
@@ -95,17 +95,19 @@ def bands(buy, hold=None, lo: float = 51.0, hi: float = 58.0) -> dict[str, Colum
     return {"buy_threshold": b, "sell_threshold": s, "hold_threshold": h}
 
 
-def conviction_edge(p, base=0.5) -> Column:
-    b = clip(c(base), 1e-6, 1 - 1e-6)
-    return F.greatest(F.lit(0.0), (clip(c(p), 1e-6, 1 - 1e-6) - b) / F.greatest(1 - b, F.lit(1e-6)))
+def conviction_edge(p, base: float = 0.5) -> Column:
+    """Share of the way from the base rate to certainty; probabilities are never null
+    (a missing model scores 0.5)."""
+    b = min(max(base, 1e-6), 1 - 1e-6)
+    return F.greatest(F.lit(0.0), (bound(c(p), 1e-6, 1 - 1e-6) - b) / max(1 - b, 1e-6))
 
 
 def signed_score(df: DataFrame, impulse: str = "impulse", buy: float = 55.0, move: float | str = 20.0, least_lead: float = 0.01) -> DataFrame:
     """Signed 0..100 score, side and expected edge from two probabilities and the impulse."""
-    d = df.withColumns({"long_edge": conviction_edge("proba"), "short_edge": conviction_edge("proba_short"), "_imp": clip(impulse, 0, 1.5)})
+    d = df.withColumns({"long_edge": conviction_edge("proba"), "short_edge": conviction_edge("proba_short"), "_imp": bound(impulse, 0, 1.5)})
     l, s, imp = F.col("long_edge"), F.col("short_edge"), F.col("_imp")
     boost = 0.5 + 0.5 * F.least(imp, F.lit(1.0))
-    d = d.withColumn("score", clip(50 + (l - s) / F.greatest(l + s, F.lit(1e-6)) * 50 * boost, 0, 100))
+    d = d.withColumn("score", bound(50 + (l - s) / F.greatest(l + s, F.lit(1e-6)) * 50 * boost, 0, 100))
     b = bands(buy)
     side = F.when((s >= l + least_lead) & (F.col("score") <= b["sell_threshold"]), -1).when((l >= s + least_lead) & (F.col("score") >= b["buy_threshold"]), 1).otherwise(0)
     return d.withColumns({"position_side": side, "expected_edge_bps": (l - s) * c(move) * (0.5 + imp)}).drop("_imp")
@@ -131,13 +133,13 @@ def impulse_strength(df: DataFrame, w: dict[str, float] = IMPULSE_WEIGHTS, name:
 
 
 def entry_score(p="proba", impulse="impulse") -> Column:
-    boost = 0.5 + 0.5 * F.least(clip(impulse, 0, 1.5), F.lit(1.0))
-    return clip((50 + 50 * clip(p, 0, 1)) * boost, 0, 100)
+    boost = 0.5 + 0.5 * F.least(bound(impulse, 0, 1.5), F.lit(1.0))
+    return bound((50 + 50 * bound(p, 0, 1)) * boost, 0, 100)
 
 
-def expected_edge(p="proba", impulse="impulse", move=20.0, base=0.5) -> Column:
-    b = clip(c(base), 1e-6, 1 - 1e-6)
-    return (c(p) - b) / F.greatest(1 - b, F.lit(1e-6)) * c(move) * (0.5 + clip(impulse, 0, 1.5))
+def expected_edge(p="proba", impulse="impulse", move=20.0, base: float = 0.5) -> Column:
+    b = min(max(base, 1e-6), 1 - 1e-6)
+    return (c(p) - b) / max(1 - b, 1e-6) * c(move) * (0.5 + bound(impulse, 0, 1.5))
 
 
 def expected_move(hold: int, base: float = 20.0, ref: int = 12) -> float:
@@ -145,7 +147,7 @@ def expected_move(hold: int, base: float = 20.0, ref: int = 12) -> float:
 
 
 def gain_score(p="proba", gain: float = 100.0) -> Column:
-    return clip(50 + (c(p) - 0.5) * gain, 0, 100)
+    return bound(50 + (c(p) - 0.5) * gain, 0, 100)
 
 
 def direction(long_="proba", short="proba_short", base: float = 0.5, least: float = 0.05) -> Column:

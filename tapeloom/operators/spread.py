@@ -30,20 +30,14 @@ def value_positions(df: DataFrame, keys: list[str], value: str, pieces: int = 64
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*k, value).agg(F.count(F.lit(1)).alias("cnt"))
     points = [i / pieces for i in range(1, pieces)]
-    cuts = counts.groupBy(*k).agg(F.percentile_approx(value, points, 1000).alias("_cuts"))
+    # taking the total here too keeps both uses of ``counts`` on one shuffle
+    cuts = counts.groupBy(*k).agg(F.percentile_approx(value, points, 1000).alias("_cuts"), F.sum("cnt").alias("total"))
     tagged = salted_join(counts, cuts, k).withColumn(
         "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
+    before = Window.partitionBy(*k).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces_ = tagged.groupBy(*k, "_piece").agg(F.sum("cnt").alias("_n"))
-    by_key = Window.partitionBy(*k)
-    pieces_ = pieces_.select(
-        *k,
-        "_piece",
-        F.coalesce(
-            F.sum("_n").over(by_key.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-        F.sum("_n").over(by_key).alias("total"),
-    )
+    pieces_ = pieces_.select(*k, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*k, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = tagged.join(pieces_, [*k, "_piece"]).withColumn(
         "before", F.col("_off") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))

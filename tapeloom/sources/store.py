@@ -84,3 +84,14 @@ def load_plan(df: DataFrame, start: str, end: str, chunk_days: int) -> DataFrame
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    The table goes to the shared folder, so a lost executor costs nothing, the plan
+    behind it is not repeated per reader, and readers get real sizes and pruned columns.
+    """
+    path = f"{scratch(df.sparkSession)}/stage"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
