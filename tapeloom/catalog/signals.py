@@ -191,9 +191,9 @@ def sig05(spark, sf):
 ACTIVE = f"({EDGE_OK} AND impulse >= 0.02 AND {SIDE_OK})"
 
 
-@query("sig06_active_entries", f"WITH {SQL_PANEL} SELECT ticker, ts, {r('edge')} AS expected_edge_bps FROM panel WHERE {ACTIVE}")
+@query("sig06_active_entries", f"WITH {SQL_PANEL} SELECT ticker, ts, {r('edge')} AS expected_edge_bps, {ACTIVE} AS active FROM panel")
 def sig06(spark, sf):
-    return out(G.active_entries(panel(spark, sf)).where("active"), K, ["expected_edge_bps"])
+    return out(G.active_entries(panel(spark, sf)), [*K, "active"], ["expected_edge_bps"])
 
 
 @query(

@@ -12,7 +12,7 @@ from ..functions.frames import clip, nz, zero
 from ..functions.regimes import dominant
 from .blocks import BARS, Layout, in_blocks, running
 from .labels import first_hit, path
-from ..sources.store import stage
+from ..sources.store import stage as written
 from .spread import quantiles, salted_join
 
 BPS = 10_000.0
@@ -156,7 +156,7 @@ def deoverlap(signals: DataFrame, keys: list[str], max_h: int, *, pos: str = "gp
     sup = block * fan
     d = signals.withColumns({"_h": F.greatest(F.lit(1), F.col(horizon).cast("bigint")), "_p": F.col(pos).cast("bigint")})
     d = d.withColumn("_h", F.when(F.assert_true(F.col("_h") <= max_h, F.lit("horizon above max_h")).isNull(), F.col("_h")))
-    d = stage(d.withColumns({"_blk": F.floor(F.col("_p") / block), "_sup": F.floor(F.col("_p") / sup)}))
+    d = written(d.withColumns({"_blk": F.floor(F.col("_p") / block), "_sup": F.floor(F.col("_p") / sup)}))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in signals.select(*k).schema)
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -323,7 +323,7 @@ def weight_changes(weights: DataFrame, lay: Layout = BARS) -> DataFrame:
 
     A name missing on the next date leaves there; no full grid is built.
     """
-    weights = stage(weights.select("ts", "ticker", "weight"))
+    weights = written(weights.select("ts", "ticker", "weight"))
     dates = in_blocks(weights.select("ts").distinct(), lambda d, w: d.withColumn("idx", F.col("_pos")), lay=lay.with_(keys=(), order=("ts",)))
     w = weights.select("ts", "ticker", "weight").join(dates, "ts")
 

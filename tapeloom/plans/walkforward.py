@@ -23,3 +23,121 @@ def fold_slice_report(df: DataFrame, *, min_rows: int = 100) -> DataFrame:
     g = g.withColumn("bottleneck", audits.bottleneck("train_net", "test_net", "test_gross", "_rt", "_fl"))
     worst = g.where(F.col("test_net").isNotNull()).agg(F.min_by("ticker", F.struct("test_net", "ticker")))
     return g.withColumn("is_worst", F.col("ticker") == worst.scalar()).drop("_rt", "_fl")
+
+
+def windows(df: DataFrame, *, train_days: int, years: int, test_months: int) -> DataFrame:
+    """Calendar folds (fold, train_start, train_end, test_start, test_end), half-open.
+
+    The first test month is the later of the last date minus ``years`` and the first
+    date plus the training length, at a month start.
+    """
+    lim = df.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    earliest = F.date_add(lo, train_days)
+    start = F.trunc(F.greatest(F.add_months(hi, -12 * years), earliest), "MM")
+    start = F.when(start < earliest, F.add_months(start, 1)).otherwise(start)
+    stop = F.date_add(hi, 1)
+    d = lim.select("lo", "hi", start.alias("_s"), stop.alias("_e")).where("_s < _e")
+    d = d.select("lo", "_e", F.explode(F.sequence("_s", F.date_sub("_e", 1), F.expr(f"interval {int(test_months)} months"))).alias("test_start"))
+    d = d.select(
+        F.date_sub("test_start", train_days).alias("train_start"), F.col("test_start").alias("train_end"), "test_start",
+        F.least(F.add_months("test_start", test_months), F.col("_e")).alias("test_end"), "lo",
+    ).where((F.col("train_start") >= F.col("lo")) & (F.col("test_end") > F.col("test_start"))).drop("lo")
+    return d.select((F.row_number().over(Window.orderBy("test_start")) - 1).cast("bigint").alias("fold"), "*")  # one row per fold
+
+
+def rows_of_windows(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows of every window they fall in, with fold and role.
+
+    A window is spelled out by the months it touches, so this is an equi-join on the
+    month with a time filter, not a comparison of every row with every window.
+    """
+    span = lambda role: folds.select("fold", F.lit(role).alias("role"), F.col(f"{role}_start").alias("_s"), F.col(f"{role}_end").alias("_e"))
+    w = span("train").unionByName(span("test"))
+    w = w.withColumn("_m", F.explode(F.sequence(F.trunc("_s", "MM"), F.trunc(F.date_sub("_e", 1), "MM"), F.expr("interval 1 month"))))
+    d = df.withColumn("_m", F.trunc("ts", "MM")).join(w, "_m")
+    day = F.to_date("ts")
+    return d.where((day >= F.col("_s")) & (day < F.col("_e"))).drop("_m", "_s", "_e")
+
+
+def before_first_test(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows strictly before the first test day."""
+    return df.where(F.to_date("ts") < folds.agg(F.min("test_start")).scalar())
+
+
+def session_folds(sessions: DataFrame, k: int = 4, purge: int = 1) -> DataFrame:
+    """(session, fold, role): k chronological test blocks, training without the purged band.
+
+    ``sessions`` holds distinct session values; with under 2k of them there is one split
+    at the middle.
+    """
+    w = Window.orderBy("session")  # one row per trading day
+    d = sessions.select("session").distinct().withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
+    d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    few = F.col("_n") < 2 * k
+    mid = F.floor(F.col("_n") / 2)
+    start = F.when(few, mid).otherwise(F.col("fold") * size)
+    end = F.when(few | (F.col("fold") == k - 1), F.col("_n")).otherwise(F.least((F.col("fold") + 1) * size, F.col("_n")))
+    i = F.col("_i")
+    test = F.when(few, i >= F.least(mid + purge, F.col("_n"))).otherwise((i >= start) & (i < end))
+    train = F.when(few, i < F.greatest(F.lit(0), mid - purge)).otherwise((i < start - purge) | (i >= end + purge))
+    role = F.when(test, "test").when(train, "train")
+    d = d.withColumn("role", role).where(F.col("role").isNotNull() & (~few | (F.col("fold") == 0)))
+    return d.select("session", F.col("fold").cast("bigint").alias("fold"), "role")
+
+
+def embargo(df: DataFrame, test_start: Column, horizon_bars: int, bar_minutes: int = 5) -> DataFrame:
+    """Rows whose forward label ends before the test window starts."""
+    return df.where(F.col("ts") < test_start - F.expr(f"interval {int(horizon_bars) * int(bar_minutes)} minutes"))
+
+
+def fit_calibration(df: DataFrame, *, test_start: Column, horizon_bars: int, bar_minutes: int, frac: float, purge: int = 1) -> DataFrame:
+    """Embargoed rows with role fit or calibrate: last sessions purged, then a cut by time order.
+
+    The cut row comes from exact positions, so nothing is sorted in one task.
+    """
+    d = embargo(df, test_start, horizon_bars, bar_minutes).withColumn("_s", F.to_date("ts"))
+    days = d.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(F.col("_s").desc())  # one row per trading day
+    keep = days.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > purge).drop("_r")
+    cum = keep.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = keep.agg(F.sum("_n")).scalar()
+    inside = Window.partitionBy("_s").orderBy("ts", "ticker")  # rows of one day
+    d = d.join(cum.select("_s", "_before"), "_s").withColumn("_p", F.col("_before") + F.row_number().over(inside))
+    cut = F.greatest(F.lit(1), F.floor(total * (1 - min(max(frac, 0.0), 0.4))))
+    return d.withColumn("role", F.when(F.col("_p") <= cut, "fit").otherwise("calibrate")).drop("_s", "_before", "_p")
+
+
+def expanding_splits(df: DataFrame, folds: int, lay: Layout) -> DataFrame:
+    """Rows of each series with (split, role): growing training part, next block as validation.
+
+    Series with under 60 rows, or blocks under 20, get one 70/30 split.
+    """
+    keys = list(lay.keys)
+    d = with_position(df, "_p", lay)
+    d = salted_join(d, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    n, p = F.col("_n"), F.col("_p")
+    block = F.floor(n / (folds + 1))
+    single = (n < 60) | (block < 20)
+    d = d.withColumn("split", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(folds - 1)))))
+    i = F.col("split")
+    lo = F.when(single, F.greatest(F.lit(1), F.floor(n * 0.7))).otherwise(block * (i + 1))
+    hi = F.when(single | (i == folds - 1), n).otherwise(block * (i + 2))
+    usable = single | ((hi - lo >= 15) & (lo >= 30))
+    role = F.when(p < lo, "train").when(p < hi, "validate")
+    return d.withColumn("role", role).where(F.col("role").isNotNull() & usable).drop("_p", "_n")
+
+
+def quantile_split(df: DataFrame, frac: float = 0.7) -> DataFrame:
+    """Role by the time quantile: at or before it train, after it test."""
+    t = df.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    cut = quantiles(t, [], "_t", {"q": frac})
+    return t.withColumn("role", F.when(F.col("_t") <= cut.scalar(), "train").otherwise("test")).drop("_t")
+
+
+def fold_benchmarks(folds: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per fold: each ticker's buy-and-hold over the test window, averaged."""
+    d = rows_of_windows(prices, folds).where(F.col("role") == "test")
+    g = d.groupBy("fold", "ticker").agg(F.min_by("close", "ts").alias("_a"), F.max_by("close", "ts").alias("_b"))
+    return g.groupBy("fold").agg(F.avg(F.col("_b") / F.col("_a") - 1).alias("bench_ret"), F.count(F.lit(1)).alias("n_tickers"))
