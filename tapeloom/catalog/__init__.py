@@ -8,5 +8,6 @@ from . import labels as _labels  # noqa: F401
 from . import scores as _scores  # noqa: F401
 from . import signals as _signals  # noqa: F401
 from . import portfolio as _portfolio  # noqa: F401
+from . import models as _models  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -209,8 +209,8 @@ def sig07(spark, sf):
     return out(g.withColumns({"capped_edge": G.capped_edge(F.lit(25.0), F.col("fl")), "edge_lo": lo, "edge_hi": hi}), ["asset_class"], ["max_edge", "q_edge", "capped_edge", "edge_lo", "edge_hi"], ["n"])
 
 
-SQL_SF = """sf0 AS (SELECT *, greatest(0, least(100, 50 + (proba - 0.5) * 100)) AS score, 55.0 AS buy_threshold, 45.0 AS sell_threshold, 45.0 + 2 * commission_bps + 1.5 AS thr FROM scored),
-sf1 AS (SELECT *, greatest(least(greatest(thr, 45), 90), 45) AS take_profit_bps, 45.0 AS sl FROM sf0),
+SQL_SF = """sf0 AS (SELECT *, greatest(0, least(100, 50 + (proba - 0.5) * 100)) AS score, 55.0 AS buy_threshold, 45.0 AS sell_threshold, CAST(45.0 + 2 * commission_bps + 1.5 AS DOUBLE) AS thr FROM scored),
+sf1 AS (SELECT *, greatest(least(greatest(thr, 45), 90), 45) AS take_profit_bps, 45.0::DOUBLE AS sl FROM sf0),
 sigframe AS (SELECT *, greatest(12, sl * least(CASE WHEN p_st >= 0.35 THEN 0.70 ELSE 1 END, CASE WHEN vol_ann >= 0.22 THEN 0.80 ELSE 1 END, CASE WHEN vol_ratio >= 1.35 THEN 0.85 ELSE 1 END)) AS stop_loss_bps,
   CASE WHEN score <= 0 THEN 0 WHEN score >= 55 THEN 1 WHEN score <= 45 THEN -1 ELSE 0 END AS position_side FROM sf1)"""
 
@@ -345,9 +345,9 @@ def sig18(spark, sf):
 @query(
     "sig19_first_exits",
     f"""WITH {SQL_SCORED}, {SQL_SF}, p AS (SELECT *, list_transform(coalesce(list(close) OVER {fut(12)}, []), lambda x: (x / close - 1) * CASE WHEN position_side < 0 THEN -1 ELSE 1 END) AS p FROM sigframe),
-h AS (SELECT *, len(p) AS n, nullif(list_position(list_transform(p, lambda x: x >= take_profit_bps / 10000), true), 0) AS tp, nullif(list_position(list_transform(p, lambda x: x <= -stop_loss_bps / 10000), true), 0) AS sl FROM p WHERE position_side <> 0),
-e AS (SELECT *, CAST(least(coalesce(tp, n), coalesce(sl, n), n) AS BIGINT) AS b FROM h WHERE n > 0)
-SELECT ticker, ts, CAST(b AS BIGINT) AS exit_bar, CASE WHEN sl = b THEN 'stop' WHEN tp = b THEN 'take_profit' WHEN n < 12 THEN 'open' ELSE 'horizon' END AS exit_reason, {r('p[b]')} AS exit_ret FROM e""",
+h AS (SELECT *, len(p) AS n, nullif(list_position(list_transform(p, lambda x: x >= take_profit_bps / 10000), true), 0) AS tpos, nullif(list_position(list_transform(p, lambda x: x <= -stop_loss_bps / 10000), true), 0) AS spos FROM p WHERE position_side <> 0),
+e AS (SELECT *, CAST(least(coalesce(tpos, n), coalesce(spos, n), n) AS BIGINT) AS b FROM h WHERE n > 0)
+SELECT ticker, ts, CAST(b AS BIGINT) AS exit_bar, CASE WHEN spos = b THEN 'stop' WHEN tpos = b THEN 'take_profit' WHEN n < 12 THEN 'open' ELSE 'horizon' END AS exit_reason, {r('p[b]')} AS exit_ret FROM e""",
 )
 def sig19(spark, sf):
     d = G.first_exits(signal_frame(spark, sf).withColumn("entry", F.col("position_side") != 0), 12, DAILY)
