@@ -13,7 +13,8 @@ from ..operators.spread import salted_join
 from .bars import SQL_FLOWED, flowed
 from .base import DAILY, INTRADAY, SQL_BARS, SQL_DAILY, W, bars, daily, out, query, r, rnd, sel, table
 from .features import SQL_GRID, SQL_RETS
-from .scored import SQL_SCORED, scored
+from ..sources.store import stage
+from .scored import SQL_SCORED, scored, stored
 
 K = ["ticker", "ts"]
 
@@ -41,7 +42,7 @@ def rank01(spark, sf):
 SELECT ticker, {r('CASE WHEN count(*) >= 6 THEN corr(rx, ry) ELSE 0 END')} AS ic, count(*) AS n FROM d GROUP BY 1""",
 )
 def rank02(spark, sf):
-    return out(E.spearman(scored(spark, sf), ["ticker"], "proba", "fwd_ret"), ["ticker"], ["ic"], ["n"])
+    return out(E.spearman(stored(spark, sf), ["ticker"], "proba", "fwd_ret"), ["ticker"], ["ic"], ["n"])
 
 
 def sql_bins(src: str, key: str = "ticker", score: str = "proba", name: str = "binned", ret: str = "fwd_ret") -> str:
@@ -53,7 +54,7 @@ def sql_bins(src: str, key: str = "ticker", score: str = "proba", name: str = "b
 
 @query("rank03_decile_bins", f"WITH {SQL_SCORED}, {sql_bins('scored')} SELECT ticker, ts, {r('proba')} AS proba, CAST(bin AS BIGINT) AS bin FROM binned")
 def rank03(spark, sf):
-    return out(E.quantile_bins(scored(spark, sf).where(F.col("fwd_ret").isNotNull()), ["ticker"], "proba"), K, ["proba"], ["bin"])
+    return out(E.quantile_bins(stored(spark, sf).where(F.col("fwd_ret").isNotNull()), ["ticker"], "proba"), K, ["proba"], ["bin"])
 
 
 @query(
@@ -61,7 +62,7 @@ def rank03(spark, sf):
     f"WITH {SQL_SCORED}, q AS (SELECT ticker, quantile_cont(proba, 0.9) AS cut FROM scored GROUP BY 1) SELECT ticker, ts, {r('proba')} AS proba FROM scored JOIN q USING (ticker) WHERE proba >= cut",
 )
 def rank04(spark, sf):
-    return out(E.top_decile_flag(scored(spark, sf), ["ticker"], "proba").where("top"), K, ["proba"])
+    return out(E.top_decile_flag(stored(spark, sf), ["ticker"], "proba").where("top"), K, ["proba"])
 
 
 # ---- aggregates -------------------------------------------------------------
@@ -175,7 +176,7 @@ u AS (SELECT 'portfolio' AS level, * FROM ({sql_verdict('b0', 'everyone')}) UNIO
 SELECT level, group_key, CAST(n AS BIGINT) AS n, {r('top_gross', 4)} AS top_gross_bps, {r('top_net', 4)} AS top_net_bps, CAST(monotonic AS BIGINT) AS monotonic FROM u""",
 )
 def agg09(spark, sf):
-    d = scored(spark, sf).select("ticker", "asset_class", "proba", "fwd_ret", "round_trip_bps")
+    d = stored(spark, sf).select("ticker", "asset_class", "proba", "fwd_ret", "round_trip_bps")
     # each row goes to its three groups; the bins of every group are found in one pass
     g = d.select(
         F.inline(F.array(
@@ -252,7 +253,7 @@ def fold_nets(spark, sf):
         (F.avg(F.col("fwd_ret") - F.col("round_trip_bps") / 1e4) * 1e4).alias("net_bps"), F.max("round_trip_bps").alias("round_trip_bps"),
     )
     c = F.when(F.col("net_bps") >= F.col("round_trip_bps") * 1.25, "ok").when(F.col("gross_bps") < F.col("round_trip_bps"), "cost").otherwise("below_gate")
-    return d.withColumn("bottleneck", c)
+    return stage(d.withColumn("bottleneck", c))
 
 
 @query(
@@ -333,7 +334,7 @@ def top02(spark, sf):
 SELECT ticker, ts, {r('proba')} AS proba FROM k WHERE rn <= greatest(5, ceil(n * 0.25))""",
 )
 def top03(spark, sf):
-    return out(A.top_fraction(scored(spark, sf), ["ticker"], "proba", ["ts"]), K, ["proba"])
+    return out(A.top_fraction(stored(spark, sf), ["ticker"], "proba", ["ts"]), K, ["proba"])
 
 
 @query(
@@ -357,13 +358,13 @@ sideaudit AS (SELECT *, top_net >= greatest(bottom, second) AS monotonic, top_ne
 
 
 def side_audit(spark, sf):
-    d = E.side_rows(scored(spark, sf), "fwd_ret")
+    d = E.side_rows(stored(spark, sf), "fwd_ret")
     k = ["ticker", "side"]
     v = E.decile_verdict(E.decile_table(d, k, "gate_score", "gate_ret", "round_trip_bps"), k)
     from .bars import supplier_dim
 
     floors = supplier_dim(spark, sf).select("ticker", (F.col("round_trip_bps") * 1.25).alias("_floor"))
-    return E.with_tradeable(v.join(floors, "ticker"), F.col("_floor")).drop("_floor")
+    return stage(E.with_tradeable(v.join(floors, "ticker"), F.col("_floor")).drop("_floor"))
 
 
 @query(
@@ -434,7 +435,7 @@ t AS (SELECT ticker, any_value(q.n) AS n, avg(fwd_ret) FILTER (proba >= cut) * 1
 SELECT ticker, n, {r('CASE WHEN n >= 50 THEN gross END', 4)} AS gross_bps, {r('CASE WHEN n >= 50 THEN cost END', 4)} AS cost_bps, {r('CASE WHEN n >= 50 THEN gross - cost END', 4)} AS net_bps FROM t""",
 )
 def ev01(spark, sf):
-    return out(E.top_decile_stats(scored(spark, sf), ["ticker"], "proba", "fwd_ret", "round_trip_bps"), ["ticker"], ["gross_bps", "cost_bps", "net_bps"], ["n"], d=4)
+    return out(E.top_decile_stats(stored(spark, sf), ["ticker"], "proba", "fwd_ret", "round_trip_bps"), ["ticker"], ["gross_bps", "cost_bps", "net_bps"], ["n"], d=4)
 
 
 @query(
@@ -443,7 +444,7 @@ def ev01(spark, sf):
 e AS (SELECT *, sum(n) OVER (PARTITION BY ticker) AS total FROM d) SELECT ticker, CAST(bin AS BIGINT) AS bin, n, {r('mean_score', 4)} AS mean_score, {r('gross_bps', 4)} AS gross_bps, {r('net_bps', 4)} AS net_bps FROM e WHERE total >= 100""",
 )
 def ev02(spark, sf):
-    return out(E.decile_table(scored(spark, sf), ["ticker"], "proba", "fwd_ret", "round_trip_bps"), ["ticker"], ["mean_score", "gross_bps", "net_bps"], ["bin", "n"], d=4)
+    return out(E.decile_table(stored(spark, sf), ["ticker"], "proba", "fwd_ret", "round_trip_bps"), ["ticker"], ["mean_score", "gross_bps", "net_bps"], ["bin", "n"], d=4)
 
 
 @query(
@@ -509,7 +510,7 @@ SEL_CLS = ", ".join(f'{r(chr(34) + c + chr(34))} AS "{c}"' for c in CLS)
 
 
 def labelled(spark, sf):
-    return scored(spark, sf).where(F.col("fwd_ret").isNotNull()).withColumn("y", F.when(F.col("fwd_ret") > 0, 1.0).otherwise(0.0))
+    return stored(spark, sf).where(F.col("fwd_ret").isNotNull()).withColumn("y", F.when(F.col("fwd_ret") > 0, 1.0).otherwise(0.0))
 
 
 @query("ev07_classification", f"WITH {SQL_SCORED}, {sql_classification('asset_class', 'scored')} SELECT k AS asset_class, n, {SEL_CLS} FROM cm")
@@ -587,7 +588,7 @@ SELECT ticker, {r('tn', 4)} AS train_net, {r('o', 4)} AS test_net, {r('og', 4)}
 def ev13(spark, sf):
     from ..plans.walkforward import fold_slice_report
 
-    d = scored(spark, sf).withColumn("role", F.when(F.col("ts") < F.lit("1999-01-01").cast("timestamp_ntz"), "train").otherwise("test"))
+    d = stored(spark, sf).withColumn("role", F.when(F.col("ts") < F.lit("1999-01-01").cast("timestamp_ntz"), "train").otherwise("test"))
     g = fold_slice_report(d, min_rows=100)
     return g.select("ticker", *[rnd(c, 4).alias(c) for c in ("train_net", "test_net", "test_gross")], "bottleneck", "is_worst")
 

@@ -11,6 +11,7 @@ from ..functions.frames import epoch
 from ..operators.bars import ticks_to_bars
 from ..operators.blocks import Layout
 from ..session import prepare
+from ..sources.store import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,7 +126,8 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str, freq: str = "5 minutes") -> DataFrame:
-    return ticks_to_bars(ticks(spark, sf), freq, price="px", tie=("event_id",))
+    """Bars are a stored stage: the operators read them several times, the ticks once."""
+    return stage(ticks_to_bars(ticks(spark, sf), freq, price="px", tie=("event_id",)))
 
 
 def flow(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +143,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     px = F.lit(100) + F.col("l_extendedprice") / F.col("l_quantity") / 9973
     tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    return (
+    return stage(
         li.groupBy(F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), F.col("l_shipdate").alias("ts"))
         .agg(
             F.min_by(px, tie).alias("open"),

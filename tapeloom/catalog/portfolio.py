@@ -13,7 +13,7 @@ from ..plans import walkforward as V
 from .audits import SQL_FOLD_NETS, fold_nets, with_ret
 from .base import DAILY, SQL_DAILY, W, daily, out, query, r, rnd, sel, table
 from .features import SQL_RETS
-from .scored import SQL_SCORED, scored
+from .scored import SQL_SCORED, scored, stored
 from .signals import SQL_SF, SQL_TWO, SQL_WEIGHTS, signal_frame, two_series, weights
 
 K = ["ticker", "ts"]
@@ -138,7 +138,7 @@ TRD = ["win_rate", "avg_win_bps", "avg_loss_bps", "expectancy_bps", "profit_fact
   sum(x) FILTER (x > 0) / -sum(x) FILTER (x < 0) AS profit_factor, quantile_cont(x * 10000, 0.5) AS median_bps, max(x) * 10000 AS best_bps, min(x) * 10000 AS worst_bps FROM t GROUP BY 1) SELECT ticker, n_trades, {sel(TRD, 4)} FROM g""",
 )
 def pf04(spark, sf):
-    return out(P.trade_analytics(G.net_returns(scored(spark, sf), "fwd_ret"), ["ticker"]), ["ticker"], TRD, ["n_trades"], d=4)
+    return out(P.trade_analytics(G.net_returns(stored(spark, sf), "fwd_ret"), ["ticker"]), ["ticker"], TRD, ["n_trades"], d=4)
 
 
 RSK = ["vol_ann", "skew", "excess_kurtosis", "var_95", "cvar_95"]

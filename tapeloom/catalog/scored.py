@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocks import in_blocks
 from ..operators.spread import salted_join
+from ..sources.store import stage
 from .bars import SQL_SUPPLIERS, supplier_dim
 from .base import DAILY, SQL_DAILY, W, daily, sql_scores, with_scores
 
@@ -17,6 +18,11 @@ fw AS (SELECT daily.*, lead(close, 12) OVER {W} / close - 1 AS fwd_ret, asset_cl
 DIM_COLS = ["asset_class", "sides", "vol_ref", "commission_bps", "slippage_bps", "round_trip_bps"]
 
 
+def stored(spark, sf) -> DataFrame:
+    """The panel as a stored stage, for operators that read it several times."""
+    return stage(scored(spark, sf))
+
+
 def scored(spark, sf) -> DataFrame:
     d = in_blocks(daily(spark, sf), lambda x, w: x.withColumn("fwd_ret", F.lead("close", 12).over(w) / F.col("close") - 1), ahead=12, lay=DAILY)
     return with_scores(salted_join(d, supplier_dim(spark, sf).select("ticker", *DIM_COLS), ["ticker"]))

@@ -18,7 +18,8 @@ from .bars import SQL_DIM, SQL_SUPPLIERS, event_dim, supplier_dim
 from .base import DAILY, INTRADAY, SQL_BARS, SQL_DAILY, SQL_FLOW, SQL_TICKS, W, bars, daily, flow, out, query, r, rnd, sel, smean, sstd, table, ticks, with_scores, sql_scores
 from .features import SQL_FACTORS, factor_frame
 from .labels import fut
-from .scored import SQL_SCORED, scored
+from ..sources.store import stage
+from .scored import SQL_SCORED, scored, stored
 from .scores import SQL_FSCORE, SQL_RULE, SQL_SIGNED, rule_frame, sc05
 
 K = ["ticker", "ts"]
@@ -203,7 +204,7 @@ c AS (SELECT *, 25.0::DOUBLE AS cal, least(greatest(CASE WHEN mx > 0 AND mx < 25
 SELECT asset_class, n, {r('mx')} AS max_edge, {r('q')} AS q_edge, {r('capped')} AS capped_edge, {r('round_even(lo * 2, 0) / 2')} AS edge_lo, {r('CASE WHEN round_even(lo * 2, 0) >= round_even(hi * 2, 0) THEN round_even(lo * 2, 0) / 2 + 0.5 ELSE round_even(hi * 2, 0) / 2 END')} AS edge_hi FROM c""",
 )
 def sig07(spark, sf):
-    p = panel(spark, sf)
+    p = stage(panel(spark, sf).select("asset_class", "expected_edge_bps", "min_edge_bps"))
     g = G.edge_stats(p, ["asset_class"]).join(p.groupBy("asset_class").agg(F.max("min_edge_bps").alias("fl")), "asset_class")
     lo, hi = G.search_bounds(F.lit(25.0), F.col("fl"))
     return out(g.withColumns({"capped_edge": G.capped_edge(F.lit(25.0), F.col("fl")), "edge_lo": lo, "edge_hi": hi}), ["asset_class"], ["max_edge", "q_edge", "capped_edge", "edge_lo", "edge_hi"], ["n"])
