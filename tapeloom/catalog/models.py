@@ -215,7 +215,7 @@ def ml09(spark, sf):
 def wf08(spark, sf):
     """Train on the trailing sessions, score the next block, refit per block."""
     d = ml_panel(spark, sf)
-    folds = V.windows(d, train_days=365, years=2, test_months=6)
+    folds = V.trailing_session_folds(d.select(F.to_date("ts").alias("session")), 900, 500)
     return M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440, params=SMALL).select(*K, "fold", "proba", "label_long")
 
 

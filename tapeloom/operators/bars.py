@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import epoch
 from .blocks import BARS, Layout, in_blocks, running
-from .spread import salted_join
+from .spread import salted_join, value_positions
 
 NEW_YORK = "America/New_York"
 
@@ -134,8 +134,17 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def subsample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """A fixed pseudo-random choice of n rows (a bounded top-n per task, then one merge)."""
-    return df.withColumn("_h", F.xxhash64(*key, F.lit(seed))).orderBy("_h", *key).limit(n).drop("_h")
+    """A fixed pseudo-random choice of n rows: those with the n smallest key hashes.
+
+    The cut-off hash is an exact order statistic, so no task or driver holds the n rows.
+    """
+    d = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    cut = value_positions(d, [], "_h").where(F.col("before") < n).select("_h", "cnt", (F.lit(n) - F.col("before")).alias("_room"))
+    d = d.join(cut, "_h")
+    edge = d.where(F.col("cnt") > F.col("_room"))
+    w = Window.partitionBy("_h").orderBy(*key)  # rows sharing one hash value
+    edge = edge.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_room")).drop("_k")
+    return d.where(F.col("cnt") <= F.col("_room")).unionByName(edge).drop("_h", "cnt", "_room")
 
 
 def downsample(df: DataFrame, points: int, lay: Layout = BARS) -> DataFrame:

@@ -141,3 +141,13 @@ def fold_benchmarks(folds: DataFrame, prices: DataFrame) -> DataFrame:
     d = rows_of_windows(prices, folds).where(F.col("role") == "test")
     g = d.groupBy("fold", "ticker").agg(F.min_by("close", "ts").alias("_a"), F.max_by("close", "ts").alias("_b"))
     return g.groupBy("fold").agg(F.avg(F.col("_b") / F.col("_a") - 1).alias("bench_ret"), F.count(F.lit(1)).alias("n_tickers"))
+
+
+def trailing_session_folds(sessions: DataFrame, train_sessions: int, every: int) -> DataFrame:
+    """Folds that train on the ``train_sessions`` before each block of ``every`` sessions."""
+    w = Window.orderBy("session")  # one row per trading day
+    d = sessions.select("session").distinct().withColumn("_i", F.row_number().over(w) - 1)
+    late = d.where(F.col("_i") >= train_sessions).withColumn("fold", F.floor((F.col("_i") - train_sessions) / every))
+    g = late.groupBy("fold").agg((F.min("_i") - train_sessions).alias("_i"), F.min("session").alias("test_start"), F.date_add(F.max("session"), 1).alias("test_end"))
+    g = g.join(d.withColumnRenamed("session", "train_start"), "_i")
+    return g.select("fold", "train_start", F.col("test_start").alias("train_end"), "test_start", "test_end")
