@@ -68,14 +68,14 @@ def importance_by_group(df: DataFrame, groups: DataFrame, top: int = 5) -> DataF
     """(feature, importance) rolled up by group: sum, share of the absolute total, top features."""
     d = df.join(groups, "feature", "left").withColumn("feature_group", F.coalesce("feature_group", F.lit("other")))
     total = d.agg(F.sum(F.abs("importance"))).scalar()
-    g = d.groupBy("feature_group").agg(
-        F.sum("importance").alias("importance_sum"),
-        F.count(F.lit(1)).alias("n_features"),
-        F.slice(F.sort_array(F.collect_list(F.struct(F.abs("importance").alias("a"), F.col("feature").alias("f"))), asc=False), 1, top).alias("_t"),
-    )
-    return g.select(
+    g = d.groupBy("feature_group").agg(F.sum("importance").alias("importance_sum"), F.count(F.lit(1)).alias("n_features"))
+    # rank and filter together: each task keeps only its best few before the shuffle
+    w = Window.partitionBy("feature_group").orderBy(F.abs("importance").desc(), F.col("feature").desc())
+    best = d.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
+    best = best.groupBy("feature_group").agg(F.array_sort(F.collect_list(F.struct("_k", "feature"))).alias("_t"))
+    return g.join(best, "feature_group").select(
         "feature_group", "importance_sum", (100.0 * F.col("importance_sum") / total).alias("importance_pct"), "n_features",
-        F.array_join(F.transform("_t", lambda t: t["f"]), ",").alias("top_features"),
+        F.array_join(F.transform("_t", lambda t: t["feature"]), ",").alias("top_features"),
     )
 
 

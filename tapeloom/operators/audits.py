@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import clip, nz
 from .blocks import Layout, running
-from .spread import average_ranks, quantiles, salted_join, value_positions
+from .spread import PIECE_ROWS, average_ranks, quantiles, salted_join, value_positions
 
 BPS = 10_000.0
 NO_SKILL = 0.6931
@@ -200,7 +200,7 @@ def average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
     Scores are cut by position into ranges; positives above a range come from the
     range totals.
     """
-    piece = F.floor(F.col("before") * 64 / F.col("total"))
+    piece = F.floor(F.col("before") / PIECE_ROWS)
     d = scores.withColumn("_pc", piece)
     tot = d.groupBy(*keys, "_pc").agg(F.sum("_tp").alias("_t"))
     above = Window.partitionBy(*keys).orderBy(F.col("_pc").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -17,24 +17,37 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str, pieces: int = 64) -> DataFrame:
+PIECE_ROWS = 65536
+FINEST = 1024
+STRIDE = 32
+
+
+def value_positions(df: DataFrame, keys: list[str], value: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(keys, value, cnt, before, total): sorted position of every distinct value.
 
-    Equal values collapse first.  Sketched cut points deal the distinct values of
-    a key over ``pieces`` ranges; they only balance the work, the positions are
-    exact.  No task ever sorts a whole key.
+    Equal values collapse first.  Sketched cut points deal the distinct values of a key
+    over ranges of about ``piece_rows`` (one range for a small key, up to FINEST for a
+    hot one); they only balance the work, the positions are exact.  No task ever sorts
+    a whole hot key.
     """
     base = df.where(F.col(value).isNotNull()).select(*keys, value)
     k = list(keys) or ["_all"]
     if not keys:
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*k, value).agg(F.count(F.lit(1)).alias("cnt"))
-    points = [i / pieces for i in range(1, pieces)]
+    points = [i / FINEST for i in range(1, FINEST)]
     # taking the total here too keeps both uses of ``counts`` on one shuffle
-    cuts = counts.groupBy(*k).agg(F.percentile_approx(value, points, 1000).alias("_cuts"), F.sum("cnt").alias("total"))
-    tagged = salted_join(counts, cuts, k).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    cuts = counts.groupBy(*k).agg(F.percentile_approx(value, points, 4 * FINEST).alias("_c"), F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("_d"))
+    need = F.least(F.lit(FINEST), F.ceil(F.col("_d") / piece_rows))
+    step = F.greatest(F.lit(1), F.floor(F.lit(FINEST) / need))
+    thin = F.filter("_c", lambda c, i: (i + 1) % F.col("_s") == 0)
+    cuts = cuts.withColumn("_s", step).select(*k, "total", thin.alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: (i + 1) % STRIDE == 0))
+    tagged = salted_join(counts, cuts, k)
+    below = lambda arr: F.size(F.filter(arr, lambda c: c < F.col(value)))
+    tagged = tagged.withColumn("_j", below("_coarse") * STRIDE)
+    fine = below(F.slice("_cuts", F.col("_j") + 1, F.lit(STRIDE)))
+    tagged = tagged.withColumn("_piece", F.col("_j") + fine).drop("_cuts", "_coarse", "_j")
     before = Window.partitionBy(*k).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces_ = tagged.groupBy(*k, "_piece").agg(F.sum("cnt").alias("_n"))
     pieces_ = pieces_.select(*k, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -100,6 +100,18 @@ def test_ranks_and_quantiles(spark):
     assert tot == pdf.x.notna().sum()
 
 
+@pytest.mark.parametrize("rows", [3, 40, 100000])
+def test_positions_over_many_pieces(spark, rows):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": ["HOT"] * 3000 + ["S"] * 5, "x": np.r_[np.round(rng.normal(size=2000), 2), np.zeros(1000), rng.random(5)]})
+    got = value_positions(spark.createDataFrame(pdf), ["k"], "x", rows).toPandas()
+    for k, g in pdf.groupby("k"):
+        mine = got[got.k == k].sort_values("x")
+        n = g.x.value_counts().sort_index()
+        assert (mine.cnt.to_numpy() == n.to_numpy()).all() and (mine.total == len(g)).all()
+        assert (mine.before.to_numpy() == np.r_[0, n.cumsum().to_numpy()[:-1]]).all()
+
+
 def test_position(spark):
     pdf = series(5)
     got = with_position(to_spark(spark, pdf), lay=Layout(bucket=3600, rows=10)).toPandas()
