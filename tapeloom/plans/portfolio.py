@@ -12,6 +12,7 @@ from ..operators.aggregates import slice_return
 from ..operators.asof import asof_join
 from ..operators.blocks import BARS, Layout, in_blocks, running, with_position
 from ..operators.spread import quantiles, salted_join
+from ..sources.store import stage
 
 BPS = 10_000.0
 
@@ -124,7 +125,7 @@ def weighted_equity(weights: DataFrame, prices: DataFrame, cost_bps: float, lay:
     the change into each date's weights is paid for, and periods compound."""
     from ..operators.signals import turnover, weight_changes
 
-    ch = weight_changes(weights, lay)
+    ch = stage(weight_changes(weights, lay))
     px = prices.select("ticker", "ts", "close")
     prev = asof_join(ch.select("ts", "idx", "ticker", "prev", "weight"), px, ["close"], lay=lay)
     dates = ch.select("ts", "idx").distinct()
