@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, token_counts
+from . import quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"), [1.0] * 16)
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf, "documents"))
