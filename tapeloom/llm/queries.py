@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding, token_counts
+from ..sources.store import scratch
+from . import quality, sharding, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +36,10 @@ def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf, "documents"))
+
+
+@query
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch(spark)
+    manifest = token_files.write(table(spark, sf, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, manifest, root)
