@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.store import scratch
-from . import quality, sharding, token_counts, token_files
+from . import quality, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,3 +43,10 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark)
     manifest = token_files.write(table(spark, sf, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read(spark, manifest, root)
+
+
+@query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch(spark)
+    manifest = warc.write(table(spark, sf, "pages"), root)
+    return warc.read(spark, manifest, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
