@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.store import scratch
-from . import quality, sharding, token_counts, token_files, warc
+from . import decontam, quality, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark)
     manifest = warc.write(table(spark, sf, "pages"), root)
     return warc.read(spark, manifest, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
