@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.store import scratch
-from . import decontam, quality, sharding, token_counts, token_files, warc
+from . import decontam, packing, quality, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +56,9 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(F.col("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
