@@ -28,8 +28,18 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(found)
 
 
+_counters: dict[str, Pieces] = {}  # kept by a worker from task to task
+
+
 def counter(path: str, whole: frozenset[str]) -> Pieces:
     """Pieces whose values are their numbers of tokens."""
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = _counter(path, whole)
+    return _counters[path]
+
+
+def _counter(path: str, whole: frozenset[str]) -> Pieces:
     tok = load(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     memo: dict[str, int] = {}
