@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
-from . import decontam, packing, quality, sharding, token_counts, token_files, warc
+from . import decontam, line_dedup, packing, quality, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select(F.col("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf, "documents")).drop("text_hash")
