@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
-from . import decontam, line_dedup, packing, quality, sharding, token_counts, token_files, warc
+from . import decontam, line_dedup, ngram_join, packing, quality, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +68,9 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf, "documents")).drop("text_hash")
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = ngram_join.similar_documents(table(spark, sf, "documents"), width=3, similar=Fraction(9, 10))
+    return found.select("doc_id", "n_shingles", "component_id")
