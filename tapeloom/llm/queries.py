@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
-from . import decontam, line_dedup, ngram_join, packing, quality, sharding, token_counts, token_files, warc
+from . import decontam, line_dedup, ngram_join, packing, quality, quotes, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     found = ngram_join.similar_documents(table(spark, sf, "documents"), width=3, similar=Fraction(9, 10))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op9_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf, "conversations"))
