@@ -65,16 +65,16 @@ def observations(spark, sf):
     return d.dropna(subset=["ret_z", "vol_z", "trend_z"]).select(*K, "close", "log_ret", "ret_z", "vol_ratio", "vol_z", "trend_z", "risk_on")
 
 
-BLOCKED = INTRADAY.with_(rows=512, bucket=86400)
+BLOCKED = INTRADAY.with_(rows=4096, bucket=86400)
 
 
 @query("reg05_fitted_models")
 def reg05(spark, sf):
-    return H.fitted_models(stage(observations(spark, sf)), train=288, iterations=10, lay=INTRADAY)
+    return H.fitted_models(stage(observations(spark, sf)), lay=INTRADAY)
 
 
 def regime_bars(spark, sf):
-    return H.regime_table(stage(observations(spark, sf)), train=288, every=72, lay=BLOCKED)
+    return H.regime_table(stage(observations(spark, sf)), lay=BLOCKED)
 
 
 @query("reg06_regime_table")
@@ -85,7 +85,7 @@ def reg06(spark, sf):
 @query("reg07_session_regimes")
 def reg07(spark, sf):
     p = X.period_features(daily(spark, sf).select(*K, "close"), DAILY)
-    return H.regime_table(stage(p), ("ret_z", "vol_z"), train=60, every=60, least=40, iterations=5, lay=DAILY.with_(rows=512))
+    return H.regime_table(stage(p), ("ret_z", "vol_z"), train=60, every=60, least=24, rounds=20, lay=DAILY.with_(rows=4096))
 
 
 @query("reg08_blended_regimes")

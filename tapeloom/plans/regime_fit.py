@@ -1,11 +1,15 @@
-"""Regime model per ticker: small Gaussian mixtures in time, refit on trailing windows.
+"""Regime model per ticker: a hidden Markov chain with Gaussian states, refit on trailing windows.
 
 Every refit restarts the filter, so blocks of bars are independent: each block goes to
 Python with a halo as long as the training window, bounded in size whatever the ticker.
+All refits of a block are one batch: arrays carry the refit on their first axis, so one
+step over time serves every window.  Shorter windows are filled up in front and masked.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,110 +19,150 @@ from ..functions.regimes import PROBS, fuse, merged_regimes, soft_profile
 from ..operators.blocks import BARS, Layout, block_groups
 
 STATES = 3
-RIDGE, JITTER = 1e-3, 1e-6
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True)), axis=axis)
-
-
-def emissions(x: np.ndarray, m: dict) -> np.ndarray:
-    """Log density of each row under each state."""
-    d = x.shape[1]
-    out = np.empty((len(x), STATES))
-    for k in range(STATES):
-        cov = m["cov"][k] + np.eye(d) * JITTER
-        sign, logdet = np.linalg.slogdet(cov)
-        z = x - m["mean"][k]
-        out[:, k] = -0.5 * (d * np.log(2 * np.pi) + logdet + np.einsum("ti,ij,tj->t", z, np.linalg.inv(cov), z)) if sign > 0 else -1e9
+# Rows a fit needs, the addition to each variance, the seed of the starting rows.
+LEAST_ROWS, RIDGE, SEED = 24, 1e-3, 42
+TINY = 1e-12
+
+
+@dataclass
+class Chains:
+    """``n`` models: start (n, S), move (n, S, S), mean (n, S, d), cov (n, S, d, d)."""
+
+    start: np.ndarray
+    move: np.ndarray
+    mean: np.ndarray
+    cov: np.ndarray
+
+    def roles(self) -> np.ndarray:
+        """(n, 3): the state that is impulse (highest mean of the first dimension), mean
+        reversion, and stress (of the other two the one with the higher mean of the second
+        dimension; the lower one where they tie)."""
+        rising = np.argsort(self.mean[:, :, 0], axis=1, kind="stable")
+        second = self.mean[:, :, 1] if self.mean.shape[2] > 1 else np.zeros(self.mean.shape[:2])
+        lower = np.take_along_axis(second, rising[:, :2], axis=1)
+        swap = (lower[:, 0] < lower[:, 1]).astype(int)
+        stress = np.take_along_axis(rising, swap[:, None], axis=1)
+        calm = np.take_along_axis(rising, 1 - swap[:, None], axis=1)
+        return np.concatenate([rising[:, 2:], calm, stress], axis=1)
+
+
+def stacked(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of rows as one array (n, T, d), filled up in front, and where each begins."""
+    longest = max(map(len, windows))
+    x = np.zeros((len(windows), longest, windows[0].shape[1]))
+    first = np.array([longest - len(w) for w in windows])
+    for row, w, at in zip(x, windows, first):
+        row[at:] = w
+    return x, first
+
+
+def densities(m: Chains, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities of the rows under each state, each row divided by its largest, (n, T, S),
+    and the logarithms of the divisors (n, T).  By Cholesky factors of the covariances."""
+    root = np.linalg.cholesky(m.cov)
+    half = np.log(np.diagonal(root, axis1=2, axis2=3)).sum(2)
+    gap = np.swapaxes(x[:, None] - m.mean[:, :, None], 2, 3)  # n, S, d, T
+    white = np.linalg.solve(root, gap)
+    log = -0.5 * (white**2).sum(2) - half[:, :, None] - 0.5 * x.shape[2] * np.log(2 * np.pi)
+    log = np.swapaxes(log, 1, 2)
+    top = log.max(2)
+    return np.exp(log - top[:, :, None]), top
+
+
+def forward(m: Chains, dens: np.ndarray, first: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered state probabilities (n, T, S) and each row's scale (n, T).  ``before`` are
+    the probabilities of a row ahead of the first one; without it the chain starts there."""
+    n, long, _ = dens.shape
+    seen, scale = np.full((n, long, STATES), 1 / STATES), np.ones((n, long))
+    opening = m.start if before is None else np.einsum("ns,nsk->nk", before, m.move)
+    now = opening
+    for t in range(long):
+        guess = now if t == 0 else np.einsum("ns,nsk->nk", now, m.move)
+        guess = np.where((first >= t)[:, None], opening, guess)
+        joint = guess * dens[:, t] + TINY * TINY
+        total = joint.sum(1)
+        live = first <= t
+        now = np.where(live[:, None], joint / total[:, None], opening)
+        seen[:, t], scale[:, t] = now, np.where(live, total, 1.0)
+    return seen, scale
+
+
+def backward(m: Chains, dens: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Scaled backward variables (n, T, S)."""
+    out = np.ones_like(dens)
+    for t in range(dens.shape[1] - 2, -1, -1):
+        out[:, t] = np.einsum("nsk,nk->ns", m.move, dens[:, t + 1] * out[:, t + 1]) / scale[:, t + 1, None]
     return out
 
 
-def fit(x: np.ndarray, iterations: int = 10, seed: int = 42) -> dict:
-    """Expectation maximisation from three drawn rows; a flat model under 24 rows."""
-    n, d = x.shape
-    m = {"pi": np.full(STATES, 1 / STATES), "A": np.full((STATES, STATES), 1 / STATES)}
-    if n < 24:
-        return m | {"mean": np.zeros((STATES, d)), "cov": np.repeat(np.eye(d)[None], STATES, 0)}
-    start = np.random.default_rng(seed).choice(n, size=STATES, replace=False)
-    m |= {"mean": x[start].copy(), "cov": np.repeat((np.atleast_2d(np.cov(x.T)) + np.eye(d) * RIDGE)[None], STATES, 0)}
-    for _ in range(iterations):
-        b = emissions(x, m)
-        la, lp = np.log(m["A"] + 1e-12), np.log(m["pi"] + 1e-12)
-        fwd, bwd = np.empty((n, STATES)), np.zeros((n, STATES))
-        fwd[0] = lp + b[0]
-        for t in range(1, n):
-            fwd[t] = b[t] + _lse(fwd[t - 1][:, None] + la, 0)
-        for t in range(n - 2, -1, -1):
-            bwd[t] = _lse(la + (b[t + 1] + bwd[t + 1])[None, :], 1)
-        post = np.exp(fwd + bwd - _lse(fwd + bwd, 1)[:, None])
-        pair = fwd[:-1, :, None] + la[None] + (b[1:] + bwd[1:])[:, None, :]
-        flat = pair.reshape(n - 1, -1)
-        pair = np.exp(flat - _lse(flat, 1)[:, None]).reshape(n - 1, STATES, STATES)
-        a = pair.sum(0) / post[:-1].sum(0)[:, None]
-        m["pi"], m["A"] = post[0], a / a.sum(1, keepdims=True)
-        for k in range(STATES):
-            w = post[:, k]
-            if w.sum() < 1e-8:
-                continue
-            m["mean"][k] = w @ x / w.sum()
-            z = x - m["mean"][k]
-            m["cov"][k] = np.einsum("t,ti,tj->ij", w, z, z) / w.sum() + np.eye(d) * RIDGE
+def flat(n: int, d: int) -> Chains:
+    eye = np.broadcast_to(np.eye(d), (n, STATES, d, d)).copy()
+    return Chains(np.full((n, STATES), 1 / STATES), np.full((n, STATES, STATES), 1 / STATES), np.zeros((n, STATES, d)), eye)
+
+
+def fit(windows: list[np.ndarray], rounds: int = 10) -> Chains:
+    """One model per window by expectation maximisation from three drawn rows; windows
+    under LEAST_ROWS keep the flat model."""
+    d = windows[0].shape[1]
+    m = flat(len(windows), d)
+    use = [i for i, w in enumerate(windows) if len(w) >= LEAST_ROWS]
+    if not use:
+        return m
+    chosen = [windows[i] for i in use]
+    x, first = stacked(chosen)
+    g = flat(len(use), d)
+    for i, w in enumerate(chosen):
+        g.mean[i] = w[np.random.default_rng(SEED).choice(len(w), size=STATES, replace=False)]
+        g.cov[i] = np.atleast_2d(np.cov(w.T)) + np.eye(d) * RIDGE
+    live = (np.arange(x.shape[1]) >= first[:, None]).astype(float)
+    opened = np.arange(len(use)), first
+    follows = live[:, 1:] * (np.arange(1, x.shape[1]) > first[:, None])
+    for _ in range(rounds):
+        dens, _ = densities(g, x)
+        ahead, scale = forward(g, dens, first)
+        behind = backward(g, dens, scale)
+        share = ahead * behind
+        share = share / share.sum(2, keepdims=True) * live[:, :, None]
+        into = dens[:, 1:] * behind[:, 1:] / scale[:, 1:, None] * follows[:, :, None]
+        moved = g.move * np.einsum("nts,ntk->nsk", ahead[:, :-1], into) + TINY
+        g.start, g.move = share[opened], moved / moved.sum(2, keepdims=True)
+        weight = share.sum(1)
+        solid = weight > 1e-8  # a state without rows stays where it is
+        safe = np.where(solid, weight, 1.0)
+        mean = np.einsum("nts,ntd->nsd", share, x) / safe[:, :, None]
+        g.mean = np.where(solid[:, :, None], mean, g.mean)
+        gap = x[:, :, None] - g.mean[:, None]
+        cov = np.einsum("nts,ntsd,ntse->nsde", share, gap, gap) / safe[:, :, None, None] + np.eye(d) * RIDGE
+        g.cov = np.where(solid[:, :, None, None], cov, g.cov)
+    for part in ("start", "move", "mean", "cov"):
+        getattr(m, part)[use] = getattr(g, part)
     return m
 
 
-def names(m: dict) -> list[int]:
-    """State to regime: 0 impulse (highest mean of the first dimension), 2 stress (the more
-    volatile of the others, the lower on a tie), 1 mean-revert."""
-    order = np.argsort(m["mean"][:, 0])
-    vol = m["mean"][:, 1] if m["mean"].shape[1] > 1 else np.zeros(STATES)
-    low, mid, high = (int(i) for i in order)
-    stress, calm = (low, mid) if vol[low] >= vol[mid] else (mid, low)
-    out = [0] * STATES
-    out[high], out[calm], out[stress] = 0, 1, 2
-    return out
-
-
-def step(m: dict, prev: np.ndarray | None, b: np.ndarray) -> np.ndarray:
-    """One forward-filter step given the emission logs of the new row."""
-    la = np.log(m["A"] + 1e-12)
-    lp = np.log(m["pi"] + 1e-12) + b if prev is None else b + _lse(np.log(prev + 1e-12)[:, None] + la, 0)
-    p = np.exp(lp - lp.max())
-    return p / p.sum()
-
-
-def walk(m: dict, x: np.ndarray, prev: np.ndarray | None = None) -> np.ndarray:
-    """Filtered state probabilities of consecutive rows."""
-    b = emissions(x, m)
-    out = np.empty((len(x), STATES))
-    for t in range(len(x)):
-        prev = out[t] = step(m, prev, b[t])
-    return out
+def filtered(m: Chains, windows: list[np.ndarray], before: np.ndarray | None = None) -> list[np.ndarray]:
+    """Filtered state probabilities of each window's rows under its own model."""
+    x, first = stacked(windows)
+    seen, _ = forward(m, densities(m, x)[0], first, before)
+    return [s[at:] for s, at in zip(seen, first)]
 
 
-def log_likelihood(m: dict, x: np.ndarray) -> float:
-    if len(x) < 2:
-        return -1e9
-    b, la = emissions(x, m), np.log(m["A"] + 1e-12)
-    f = np.log(m["pi"] + 1e-12) + b[0]
-    for t in range(1, len(x)):
-        f = b[t] + _lse(f[:, None] + la, 0)
-    return float(_lse(f, 0))
+def log_likelihood(m: Chains, windows: list[np.ndarray]) -> np.ndarray:
+    x, first = stacked(windows)
+    dens, top = densities(m, x)
+    _, scale = forward(m, dens, first)
+    live = np.arange(x.shape[1]) >= first[:, None]
+    return ((np.log(scale) + top) * live).sum(1)
 
 
-def criteria(m: dict, x: np.ndarray) -> tuple[float, float, float]:
-    """Log likelihood, AIC and BIC."""
-    n, d = x.shape
-    k = (STATES - 1) + (STATES - 1) * STATES + STATES * d + STATES * d * (d + 1) // 2
-    ll = log_likelihood(m, x)
-    return ll, -2 * ll + 2 * k, -2 * ll + k * np.log(n)
+def free_parameters(d: int) -> int:
+    """Start and moves sum to one; each state has a mean and a symmetric covariance."""
+    return STATES**2 - 1 + STATES * d * (d + 3) // 2
 
 
 REGIME_COLS = [*PROBS, "hmm_confidence", "hmm_state"]
 
 
-def regime_table(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "ret_z"), *, train: int = 2016, every: int = 72, least: int = 48, iterations: int = 10, lay: Layout = BARS) -> DataFrame:
+def regime_table(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "ret_z"), *, train: int = 2016, every: int = 72, least: int = 48, rounds: int = 10, lay: Layout = BARS) -> DataFrame:
     """Causal regime probabilities per bar: refit every ``every`` bars on the ``train``
     bars before, filter in between.  ``obs`` has no null in ``dims``.
 
@@ -131,26 +175,25 @@ def regime_table(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "r
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        pos, x = pdf["_pos"].to_numpy(), pdf[list(dims)].to_numpy(dtype=float)
-        own = ~pdf["_halo"].to_numpy()
-        base = int(pos[0])
-        rows = []
-        first = max(least, int(pos[own][0]) // every * every) if own.any() else 0
-        at = first
-        while own.any() and at <= int(pos[-1]):
-            stop = min((at // every + 1) * every, int(pos[-1]) + 1)
-            lo = max(0, at - train) - base
-            if stop > int(pos[own][0]) and lo >= 0:
-                hist = x[lo : at - base]
-                m = fit(hist, iterations)
-                p = walk(m, x[at - base : stop - base], walk(m, hist)[-1])
-                rows.append((np.arange(at - base, stop - base), p, names(m)))
-            at = stop
-        if not rows:
-            return pd.DataFrame(columns=keep + REGIME_COLS)
-        idx = np.concatenate([i for i, _, _ in rows])
-        econ = np.concatenate([p[:, np.argsort(nm)] for _, p, nm in rows])
-        res = pdf.iloc[idx][keep].assign(**dict(zip(PROBS, econ.T)), hmm_confidence=econ.max(1), hmm_state=np.concatenate([p.argmax(1) for _, p, _ in rows]).astype("int32"))
+        base, end = int(pdf["_pos"].iloc[0]), int(pdf["_pos"].iloc[-1]) + 1
+        x, own = pdf[list(dims)].to_numpy(dtype=float), ~pdf["_halo"].to_numpy()
+        none = pd.DataFrame(columns=keep + REGIME_COLS)
+        if not own.any():
+            return none
+        begin = int(pdf["_pos"].to_numpy()[own][0])
+        # refits at ``least`` and at every multiple of ``every`` after it
+        starts = [at for at in sorted({least, *range(0, end, every)}) if least <= at < end]
+        spans = [(at, min((at // every + 1) * every, end)) for at in starts]
+        spans = [(at, to) for at, to in spans if to > begin and max(0, at - train) >= base]
+        if not spans:
+            return none
+        past = [x[max(0, at - train) - base : at - base] for at, _ in spans]
+        m = fit(past, rounds)
+        both = filtered(m, [x[max(0, at - train) - base : to - base] for at, to in spans])
+        idx = np.concatenate([np.arange(at, to) - base for at, to in spans])
+        new = [p[len(h) :] for p, h in zip(both, past)]
+        named = np.concatenate([p[:, r] for p, r in zip(new, m.roles())])
+        res = pdf.iloc[idx][keep].assign(**dict(zip(PROBS, named.T)), hmm_confidence=named.max(1), hmm_state=np.concatenate([p.argmax(1) for p in new]).astype("int32"))
         return res[own[idx]]
 
     return groups.groupBy(*by).applyInPandas(run, schema)
@@ -161,7 +204,7 @@ def blended_frame(tables: DataFrame, weights: DataFrame) -> DataFrame:
     return soft_profile(fuse(merged_regimes(tables, weights)))
 
 
-def fitted_models(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "ret_z"), *, train: int = 2016, iterations: int = 20, lay: Layout = BARS) -> DataFrame:
+def fitted_models(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "ret_z"), *, train: int = 2016, rounds: int = 20, lay: Layout = BARS) -> DataFrame:
     """One model per ticker on its last ``train`` rows, with likelihood, AIC and BIC."""
     from ..operators.aggregates import tail_rows
 
@@ -169,12 +212,11 @@ def fitted_models(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(list(lay.order))[list(dims)].to_numpy(dtype=float)
-        m = fit(x, iterations)
-        ll, aic, bic = criteria(m, x)
-        order = np.argsort(names(m))
-        row = {k: pdf[k].iloc[0] for k in lay.keys}
-        row |= {"n": len(x), "log_likelihood": ll, "aic": aic, "bic": bic, "pi": m["pi"][order].tolist(), "means": m["mean"][order].ravel().tolist(),
-                "covs": m["cov"][order].ravel().tolist(), "transition": m["A"][np.ix_(order, order)].ravel().tolist()}
+        m = fit([x], rounds)
+        ll, k, to = float(log_likelihood(m, [x])[0]), free_parameters(x.shape[1]), m.roles()[0]
+        row = {c: pdf[c].iloc[0] for c in lay.keys}
+        row |= {"n": len(x), "log_likelihood": ll, "aic": 2 * (k - ll), "bic": k * np.log(len(x)) - 2 * ll}
+        row |= {"pi": m.start[0][to].tolist(), "means": m.mean[0][to].ravel().tolist(), "covs": m.cov[0][to].ravel().tolist(), "transition": m.move[0][np.ix_(to, to)].ravel().tolist()}
         return pd.DataFrame([row])
 
     keys = ", ".join(f"`{c}` {t}" for c, t in obs.select(*lay.keys).dtypes)

@@ -58,13 +58,13 @@ def regime_filter(stream: DataFrame, model: dict, dims: tuple[str, ...]) -> Data
     fixed = {k: np.asarray(v, dtype=float).tolist() for k, v in model.items()}
 
     def run(key, batches, state):
-        m = {k: np.asarray(v) for k, v in fixed.items()}
+        m = regime_fit.Chains(*(np.asarray(fixed[k])[None] for k in ("pi", "A", "mean", "cov")))
         pdf = _ordered(batches)
-        prev = np.asarray(state.get[0]) if state.exists else None
-        p = regime_fit.walk(m, pdf[list(dims)].to_numpy(dtype=float), prev)
+        before = np.asarray(state.get[0])[None] if state.exists else None
+        p = regime_fit.filtered(m, [pdf[list(dims)].to_numpy(dtype=float)], before)[0]
         state.update((p[-1].tolist(),))
-        econ = p[:, np.argsort(regime_fit.names(m))]
-        yield pd.DataFrame({"ticker": key[0], "ts": pdf["ts"], "p_imp": econ[:, 0], "p_mr": econ[:, 1], "p_st": econ[:, 2]})
+        named = p[:, m.roles()[0]]
+        yield pd.DataFrame({"ticker": key[0], "ts": pdf["ts"], "p_imp": named[:, 0], "p_mr": named[:, 1], "p_st": named[:, 2]})
 
     return stream.groupBy("ticker").applyInPandasWithState(run, "ticker string, ts timestamp, p_imp double, p_mr double, p_st double", "probs array<double>", "append", "NoTimeout")
 
@@ -74,14 +74,16 @@ def transition_counts(stream: DataFrame) -> DataFrame:
 
     def run(key, batches, state):
         pdf = _ordered(batches)
-        counts, prev = (np.asarray(state.get[0]).reshape(3, 3), state.get[1]) if state.exists else (np.ones((3, 3)), -1)
-        out = np.empty((len(pdf), 3))
-        for i, s in enumerate(pdf["state"].to_numpy()):
-            out[i] = counts[s] / counts[s].sum()
-            if prev >= 0:
-                counts[prev, s] += 1
-            prev = int(s)
-        state.update((counts.ravel().tolist(), prev))
+        held, last = (np.asarray(state.get[0]), state.get[1]) if state.exists else (np.ones(9), -1)
+        now = pdf["state"].to_numpy(dtype=int)
+        before = np.concatenate(([last], now[:-1]))
+        # one column per pair; a row sees the pairs that ended before it
+        pairs = (np.arange(9) == (before * 3 + now)[:, None]) & (before >= 0)[:, None]
+        total = held + np.cumsum(pairs, axis=0)
+        seen = np.vstack([held, total[:-1]]).reshape(-1, 3, 3)
+        row = seen[np.arange(len(now)), now]
+        out = row / row.sum(axis=1, keepdims=True)
+        state.update((total[-1].tolist(), int(now[-1])))
         yield pd.DataFrame({"ticker": key[0], "ts": pdf["ts"], "state": pdf["state"], "next_impulse": out[:, 0], "next_mean_revert": out[:, 1], "next_stress": out[:, 2]})
 
     return stream.groupBy("ticker").applyInPandasWithState(

@@ -86,17 +86,41 @@ def test_regime_table_does_not_depend_on_blocks(spark):
     n = 420
     pdf = pd.DataFrame({"ticker": "A", "ts": pd.date_range("2024-01-01", periods=n, freq="5min"), "a": rng.normal(size=n), "b": rng.normal(size=n)})
     df = spark.createDataFrame(pdf)
-    kw = dict(dims=("a", "b"), train=96, every=24, least=30, iterations=3)
+    kw = dict(dims=("a", "b"), train=96, every=24, least=30, rounds=3)
     whole = H.regime_table(df, lay=Layout(bucket=3600, rows=100000), **kw).toPandas().sort_values("ts")
     parts = H.regime_table(df, lay=Layout(bucket=3600, rows=80), **kw).toPandas().sort_values("ts")
     assert len(whole) == n - 30
     np.testing.assert_allclose(whole[["p_imp", "p_mr", "p_st"]], parts[["p_imp", "p_mr", "p_st"]], atol=1e-8)
     # brute force for one refit
     x = pdf[["a", "b"]].to_numpy()
-    m = H.fit(x[24:120], 3)
-    p = H.walk(m, x[120:144], H.walk(m, x[24:120])[-1])[:, np.argsort(H.names(m))]
+    m = H.fit([x[24:120]], 3)
+    p = H.filtered(m, [x[24:144]])[0][96:][:, m.roles()[0]]
     np.testing.assert_allclose(whole[["p_imp", "p_mr", "p_st"]].to_numpy()[90:114], p, atol=1e-8)
-    assert np.isfinite(H.criteria(m, x[24:120])).all()
+
+
+def test_regime_fit_against_plain_sums():
+    from itertools import product
+    from math import isclose, log
+
+    rng = np.random.default_rng(3)
+    windows = [rng.normal(size=(n, 2)) for n in (40, 60, 60, 10)]
+    ll = [H.log_likelihood(H.fit(windows, k), windows) for k in range(6)]
+    assert all((b[:3] >= a[:3] - 0.05).all() for a, b in zip(ll, ll[1:]))  # rises, but for the addition to the variances
+    both, alone = H.fit(windows, 4), H.fit([windows[0]], 4)
+    np.testing.assert_allclose(both.mean[0], alone.mean[0], atol=1e-9)  # batches do not mix
+    assert (both.mean[3] == 0).all()  # too short: flat
+    # every path of five rows, summed
+    m, x = H.Chains(*(getattr(both, k)[:1] for k in ("start", "move", "mean", "cov"))), windows[0][:5]
+    dens = lambda s, r: np.exp(-0.5 * (r - m.mean[0, s]) @ np.linalg.inv(m.cov[0, s]) @ (r - m.mean[0, s])) / (2 * np.pi * np.sqrt(np.linalg.det(m.cov[0, s])))
+    end, total = np.zeros(3), 0.0
+    for path in product(range(3), repeat=5):
+        w = m.start[0, path[0]] * dens(path[0], x[0])
+        for a, b, r in zip(path, path[1:], x[1:]):
+            w *= m.move[0, a, b] * dens(b, r)
+        end[path[-1]] += w
+        total += w
+    np.testing.assert_allclose(H.filtered(m, [x])[0][-1], end / total, atol=1e-9)
+    assert isclose(H.log_likelihood(m, [x])[0], log(total), rel_tol=1e-6)
 
 
 def test_streamed_filter_and_counts_equal_batch(spark):
@@ -115,9 +139,9 @@ def test_streamed_filter_and_counts_equal_batch(spark):
     T.drain(T.transition_counts(src()), f"{path}/c")
     got = spark.read.parquet(f"{path}/f/data").toPandas().sort_values(["ticker", "ts"])
     cnt = spark.read.parquet(f"{path}/c/data").toPandas().sort_values(["ticker", "ts"])
-    m = {k: np.asarray(v) for k, v in model.items()}
+    m = H.Chains(*(np.asarray(model[k], float)[None] for k in ("pi", "A", "mean", "cov")))
     for t, g in pdf.groupby("ticker"):
-        want = H.walk(m, g[["a", "b"]].to_numpy())[:, np.argsort(H.names(m))]
+        want = H.filtered(m, [g[["a", "b"]].to_numpy()])[0][:, m.roles()[0]]
         np.testing.assert_allclose(got[got.ticker == t][["p_imp", "p_mr", "p_st"]], want, atol=1e-9)
         c, prev, rows = np.ones((3, 3)), None, []
         for s in g.state:
