@@ -389,7 +389,7 @@ CATALOG = X.active_columns()
     f"WITH {SQL_DAILY}, {SHAPE_D}, x AS (SELECT *, {schange('close')} AS ret_1 FROM cflow), "
     + "c AS ("
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, '{X.feature_group(c)}' AS feature_group, count({c}) AS n_values FROM x" for c in ["ret_1", "vol_imbalance", "buy_share", *SHAPES]
+        f"SELECT '{c}' AS feature, '{g}' AS feature_group, count({c}) AS n_values FROM x" for c, g in (("ret_1", "price_momentum"), ("lower_wick_ratio", "candle_geometry"), ("upper_wick_ratio", "candle_geometry"))
     )
     + ") SELECT * FROM c",
 )

@@ -162,14 +162,15 @@ def sc14(spark, sf):
     return out(S.class_weights(direction(scored(spark, sf)), "direction", ["ticker"]), K, ["weight"])
 
 
-SQL_TRIALS = f"""{SQL_FOLD_NETS}, trials AS (SELECT ticker, fold, net_bps AS top_decile_net_bps, gross_bps, round_trip_bps AS cost_bps, CASE WHEN fold % 2 = 0 THEN fold - 1995.0 END AS gap_bps, 0.5 + (fold - 1998) * 0.01::DOUBLE AS accuracy, 0.5 + (fold - 1997) * 0.02::DOUBLE AS auc FROM foldnets)"""
+SQL_TRIALS = f"""{SQL_FOLD_NETS}, trials AS (SELECT ticker, fold, net_bps AS top_decile_net_bps, gross_bps, round_trip_bps AS cost_bps, CASE WHEN fold % 2 = 0 THEN fold - 1995.0 END AS gap_bps, 0.5 + (fold - 1998) * 0.01::DOUBLE AS accuracy, 0.5 + (fold - 1997) * 0.02::DOUBLE AS auc, 0.4 + (fold - 1996) * 0.03::DOUBLE AS prec, 0.9 - (fold - 1994) * 0.04::DOUBLE AS rec FROM foldnets)"""
 
 
 def trials(spark, sf):
     d = fold_nets(spark, sf)
     return d.select(
         "ticker", "fold", F.col("net_bps").alias("top_decile_net_bps"), "gross_bps", F.col("round_trip_bps").alias("cost_bps"), F.when(F.col("fold") % 2 == 0, F.col("fold") - 1995.0).alias("gap_bps"),
-        (0.5 + (F.col("fold") - 1998) * 0.01).alias("accuracy"), (0.5 + (F.col("fold") - 1997) * 0.02).alias("auc"), "n",
+        (0.5 + (F.col("fold") - 1998) * 0.01).alias("accuracy"), (0.5 + (F.col("fold") - 1997) * 0.02).alias("auc"),
+        (0.4 + (F.col("fold") - 1996) * 0.03).alias("precision"), (0.9 - (F.col("fold") - 1994) * 0.04).alias("recall"), "n",
     )
 
 
@@ -178,13 +179,13 @@ PS = "coalesce(greatest(0, least(1, 0.5 + 0.5 * top_decile_net_bps / 25)), 0)"
 
 @query(
     "sc15_trial_scores",
-    f"""WITH {SQL_TRIALS} SELECT ticker, fold, {r(PS)} AS profit_score, {r(f'(0.35 * greatest(0, least(1, accuracy)) + 0.25 * {PS} + 0.08 * greatest(0, least(1, (auc - 0.5) * 2))) / 1.0', 4)} AS composite,
+    f"""WITH {SQL_TRIALS} SELECT ticker, fold, {r(PS)} AS profit_score, {r(f'(0.60 * {PS} + 0.12 * greatest(0, least(1, accuracy)) + 0.08 * greatest(0, least(1, prec)) + 0.08 * greatest(0, least(1, rec)) + 0.04 * greatest(0, least(1, (auc - 0.5) * 2))) / 1.0', 4)} AS composite,
   {r(f"CASE WHEN gross_bps < cost_bps THEN -1 ELSE greatest(0, least(1, {PS} + 0.15 * greatest(0, gross_bps - cost_bps) / 25) - coalesce(0.45 * least(gap_bps / 8, 1), 0)) END")} AS objective,
   CASE WHEN gross_bps < cost_bps THEN 'gross_below_rt' WHEN gap_bps > 4 THEN 'train_oos_gap' END AS reason FROM trials""",
 )
 def sc15(spark, sf):
     d = trials(spark, sf)
-    d = d.withColumns({"profit_score": S.criterion("top_decile_net_bps", F.col("top_decile_net_bps")), "composite": S.composite(["accuracy", "top_decile_net_bps", "auc"]), "objective": S.trial_objective(), "reason": S.reject_reason(max_gap=4.0)})
+    d = d.withColumns({"profit_score": S.criterion("top_decile_net_bps", F.col("top_decile_net_bps")), "composite": S.composite(["accuracy", "top_decile_net_bps", "auc", "precision", "recall"]), "objective": S.trial_objective(), "reason": S.reject_reason(max_gap=4.0)})
     return d.select("ticker", "fold", rnd("profit_score").alias("profit_score"), rnd("composite", 4).alias("composite"), rnd("objective").alias("objective"), "reason")
 
 
@@ -208,7 +209,7 @@ def sbal(x, lo, hi):
 g AS (SELECT ticker, avg(CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END) AS fl, avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END) AS lg, avg(CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END) AS sh, avg(fwd_ret) * 10000 AS net FROM d WHERE k IS NOT NULL GROUP BY 1),
 s AS (SELECT *, greatest(0, least(1, 0.5 / 0.6)) AS cv, greatest(0, least(1, net / 20)) AS ec, {sbal('lg', 0.08, 0.55)} AS ba, greatest(0, least(1, lg * 252 / 12 / 30)) AS fr FROM g)
 SELECT ticker, {r("greatest(0, CASE WHEN net > 0 THEN 0.5 + 0.5 * (0.25 * cv + 0.45 * ec + 0.15 * ba + 0.15 * fr) ELSE 0.25 * (0.25 * cv + 0.15 * ba + 0.15 * fr) / 0.55 END - 0.0008 * 12)", 4)} AS score,
-  {r(f"({sbal('fl', 0.12, 0.45)} + {sbal('lg', 0.20, 0.45)} + {sbal('sh', 0.20, 0.45)}) / 3")} AS direction_balance, {r('CASE WHEN fl > 0.5 THEN greatest(0, 1 - (fl - 0.5) / 0.5) ELSE 1 END')} AS flat_penalty, {r('CASE WHEN lg + sh < 0.35 THEN greatest(0, (lg + sh) / 0.35) ELSE 1 END')} AS directional_penalty FROM s""",
+  {r(f"({sbal('fl', 0.15, 0.45)} + {sbal('lg', 0.20, 0.45)} + {sbal('sh', 0.20, 0.45)}) / 3")} AS direction_balance, {r('CASE WHEN fl > 0.5 THEN greatest(0, 1 - (fl - 0.5) / 0.5) ELSE 1 END')} AS flat_penalty, {r('CASE WHEN lg + sh < 0.35 THEN greatest(0, (lg + sh) / 0.35) ELSE 1 END')} AS directional_penalty FROM s""",
 )
 def sc17(spark, sf):
     d = direction(scored(spark, sf)).where(F.col("direction").isNotNull())

@@ -187,8 +187,9 @@ def class_weights(df: DataFrame, label: str, keys: list[str] = (), name: str = "
 
 # fixed values: weights of the model criteria
 CRITERIA = {
-    "accuracy": 0.35, "top_decile_net_bps": 0.25, "edge_corr": 0.10, "ic": 0.08, "auc": 0.08, "pr_auc": 0.05, "log_loss": 0.04, "brier": 0.03, "calibration_mae": 0.02,
-}
+    "top_decile_net_bps": 0.60, "accuracy": 0.12, "precision": 0.08, "recall": 0.08, "auc": 0.04, "pr_auc": 0.02, "edge_corr": 0.06,
+    "ic": 0.0, "log_loss": 0.0, "brier": 0.0, "calibration_mae": 0.0, "fold_stability": 0.0,
+}
 
 
 def criterion(name: str, v: Column) -> Column:
@@ -249,7 +250,7 @@ def target_score(*, cv="cv", net="net_edge_bps", rate="positive_rate", horizon="
 
 
 # fixed values: wanted share of each direction class
-CLASS_RANGES = {"flat": (0.12, 0.45), "long": (0.20, 0.45), "short": (0.20, 0.45)}
+CLASS_RANGES = {"flat": (0.15, 0.45), "long": (0.20, 0.45), "short": (0.20, 0.45)}
 
 
 def direction_penalties(flat, long_, short, max_flat: float = 0.50, min_dir: float = 0.35) -> tuple[Column, Column]:
