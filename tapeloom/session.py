@@ -43,10 +43,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tap
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared checkpoint folder of the cluster; ``fallback`` only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or fallback)
-    return configured or fallback

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +16,29 @@ FLOW = ("buy_count", "sell_count", "count_imbalance")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only
-    where no shared folder is configured (tests)."""
+    """A new folder that all machines of the session share: under the checkpoint folder,
+    else under the warehouse if that is no local folder.  A local folder serves only a
+    session on one machine; any other session without a shared folder is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "")
+    if not shared and not warehouse.startswith(("file:", "/")) and "://" in warehouse:
+        shared = warehouse
     if shared:
-        import uuid
-
         return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="run-")
 
 
+def _replacing(df: DataFrame):
+    """A writer that replaces the partitions it holds and no others, whatever the session says."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+
 def save_bars(df: DataFrame, path: str, partition: tuple[str, ...] = ("timeframe", "ticker")) -> None:
     """Partitioned dataset; only the partitions in ``df`` are replaced.  With very many
     tickers partition by timeframe alone and let row-group statistics prune."""
-    df.select("timeframe", "ticker", "ts", *OHLCV).write.mode("overwrite").partitionBy(*partition).parquet(path)
+    _replacing(df.select("timeframe", "ticker", "ts", *OHLCV)).partitionBy(*partition).parquet(path)
 
 
 def load_bars(spark: SparkSession, path: str, timeframe: str, ticker: str | None = None) -> DataFrame:
@@ -40,7 +50,7 @@ def load_bars(spark: SparkSession, path: str, timeframe: str, ticker: str | None
 
 def save_flow(df: DataFrame, path: str) -> None:
     have = [c for c in OHLCV + FLOW if c in df.columns]
-    df.select("ticker", "ts", *have).write.mode("overwrite").partitionBy("ticker").parquet(path)
+    _replacing(df.select("ticker", "ts", *have)).partitionBy("ticker").parquet(path)
 
 
 def load_flow(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +59,7 @@ def load_flow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_panel(df: DataFrame, path: str, version: int) -> None:
-    df.withColumn("panel_version", F.lit(version)).write.mode("overwrite").partitionBy("panel_version", "ticker").parquet(path)
+    _replacing(df.withColumn("panel_version", F.lit(version))).partitionBy("panel_version", "ticker").parquet(path)
 
 
 def load_panel(spark: SparkSession, path: str, version: int, tickers: list[str] | None = None) -> DataFrame:
