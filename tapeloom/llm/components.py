@@ -7,31 +7,36 @@ from pyspark.sql import functions as F
 
 from ..sources.store import stage
 
+#: Links that a task of a round handles about.
+TASK_LINKS = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (columns a, b of one type): root is the
     least node it is joined with.
 
     Each round hangs every node's larger neighbours on its least neighbour, then its
-    smaller ones (large and small stars); the rounds needed grow with the logarithm of
-    the graph, and each is written to the shared folder.  Least neighbours come from
-    aggregates that combine before the shuffle, so a node with many links is no hot spot.
+    smaller ones (large and small stars), until every node hangs on a root alone; the
+    rounds needed grow with the logarithm of the graph, and each is written to the shared
+    folder.  Least neighbours come from aggregates that combine before the shuffle, so a
+    node with many links is no hot spot.  Tasks follow the number of links.
     """
     edges = stage(_tidy(links))
-    n, total = _state(edges)
     while True:
+        n, tangled = _state(edges)
+        if not tangled:
+            break
+        tasks = n // TASK_LINKS + 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _tidy(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _tidy(large.coalesce(tasks)).coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stage(_tidy(small))
-        before, (n, total) = (n, total), _state(edges)
-        if before == (n, total):
-            break
+        small = large.join(least, "a").coalesce(tasks)
+        hung = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = stage(_tidy(small.select(F.explode(hung).alias("e")).select("e.*")).coalesce(tasks))
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _tidy(links: DataFrame) -> DataFrame:
@@ -39,6 +44,9 @@ def _tidy(links: DataFrame) -> DataFrame:
     return links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """The links, and the nodes that hang on two others or both hang and hold."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = each.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
     return row[0], row[1]
