@@ -167,19 +167,19 @@ def src08(spark, sf):
     return out(landing.parse_candle_pages(pages), ["ticker", "ts"], O)
 
 
-@query("src09_save_bars", f"WITH {SQL_DAILY} SELECT ticker, ts, {sel(O)} FROM daily WHERE ts >= TIMESTAMP '1998-01-01'")
+@query("src09_save_bars", f"WITH {SQL_DAILY} SELECT ticker, ts, {sel(O)} FROM daily")
 def src09(spark, sf):
     path = store.scratch(spark)
     d = daily(spark, sf).withColumn("timeframe", F.lit("1Day"))
-    store.save_bars(d.where(F.col("ts") >= "1998-01-01"), path, ("timeframe",))
+    store.save_bars(d, path, ("timeframe",))
     return out(store.load_bars(spark, path, "1Day"), ["ticker", "ts"], O)
 
 
-@query("src10_panel_store", f"WITH {SQL_BARS} SELECT ticker, ts, {sel(O)} FROM bars WHERE ticker IN ('view', 'error')")
+@query("src10_panel_store", f"WITH {SQL_BARS} SELECT ticker, ts, {sel(O)} FROM bars")
 def src10(spark, sf):
     path = store.scratch(spark)
     store.save_panel(bars(spark, sf), path, 14)
-    return out(store.load_panel(spark, path, 14, ["view", "error"]), ["ticker", "ts"], O)
+    return out(store.load_panel(spark, path, 14).orderBy("ts", "ticker"), ["ticker", "ts"], O)
 
 
 @query(

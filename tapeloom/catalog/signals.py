@@ -25,11 +25,11 @@ from .scores import SQL_FSCORE, SQL_RULE, SQL_SIGNED, rule_frame, sc05
 K = ["ticker", "ts"]
 
 # hourly regime rows of each ticker, seventeen minutes past the hour
-SQL_REGIME = """regime AS (SELECT ticker, date_trunc('hour', ts) + INTERVAL 17 MINUTE AS ts, avg(px) - 100 AS p, count(*) AS n FROM ticks WHERE event_id % 2 = 0 GROUP BY 1, 2)"""
+SQL_REGIME = """regime AS (SELECT ticker, date_trunc('hour', ts) + INTERVAL 17 MINUTE AS ts, avg(px) - 100 AS p, count(*) AS n FROM ticks GROUP BY 1, 2)"""
 
 
 def regime_rows(spark, sf):
-    t = ticks(spark, sf).where("event_id % 2 = 0")
+    t = ticks(spark, sf)
     h = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     return t.groupBy("ticker", h.alias("_h")).agg((F.avg("px") - 100).alias("p"), F.count(F.lit(1)).alias("n")).select("ticker", (F.col("_h") + F.expr("interval 17 minutes")).alias("ts"), "p", "n")
 
@@ -86,17 +86,16 @@ def jn06(spark, sf):
     return out(fill_forward(d, ["x"], INTRADAY), K, ["x"])
 
 
-@query("jn07_flow_join", f"WITH {SQL_BARS}, {SQL_FLOW}, f2 AS (SELECT * FROM flow WHERE buy_count + sell_count > 1) SELECT ticker, ts, {r('coalesce(buy_count, 0)')} AS buy_count, {r('coalesce(sell_count, 0)')} AS sell_count FROM bars LEFT JOIN f2 USING (ticker, ts)")
+@query("jn07_flow_join", f"WITH {SQL_BARS}, {SQL_FLOW} SELECT ticker, ts, {r('coalesce(buy_count, 0)')} AS buy_count, {r('coalesce(sell_count, 0)')} AS sell_count FROM bars LEFT JOIN flow USING (ticker, ts)")
 def jn07(spark, sf):
-    f = flow(spark, sf).where("buy_count + sell_count > 1")
-    d = bars(spark, sf).join(f, K, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("buy_count", "sell_count")})
+    d = bars(spark, sf).join(flow(spark, sf), K, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("buy_count", "sell_count")})
     return out(d, K, ["buy_count", "sell_count"])
 
 
-@query("jn08_bars_with_regime", f"WITH {SQL_DAILY}, reg AS (SELECT ticker, ts, max(volume) AS v FROM daily WHERE volume > 20 GROUP BY 1, 2) SELECT ticker, ts, {r('close')} AS close, {r('v')} AS v FROM daily JOIN reg USING (ticker, ts)")
+@query("jn08_bars_with_regime", f"WITH {SQL_DAILY}, reg AS (SELECT ticker, ts, max(volume) AS v FROM daily GROUP BY 1, 2) SELECT ticker, ts, {r('close')} AS close, {r('v')} AS v FROM daily JOIN reg USING (ticker, ts)")
 def jn08(spark, sf):
     d = daily(spark, sf)
-    reg = B.keep_last(d.where("volume > 20").select(*K, F.col("volume").alias("v")), K, ["v"])
+    reg = B.keep_last(d.select(*K, F.col("volume").alias("v")), K, ["v"])
     return out(d.join(reg, K), K, ["close", "v"])
 
 

@@ -269,33 +269,37 @@ def inverse_vol_budget(vols: DataFrame, max_w: float = 0.35) -> DataFrame:
     return d.withColumn("weight", w).drop("_i", "_raw", "_n", "_k", "_cum", "_capped", "_c", "_m", "_left")
 
 
+def with_totals(df: DataFrame, by: str, **totals: Column) -> DataFrame:
+    """Rows with the totals of their ``by``: summed before the shuffle and joined back, so
+    the rows of one time never meet in one task."""
+    return salted_join(df, df.groupBy(by).agg(*[t.alias(n) for n, t in totals.items()]), [by])
+
+
 def vol_target_weights(picks: DataFrame, *, max_w: float = 0.20, target: float = 0.12, freeze: float = 1.5) -> DataFrame:
     """Weights per date from score and vol: none in a vol freeze, capped per name, the
     gross scaled by the market's vol ratio."""
     vol = F.when(F.col("vol_ann").isNull() | (F.col("vol_ann") < 0.05), 0.25).otherwise(F.col("vol_ann"))
     gross = F.col("exposure_cap") * F.least(F.lit(1.0), 1 / F.greatest(F.col("bench_vol_ratio"), F.lit(0.75)))
     raw = F.col("position_side") * (target / vol) * (0.75 + 0.5 * F.col("score") / 100)
-    one_date = Window.partitionBy("ts")  # at most one row per name
     d = picks.where(F.col("bench_vol_ratio") <= freeze).withColumns({"_raw": raw, "_gross": gross})
-    d = d.withColumn("_t", F.sum(F.abs("_raw")).over(one_date)).where(F.col("_t") > 0)
+    d = with_totals(d, "ts", _t=F.sum(F.abs("_raw"))).where(F.col("_t") > 0)
     d = d.withColumn("_w", F.signum("_raw") * F.least(F.lit(max_w), F.abs("_raw") / F.col("_t") * F.col("_gross")))
-    d = d.withColumn("_tw", F.sum(F.abs("_w")).over(one_date))
+    d = with_totals(d, "ts", _tw=F.sum(F.abs("_w")))
     scale = F.when(F.col("_tw") > F.col("_gross"), F.col("_gross") / F.col("_tw")).otherwise(1.0)
     return d.withColumn("weight", F.col("_w") * scale).drop("_raw", "_gross", "_t", "_w", "_tw")
 
 
 def normalised(df: DataFrame, w: str = "weight", signed: bool = False, by: str = "ts") -> DataFrame:
     x = F.col(w) if signed else F.greatest(F.col(w), F.lit(0.0))
-    d = df.withColumn("_t", F.sum(F.abs(x)).over(Window.partitionBy(by)))
+    d = with_totals(df, by, _t=F.sum(F.abs(x)))
     return d.where(F.col("_t") > 1e-9).withColumn(w, x / F.col("_t")).drop("_t")
 
 
 def tilted(book: DataFrame, budget: float) -> DataFrame:
     """(ts, ticker, base, picked): shift ``budget`` of the core book to the picked names."""
     b = min(max(budget, 0.0), 1.0)
-    one_date = Window.partitionBy("ts")
-    rest = F.sum(F.when(~F.col("picked"), F.col("base")).otherwise(0.0)).over(one_date)
-    d = book.withColumns({"_k": F.count_if("picked").over(one_date), "_rest": rest})
+    rest = F.sum(F.when(~F.col("picked"), F.col("base")).otherwise(0.0))
+    d = with_totals(book, "ts", _k=F.count_if("picked"), _rest=rest)
     cut = F.when((F.col("_k") > 0) & (F.col("_rest") > 1e-9), F.greatest(F.lit(0.0), F.col("base") - b * F.col("base") / F.col("_rest"))).otherwise(F.col("base"))
     w = F.when(F.col("picked"), F.col("base") + b / F.col("_k")).otherwise(cut)
     return normalised(d.withColumn("weight", w).drop("_k", "_rest"))
