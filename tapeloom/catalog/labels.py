@@ -164,7 +164,8 @@ BH = (5, 10, 15, 20, 21, 42, 63)
 SQL_BAL = f"""{SQL_DAILY}, u AS (""" + " UNION ALL ".join(f"SELECT ticker, ts, {i} AS rk, {h} AS horizon, {fwd(h)} AS f FROM daily" for i, h in enumerate(BH)) + """),
 m AS (SELECT ticker, horizon, rk, quantile_cont(f, 0.5) AS thr, count(f) AS n FROM u WHERE f IS NOT NULL GROUP BY 1, 2, 3),
 s AS (SELECT u.ticker, u.horizon, u.rk, any_value(thr) AS threshold, any_value(n) AS n, avg(CASE WHEN f >= thr THEN 1.0 ELSE 0.0 END) AS rate FROM u JOIN m USING (ticker, horizon) WHERE f IS NOT NULL GROUP BY 1, 2, 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(abs(rate - 0.5), 12), rk) AS rn FROM s WHERE n >= 100), pick AS (SELECT * FROM k WHERE rn = 1)"""
+k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(abs(rate - 0.5), 12), rk) AS rn FROM s WHERE n >= 100),
+pick AS (SELECT t.ticker, coalesce(k.horizon, 5) AS horizon, coalesce(k.threshold, 0) AS threshold, coalesce(k.rate, 0.5) AS rate FROM (SELECT DISTINCT ticker FROM daily) t LEFT JOIN k ON k.ticker = t.ticker AND k.rn = 1)"""
 
 
 @query(

@@ -18,16 +18,33 @@ NO_SKILL = 0.6931
 # ---- ranks ------------------------------------------------------------------
 
 
-def cross_rank(df: DataFrame, cols: dict[str, str], by: str = "ts") -> DataFrame:
+#: Rows of one time that are ranked in one task; times with more go by positions.
+TIME_ROWS = 1_000_000
+
+
+def cross_rank(df: DataFrame, cols: dict[str, str], by: str = "ts", limit: int = TIME_ROWS) -> DataFrame:
     """Percentile rank across tickers at one time, average ties, nulls stay null.
 
-    The partition is one time, at most one row per ticker.
+    Times of up to ``limit`` rows are windows of their own.  Larger ones are ranked by the
+    positions of their distinct values, spread over tasks; the ranks are the same.
     """
+    large = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(by)
+    if large.isEmpty():
+        return _window_rank(df, cols, by)
+    small = _window_rank(df.join(large, by, "left_anti"), cols, by)
+    rest = df.join(large, by, "left_semi")
+    for name, c in cols.items():
+        rank = (F.col("before") + (F.col("cnt") + 1) / 2) / F.col("total")
+        pos = value_positions(rest, [by], c).select(by, F.col(c).alias("_v"), rank.alias(name))
+        rest = rest.withColumn("_v", F.col(c)).join(pos, [by, "_v"], "left").drop("_v")
+    return small.unionByName(rest)
+
+
+def _window_rank(df: DataFrame, cols: dict[str, str], by: str) -> DataFrame:
     outs = {}
+    every = Window.partitionBy(by)
     for name, c in cols.items():
-        ordered = Window.partitionBy(by).orderBy(F.col(c).asc_nulls_last())
-        ties, every = Window.partitionBy(by, c), Window.partitionBy(by)
-        rank = F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2
+        rank = F.rank().over(every.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(by, c)) - 1) / 2
         outs[name] = F.when(F.col(c).isNotNull(), rank / F.count(c).over(every))
     return df.withColumns(outs)
 

@@ -168,7 +168,8 @@ def best_hold(d: DataFrame, w: WindowSpec, buckets: tuple[int, ...] = HOLD_BUCKE
 
 def balanced_horizon(df: DataFrame, horizons: tuple[int, ...] = (5, 10, 15, 20, 21, 42, 63), rate: float = 0.5, least: int = 100, lay: Layout = BARS) -> DataFrame:
     """Per ticker the horizon whose share of returns at or above their median is nearest
-    ``rate``, the first of equals; horizons with under ``least`` returns do not count."""
+    ``rate``, the first of equals; horizons with under ``least`` returns do not count.
+    A ticker without such a horizon has the first one, threshold 0 and rate 0.5."""
     arms = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for i, h in enumerate(horizons)])
     d = in_blocks(df, lambda x, w: x.withColumns({f"_f{h}": forward_return(w, h) for h in horizons}), ahead=max(horizons), lay=lay)
     d = d.select(*lay.keys, F.inline(arms)).where(F.col("fwd").isNotNull())
@@ -179,7 +180,9 @@ def balanced_horizon(df: DataFrame, horizons: tuple[int, ...] = (5, 10, 15, 20,
     ).where(F.col("n") >= least)
     order = F.struct(F.round(F.abs(F.col("rate") - rate), 12), F.col("rank"))
     best = share.groupBy(*lay.keys).agg(F.min_by(F.struct("horizon", "threshold", "rate", "n"), order).alias("_b"))
-    return best.select(*lay.keys, "_b.*")
+    every = df.select(*lay.keys).distinct().join(best, list(lay.keys), "left")
+    known = lambda c, d: F.coalesce(F.col(f"_b.{c}"), F.lit(d)).alias(c)
+    return every.select(*lay.keys, known("horizon", horizons[0]), known("threshold", 0.0), known("rate", 0.5), known("n", 0))
 
 
 def balanced_labels(df: DataFrame, horizons: tuple[int, ...] = (5, 10, 15, 20, 21, 42, 63), lay: Layout = BARS) -> DataFrame:
@@ -207,9 +210,9 @@ def excursion_targets(d: DataFrame, w: WindowSpec, h: int) -> DataFrame:
     return d.withColumns({"target_tp_bps": clip(favourable(w, h) * BPS, 5, 500), "target_sl_bps": clip(adverse(w, h) * BPS, 5, 500)})
 
 
-def candidate_specs(floors: DataFrame, horizons=(12, 24, 36, 48, 72, 96), types=("triple_barrier", "after_costs"), mults=(1.0, 1.25, 1.5), max_h: int = 96) -> DataFrame:
+def candidate_specs(floors: DataFrame, horizons=(12, 24, 36, 48, 72, 96), types=("triple_barrier", "after_costs"), mults=(1.0, 1.25, 1.5)) -> DataFrame:
     """(ticker, cost_floor_bps) to every label candidate; the grid is a fixed literal."""
-    grid = [(h, t, m) for h in horizons if not max_h or h <= max_h for t in types for m in ((1.0,) if t == "positive" else mults)]
+    grid = [(h, t, m) for h in horizons for t in types for m in ((1.0,) if t == "positive" else mults)]
     lits = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(t).alias("label_type"), F.lit(m).alias("threshold_mult")) for h, t, m in grid])
     d = floors.select("ticker", "cost_floor_bps", F.inline(lits))
     return d.withColumn("threshold_bps", F.round(F.col("cost_floor_bps") * F.col("threshold_mult"), 2))

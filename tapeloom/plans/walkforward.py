@@ -101,12 +101,11 @@ def fit_calibration(df: DataFrame, *, test_start: Column, horizon_bars: int, bar
     days = d.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(F.col("_s").desc())  # one row per trading day
     keep = days.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > purge).drop("_r")
-    cum = keep.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = keep.agg(F.sum("_n")).scalar()
-    inside = Window.partitionBy("_s").orderBy("ts", "ticker")  # rows of one day
-    d = d.join(cum.select("_s", "_before"), "_s").withColumn("_p", F.col("_before") + F.row_number().over(inside))
+    d = d.join(keep.select("_s"), "_s", "left_semi")
+    d = with_position(d, "_p", Layout(keys=(), order=("ts", "ticker"), bucket=86400)).withColumn("_p", F.col("_p") + 1)
     cut = F.greatest(F.lit(1), F.floor(total * (1 - min(max(frac, 0.0), 0.4))))
-    return d.withColumn("role", F.when(F.col("_p") <= cut, "fit").otherwise("calibrate")).drop("_s", "_before", "_p")
+    return d.withColumn("role", F.when(F.col("_p") <= cut, "fit").otherwise("calibrate")).drop("_s", "_p")
 
 
 def expanding_splits(df: DataFrame, folds: int, lay: Layout) -> DataFrame:

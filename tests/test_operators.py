@@ -175,3 +175,22 @@ def test_min_edge_ignores_a_missing_calibration(spark):
     df = spark.createDataFrame([(3.0, 7.0, None), (3.0, 7.0, 30.0), (3.0, 7.0, 99.0)], "r double, f double, c double")
     got = [r.e for r in df.select(S.min_edge("r", "f", F.col("c")).alias("e")).collect()]
     assert got == [7.0, 30.0, 60.0]
+
+
+def test_cross_ranks_of_large_times_are_the_same(spark):
+    from tapeloom.operators.audits import cross_rank
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"ts": np.repeat([1, 2, 3], [50, 200, 5]), "x": rng.integers(0, 40, 255).astype(float)})
+    pdf.loc[::9, "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None)))
+    key = lambda d: sorted((r.ts, -1 if r.x is None else r.x, round(r.rank, 9) if r.rank is not None else None) for r in d.collect())
+    assert key(cross_rank(df, {"rank": "x"}, limit=60)) == key(cross_rank(df, {"rank": "x"}))
+
+
+def test_short_series_fall_back_to_the_first_horizon(spark):
+    from tapeloom.operators import labels as L
+
+    pdf = walk(90)
+    got = L.balanced_labels(spark.createDataFrame(pdf).select("ticker", "ts", "close"), (5, 10), Layout(bucket=86400, rows=700)).toPandas()
+    assert len(got) == 90 and set(got.horizon) == {5} and set(got.threshold) == {0.0}
