@@ -98,7 +98,6 @@ def reg08(spark, sf):
 # ---- models -----------------------------------------------------------------
 
 FEATURES = ["ret_1", "ret_6", "ret_12", "vol_realized_12", "vol_z", "body_pct", "clv"]
-SMALL = {"maxDepth": 3, "maxIter": 4}
 
 
 def ml_panel(spark, sf):
@@ -123,33 +122,33 @@ def split(d, at="1999-06-01"):
 @query("ml01_entry_model")
 def ml01(spark, sf):
     tr, te = split(ml_panel(spark, sf))
-    m = M.fit_entry(tr, FEATURES, "label_long", params=SMALL)
+    m = M.fit_entry(tr, FEATURES, "label_long")
     return M.score_entry(m, te, known=tr).select(*K, "label_long", "proba")
 
 
 @query("ml02_short_model")
 def ml02(spark, sf):
     tr, te = split(ml_panel(spark, sf))
-    return M.score_entry(M.fit_entry(tr, FEATURES, "label_short", params=SMALL), te, "proba_short").select(*K, "label_short", "proba_short")
+    return M.score_entry(M.fit_entry(tr, FEATURES, "label_short"), te, "proba_short").select(*K, "label_short", "proba_short")
 
 
 @query("ml03_direction_model")
 def ml03(spark, sf):
     tr, te = split(ml_panel(spark, sf))
-    return M.score_direction(M.fit_direction(tr, FEATURES, trees=5, depth=4), te).select(*K, "label_direction", "pred_direction", "p_flat", "p_long", "p_short")
+    return M.score_direction(M.fit_direction(tr, FEATURES), te).select(*K, "label_direction", "pred_direction", "p_flat", "p_long", "p_short")
 
 
 @query("ml04_exit_regressors")
 def ml04(spark, sf):
     tr, te = split(ml_panel(spark, sf))
-    return M.score_exits(M.fit_exits(tr, FEATURES, depth=3, rounds=4), te).select(*K, "pred_tp_bps", "pred_sl_bps", "take_profit_bps", "stop_loss_bps")
+    return M.score_exits(M.fit_exits(tr, FEATURES), te).select(*K, "pred_tp_bps", "pred_sl_bps", "take_profit_bps", "stop_loss_bps")
 
 
 @query("ml05_recency_refit")
 def ml05(spark, sf):
     d = ml_panel(spark, sf)
     folds = V.windows(d, train_days=730, years=2, test_months=12)
-    return M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440, params=SMALL, weights=120.0).select(*K, "fold", "proba")
+    return M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440, weights=120.0).select(*K, "fold", "proba")
 
 
 @query("ml06_isotonic")
@@ -216,7 +215,7 @@ def wf08(spark, sf):
     """Train on the trailing sessions, score the next block, refit per block."""
     d = ml_panel(spark, sf)
     folds = V.trailing_session_folds(d.select(F.to_date("ts").alias("session")), 900, 500)
-    return M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440, params=SMALL).select(*K, "fold", "proba", "label_long")
+    return M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440).select(*K, "fold", "proba", "label_long")
 
 
 @query("wf09_calendar_walk_forward")
@@ -224,7 +223,7 @@ def wf09(spark, sf):
     """Scores per calendar fold with a policy from the fold's own past, stitched."""
     d = ml_panel(spark, sf)
     folds = V.windows(d, train_days=730, years=2, test_months=12)
-    s = stage(M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440, params=SMALL, weights=120.0))
+    s = stage(M.walk_forward(d, folds, FEATURES, "label_long", horizon_bars=12, bar_minutes=1440, weights=120.0))
     f = E.top_decile_stats(s, ["fold", "asset_class"], "proba", "fwd_ret", "round_trip_bps")
     prev = f.select((F.col("fold") + 1).alias("fold"), "asset_class", F.when(F.col("net_bps") > 0, 50.0).otherwise(58.0).alias("buy_threshold"))
     g = G.with_policies(s.withColumn("score", S.gain_score()), prev, ["fold", "asset_class"], {"buy_threshold": 55.0})

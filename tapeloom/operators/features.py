@@ -294,8 +294,9 @@ STEP = 12
 
 
 def step_segment(w: WindowSpec, value: str, window: int) -> Column:
-    """The last ``window`` non-null values at every 12th bar; null on the bars between."""
-    at_step = (F.pmod(F.col("_pos"), F.lit(STEP)) == STEP - 1) & (F.col("_pos") >= window - 1)
+    """The last ``window`` non-null values at every 12th bar from the first whole window on; null on the
+    bars between."""
+    at_step = (F.pmod(F.col("_pos") - (window - 1), F.lit(STEP)) == 0) & (F.col("_pos") >= window - 1)
     return F.when(at_step, F.collect_list(value).over(trailing(w, window)))
 
 
