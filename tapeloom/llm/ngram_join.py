@@ -212,8 +212,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fract
     # sets per band, by words: only the cost of a plan depends on it, one row per band
     lower = F.array(*[F.lit(x) for x in bands(1 << 40)])
     words = F.size(F.split(F.coalesce("t", F.lit("")), r"[\x20\x09-\x0D]+"))
-    band = F.size(F.filter(lower, lambda x: x <= words)) - 1
-    plan = {r[0]: r[1] for r in d.groupBy(band.alias("b")).count().collect()}
+    band = F.size(F.filter(lower, lambda x: x <= F.col("w"))) - 1  # over an aggregate: a lambda would count the words again for every bound
+    plan = {r[0]: r[1] for r in d.groupBy(words.alias("w")).count().groupBy(band.alias("b")).agg(F.sum("count")).collect()}
 
     sets = stage(_sets(d, width, similar, plan))
     pivot = F.min("k1").over(W.partitionBy("sig"))
