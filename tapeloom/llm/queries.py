@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
-from . import decontam, line_dedup, ngram_join, packing, quality, quotes, sharding, token_counts, token_files, warc
+from . import decontam, line_dedup, ngram_join, packing, quality, quality_sql, quotes, sharding, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +37,10 @@ def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf, "documents"))
+    return quality.quality_rules(table(spark, sf, "documents")).drop("class_distance", "word_distance")
+
+
+ORACLE["op10_quality_rules"] = quality_sql.SQL
 
 
 @query

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,22 @@ def test_allocations_leave_no_gap():
                 assert 0 <= a <= m and m + a == ngram_join.differences(upper, similar) + 1 + ngram_join.SPARE
 
 
+@pytest.mark.parametrize("similar", [Fraction(9, 10), Fraction(4, 5)])
+def test_similar_sets_share_a_post_under_every_plan(similar):
+    rng = np.random.default_rng(2)
+    for upper in (9, 14, 26, 60):
+        most = ngram_join.differences(upper, similar)
+        for a in range((most + 1 + ngram_join.SPARE) // 2 + 1):
+            m = most + 1 + ngram_join.SPARE - a
+            for _ in range(150):
+                base = rng.integers(0, 2**63, upper + most).astype(np.uint64)
+                gone = int(rng.integers(0, most + 1))
+                one, two = np.unique(base[gone:upper]), np.unique(base[: upper + most - gone][: upper])
+                two = np.unique(np.concatenate([two, base[upper : upper + most - gone]]))
+                assert len(np.setxor1d(one, two)) <= most
+                assert len(np.intersect1d(ngram_join.posts(one, 3, m, a), ngram_join.posts(two, 3, m, a)))
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5)]
