@@ -16,7 +16,7 @@ from tapeloom.session import local_session
 HEADLINE = [
     "bar01_resample", "bar08_session_closes", "jn02_monthly_to_daily", "feat01_returns", "feat10_envelope", "feat12_macd", "feat22_volume_profile",
     "rank01_cross_section", "rank03_decile_bins", "lbl06_direction", "lbl08_spec_labels", "ev02_decile_audit", "ev07_classification",
-    "sig13_deoverlap", "sig17_vol_target", "wf03_session_folds", "pf03_alpha", "pf05_risk_summary",
+    "sig13_deoverlap", "sig17_vol_target", "wf03_session_folds", "pf03_alpha", "pf05_risk_summary", "bar16_panel", "reg06_regime_table", "pf11_weighted_equity", "str01_stream_bars",
 ]
 
 
