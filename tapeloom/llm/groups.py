@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 
 def in_blocks(members: DataFrame, cluster: str, spread: str, limit: int, weight: str | None = None) -> DataFrame:
-    """Deal the rows of each cluster to groups (_c, _i, _j) so that every two rows of a
-    cluster meet in a group and no group has much over 2 * limit rows (or ``weight``).
-
-    A cluster of up to ``limit`` is one group.  A larger one is cut by the hash ``spread``
-    into blocks of about ``limit``, with a group for every two blocks.
-    """
+    """Give the rows of each cluster their place (_g blocks, block _own): a cluster of up to
+    ``limit`` rows (or ``weight``) is one block, a larger one is cut by the hash ``spread``
+    into blocks of about ``limit``."""
     total = F.sum(weight) if weight else F.count(F.lit(1))
     sizes = members.groupBy(cluster).agg(F.greatest(F.ceil(total / limit), F.lit(1)).cast("int").alias("_g"))
-    d = members.join(sizes, cluster).withColumn("_own", F.pmod(F.col(spread), F.col("_g")).cast("int"))
-    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return members.join(sizes, cluster).withColumn("_own", F.pmod(F.col(spread), F.col("_g")).cast("int"))
+
+
+def dealt(rows: DataFrame, cluster: str) -> DataFrame:
+    """Deal placed rows to groups (_c, _i, _j), one for every two blocks of a cluster, so
+    that every two rows of a cluster meet in a group of at most about 2 * limit rows."""
+    d = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     return d.withColumns({"_c": F.col(cluster), "_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_g", "_own", "_other")
 
 

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from ..sources.store import stage
 from .components import components
-from .groups import Union, each_group, in_blocks
+from .groups import Union, dealt, each_group, in_blocks
 
 #: A band's upper size over its lower one.
 RATIO = 1.4
 #: Chances beyond H + 1: segments that may be (nearly) empty without posting the empty set.
 SPARE = 2
 #: N-grams of a block of a candidate cluster.
-BLOCK = 1_000_000
+BLOCK = 4_000_000
 WORDS = 500_000  # entries of a task's memo of word hashes
 
 
@@ -135,39 +135,62 @@ def posts(grams: np.ndarray, band: int, m: int, a: int) -> np.ndarray:
     return mixed(np.concatenate(out) + mixed(np.concatenate(where), 17), band)
 
 
-def _sets(docs: DataFrame, width: int, similar: Fraction, plan: dict[int, int]) -> DataFrame:
-    """(doc, th, n, k1, k2, posts): the size and name of each text's set, and what it posts;
-    a set posts once per task."""
+def _named(g: np.ndarray) -> tuple[int, int]:
+    """The name of a set: two sums of hashes of its n-grams."""
+    return tuple(int(mixed(g, s).sum(dtype=np.uint64)) for s in (1, 2))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, th, n, k1, k2): the size and name of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, at = Words(), set(), bands(1)
+        memo = Words()
         for b in batches:
-            rows = []
-            for text in (x.as_py() for x in b.column(2)):
-                g = ngrams(text, width, memo)
-                n = len(g)
-                k1, k2 = (int(mixed(g, s).sum(dtype=np.uint64)) for s in (1, 2))
-                sigs = np.empty(0, np.uint64)
-                if n and (k1, k2) not in seen:
-                    seen.add((k1, k2))
-                    if n >= at[-1]:
-                        at = bands(n)
-                    own = int(np.searchsorted(at, n, "right")) - 1
-                    parts = []
-                    for k in (own, own - 1):
-                        upper = at[k + 1] - 1
-                        if k >= 0 and n * similar <= upper and differences(upper, similar) > 0:
-                            parts.append(posts(g, k, *allocation(upper, similar, plan.get(k, 1))))
-                    sigs = np.concatenate(parts) if parts else sigs
-                rows.append((n, k1, k2, sigs.view(np.int64)))
-            n, k1, k2, sigs = zip(*rows) if rows else ((), (), (), ())
-            names = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)]
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32))
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *sigs]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *names, pa.ListArray.from_arrays(offsets, flat)], ["doc", "th", "n", "k1", "k2", "posts"])
+            sets = [(len(g), *_named(g)) for g in (ngrams(x.as_py(), width, memo) for x in b.column(2))]
+            n, k1, k2 = zip(*sets) if sets else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), _signed(k1), _signed(k2)], ["doc", "th", "n", "k1", "k2"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "th", "t").mapInArrow(run, f"doc {kind}, th bigint, n bigint, k1 bigint, k2 bigint, posts array<bigint>")
+    return docs.select("doc", "th", "t").mapInArrow(run, f"doc {kind}, th bigint, n bigint, k1 bigint, k2 bigint")
+
+
+def _posts(docs: DataFrame, width: int, similar: Fraction, plan: dict[int, int]) -> DataFrame:
+    """(k1, sig): what each set posts, once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen, at = Words(), set(), bands(1)
+        names, sigs, held = [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (names, sigs)], ["k1", "sig"])
+
+        for b in batches:
+            for text in (x.as_py() for x in b.column(0)):
+                g = ngrams(text, width, memo)
+                n, name = len(g), _named(g)
+                if not n or name in seen:
+                    continue
+                seen.add(name)
+                if n >= at[-1]:
+                    at = bands(n)
+                own = int(np.searchsorted(at, n, "right")) - 1
+                for k in (own, own - 1):
+                    upper = at[k + 1] - 1
+                    if k >= 0 and n * similar <= upper and differences(upper, similar) > 0:
+                        sigs.append(posts(g, k, *allocation(upper, similar, plan.get(k, 1))))
+                        names.append(np.full(len(sigs[-1]), name[0], np.uint64))
+                        held += len(sigs[-1])
+                if held > 1 << 16:
+                    yield batch()
+                    names, sigs, held = [], [], 0
+        if held:
+            yield batch()
+
+    return docs.select("t").mapInArrow(run, "k1 bigint, sig bigint")
 
 
 def similar_in(sets: list[np.ndarray], similar: Fraction) -> Union:
@@ -215,24 +238,31 @@ def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fract
     band = F.size(F.filter(lower, lambda x: x <= F.col("w"))) - 1  # over an aggregate: a lambda would count the words again for every bound
     plan = {r[0]: r[1] for r in d.groupBy(words.alias("w")).count().groupBy(band.alias("b")).agg(F.sum("count")).collect()}
 
-    sets = stage(_sets(d, width, similar, plan))
+    sets = stage(_sets(d, width))
     pivot = F.min("k1").over(W.partitionBy("sig"))
-    met = sets.select("k1", F.explode("posts").alias("sig")).withColumn("b", pivot).where("k1 != b").select(F.col("k1").alias("a"), "b").distinct()
+    met = _posts(d, width, similar, plan).withColumn("b", pivot).where("k1 != b").select(F.col("k1").alias("a"), "b").distinct()
     clusters = components(met)
 
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "th")
     each = stage(sets.where("n > 0").groupBy("k1", "k2").agg(F.min(order).alias("first"), F.first("n").alias("n")))
     members = each.join(clusters.withColumnRenamed("node", "k1"), "k1").select("k1", "k2", "n", "root", F.col("first.doc").alias("mdoc"), F.col("first.th").alias("mth"))
-    texts = d.join(members, d["doc"].eqNullSafe(F.col("mdoc")) & (d["th"] == F.col("mth")))
+    # similar sets have similar sizes: a cluster falls into parts by doubling sizes, and a set
+    # also joins the next part if its partners may be there; a part of one needs no text
+    part = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    reaches = F.col("n") * similar.denominator >= F.pow(F.lit(2.0), part + 1) * similar.numerator
+    parts = F.when(reaches, F.array(part, part + 1)).otherwise(F.array(part))
+    members = members.withColumn("_part", F.explode(parts)).withColumn("root", F.xxhash64("root", "_part"))
+    several = members.groupBy("root").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("root")
+    placed = stage(in_blocks(members.join(several, "root"), "root", "k2", BLOCK, "n").select("k1", "k2", "root", "mdoc", "mth", "_g", "_own"))
+    texts = d.join(placed, d["doc"].eqNullSafe(F.col("mdoc")) & (d["th"] == F.col("mth"))).select("k1", "k2", "root", "_g", "_own", "t")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for b in batches:
-            held = [ngrams(x.as_py(), width, memo).tobytes() for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(held, pa.binary())], ["k1", "k2", "n", "root", "grams"])
+            held = [ngrams(x.as_py(), width, memo).tobytes() for x in b.column(5)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(held, pa.binary())], ["k1", "k2", "root", "_g", "_own", "grams"])
 
-    held = texts.select("k1", "k2", "n", "root", "t").mapInArrow(grams, "k1 bigint, k2 bigint, n bigint, root bigint, grams binary")
-    groups = in_blocks(stage(held), "root", "k2", BLOCK, "n")
+    groups = dealt(texts.mapInArrow(grams, "k1 bigint, k2 bigint, root bigint, _g int, _own int, grams binary"), "root")
 
     def work(columns: list[list]) -> Iterator[tuple]:
         # rows that share id and text name one set
@@ -247,7 +277,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fract
     known = each.join(roots, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", F.struct("k1", "k2")))
     least = known.groupBy("root").agg(F.min("first").alias("least"))
     known = known.select("k1", "k2", "root").join(least, "root").select("k1", "k2", "least")
-    out = sets.drop("posts").join(known, ["k1", "k2"], "left")
+    out = sets.join(known, ["k1", "k2"], "left")
     one = F.when(F.col("n") > 0, F.col("least")).otherwise(order)
     return out.select(F.col("doc").alias(id_col), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), one["doc"].alias("component_id"), one["th"].alias("component_hash"))
 
