@@ -54,18 +54,21 @@ class Pieces:
         self.after: dict[str, object] = {}  # by the piece without the space before it
         self.own: dict[str, object] = {}  # by the exact piece
 
-    def _learn(self, memo: dict, keys: list[str], texts: list[str]) -> None:
+    def _learn(self, memo: dict, keys: list[str], texts: list[str]) -> dict:
+        """The values of new pieces, which the memo, emptied if it is full, takes up."""
+        learned = dict(zip(keys, self.encode(texts)))
         if len(memo) + len(keys) > MEMO:
             memo.clear()
-        memo.update(zip(keys, self.encode(texts)))
+        memo.update(learned)
+        return learned
 
     def _exact(self, pieces: list[str]) -> list:
-        new = list({p for p in pieces if p not in self.own})
-        if new:
-            self._learn(self.own, new, new)
-            if missing := [p for p in pieces if p not in self.own]:  # the memo was emptied
-                self._learn(self.own, missing, missing)
-        return [self.own[p] for p in pieces]
+        out = list(map(self.own.get, pieces))
+        if None in out:
+            new = list({p for p, v in zip(pieces, out) if v is None})
+            learned = self._learn(self.own, new, new)
+            out = [learned[p] if v is None else v for p, v in zip(pieces, out)]
+        return out
 
     def _regular(self, piece: str) -> bool:
         body = piece[1:] if piece[:1] == "\n" else piece
@@ -90,10 +93,10 @@ class Pieces:
             new = list({p for p, v in zip(pieces, out) if v is None})
             if self.spaces:
                 new = [p for p in new if self._regular(p)]
-                self._learn(self.after, new, [p if p[0] == "\n" else " " + p for p in new])
+                learned = self._learn(self.after, new, [p if p[0] == "\n" else " " + p for p in new])
             else:
-                self._learn(self.after, new, new)
-            out = list(map(get, pieces))
+                learned = self._learn(self.after, new, new)
+            out = [learned.get(p) if v is None else v for p, v in zip(pieces, out)]  # the memo may have been emptied
         if head is None or None in out:  # runs of white space: cut where that is allowed
             return self._exact(CUT.split(text))
         return head + out
@@ -138,7 +141,7 @@ def id_pieces(path: str, spaces: bool) -> Pieces:
                 slow.append(i)
                 continue
             word, end = plain.groups()
-            ids = merged(word if spaces else word.lower())
+            ids = merged(word if spaces else word.lower().lstrip(" "))
             if end:
                 if end not in marks:
                     if len(marks) > 10_000:

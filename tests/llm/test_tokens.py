@@ -40,6 +40,18 @@ def test_slices_and_full_memos(monkeypatch):
     assert np.frombuffer(ids, "<u4").tolist() == library(BYTES, text)
 
 
+@pytest.mark.parametrize("path,spaces", CASES)
+@pytest.mark.parametrize("memo", [1, 3, 6])
+def test_ids_do_not_depend_on_a_full_memo(monkeypatch, path, spaces, memo):
+    monkeypatch.setattr(pieces, "MEMO", memo)
+    p = pieces.id_pieces.__wrapped__(path, spaces)
+    text = "some words, here. " * 20 + "Other plain words\nand some more of them here, ÄRGER  two " * 20
+    for size in (50, 1 << 20):
+        ids = b"".join(v for s in pieces.slices(text, size) for v in p.values(s))
+        assert np.frombuffer(ids, "<u4").tolist() == library(path, text)
+    assert np.frombuffer(p.encode([" word"])[0], "<u4").tolist() == library(path, " word")
+
+
 def test_token_counts(docs, no_docs):
     got = sorted(map(tuple, token_counts.token_counts(docs, BYTES, limit=20).collect()), key=str)
     want = sorted(((k, len(t.encode()), n := len(library(BYTES, t)), n > 20) for k, t in rows(docs)), key=str)
