@@ -2,14 +2,16 @@
 
 A template is a text in lower case without marks in which names, numbers and units are
 typed placeholders.  A document leaks an item if windows of WIDTH template tokens cover
-at least half of the item's windows and, along each alignment that counts, every value of
-the item's slots is replaced by one value throughout.  So copies are found, and also
-questions asked again with other numbers, names or units.
+at least half of the item's windows.  A window counts if its slots have the item's own
+values, or if along its alignment each of their values is replaced by one value
+throughout.  So copies are found, and also questions asked again with other numbers,
+names or units.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.store import stage
@@ -46,10 +48,10 @@ def windows(df: DataFrame, tokens: str, width: int) -> DataFrame:
     return d.withColumn("_w", F.transform(starts, lambda i: F.xxhash64(*[F.col("_h")[i + k] for k in range(width)]))).drop("_h")
 
 
-def _slots(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, position, value) of the placeholders of texts."""
-    d = df.select(key, F.posexplode_outer(template(text, values=True)).alias("p", "t"))
-    return d.where(F.col("t").rlike(f"^[{NAME}-{UNIT}]")).select(key, "p", F.regexp_extract("t", f"{OPEN}(.*){CLOSE}", 1).alias("v"))
+def _slots(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """(keys, position, value) of the placeholders of texts."""
+    d = df.select(*keys, F.posexplode_outer(template(text, values=True)).alias("p", "t"))
+    return d.where(F.col("t").rlike(f"^[{NAME}-{UNIT}]")).select(*keys, "p", F.regexp_extract("t", f"{OPEN}(.*){CLOSE}", 1).alias("v"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literals: int = MIN_LITERALS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -58,7 +60,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
 
     Items under ``width`` template tokens, and windows with under ``min_literals`` tokens
     that are no placeholder, say too little and match nothing.  Null and empty texts leak
-    nothing; null ids never match; rows that share an id are judged together; empty tables
+    nothing; null ids never match; rows that share an id are judged together, each text along its
+    own alignments; empty tables
     give an empty table; other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null")
@@ -68,24 +71,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
     b = stage(b.where(F.col("w").isNotNull() & (F.size(literal) >= min_literals)).select("item", "q", "w"))
     sizes = b.groupBy("item").agg(F.countDistinct("q").alias("item_windows"))
 
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    w = windows(d.select("doc", template(F.col("text")).alias("tokens")), "tokens", width).select("doc", F.posexplode_outer("_w").alias("p", "w"))
+    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("doc is not null")
+    w = windows(d.select("doc", "th", template(F.col("text")).alias("tokens")), "tokens", width).select("doc", "th", F.posexplode_outer("_w").alias("p", "w"))
     known = F.broadcast(b) if b.count() <= BROADCAST_WINDOWS else b
-    hits = w.join(known, "w").select("doc", "item", "q", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    hits = w.join(known, "w").select("doc", "th", "item", "q", (F.col("p") - F.col("q")).alias("shift")).distinct()
     hits = stage(hits)  # only windows that occur in the benchmark: far fewer than those of the documents
 
     # enough of the item first, then the values of the documents that are left
     found = hits.groupBy("doc", "item").agg(F.countDistinct("q").alias("n")).join(sizes, "item").where("2 * n >= item_windows").select("doc", "item", "item_windows")
     found = stage(found)
-    runs = hits.join(found, ["doc", "item"]).groupBy("doc", "item", "shift").agg(F.min("q").alias("lo"), (F.max("q") + width - 1).alias("hi"))
-    few = d.join(found.select("doc").distinct(), "doc", "left_semi")
-    mine = _slots(few, "doc", F.col("text")).withColumnsRenamed({"p": "dp", "v": "dv"})
-    theirs = _slots(items.join(found.select("item").distinct(), "item", "left_semi"), "item", F.col("text")).withColumnsRenamed({"p": "ip", "v": "iv"})
-    pairs = runs.join(theirs, "item").where(F.col("ip").between(F.col("lo"), F.col("hi"))).withColumn("dp", F.col("ip") + F.col("shift")).join(mine, ["doc", "dp"])
-    values = pairs.groupBy("doc", "item", "shift", "iv").agg(F.countDistinct("dv").alias("k"), F.min(F.col("dv") == F.col("iv")).alias("same"))
-    slots = values.groupBy("doc", "item", "shift").agg(F.max("k").alias("k"), F.min("same").alias("same"))
-    judged = hits.join(found, ["doc", "item"]).join(slots, ["doc", "item", "shift"], "left").where("coalesce(k, 1) = 1")
-    out = judged.groupBy("doc", "item", "item_windows").agg(F.countDistinct("q").alias("n_windows"), F.min(F.coalesce("same", F.lit(True))).alias("same_values"))
+    along = ["doc", "th", "item", "shift"]  # an alignment
+    held = hits.join(found, ["doc", "item"])
+    runs = held.groupBy(*along).agg(F.min("q").alias("lo"), (F.max("q") + width - 1).alias("hi"))
+    few = d.join(found.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "th"])
+    mine = _slots(few, ["doc", "th"], F.col("text")).withColumnsRenamed({"p": "dp", "v": "dv"})
+    theirs = _slots(items.join(found.select("item").distinct(), "item", "left_semi"), ["item"], F.col("text")).withColumnsRenamed({"p": "ip", "v": "iv"})
+    pairs = runs.join(theirs, "item").where(F.col("ip").between(F.col("lo"), F.col("hi"))).withColumn("dp", F.col("ip") + F.col("shift")).join(mine, ["doc", "th", "dp"])
+    value, whole = W.partitionBy(*along, "iv"), W.partitionBy(*along)
+    same = F.col("dv") == F.col("iv")
+    slots = pairs.withColumns({"same": same, "one": F.min("dv").over(value) == F.max("dv").over(value), "all_same": F.min(same).over(whole)})
+    slots = slots.select(*along, "same", "one", "all_same", F.explode(F.sequence(F.col("ip") - (width - 1), F.col("ip"))).alias("q"))
+    slots = slots.groupBy(*along, "q").agg(F.min("same").alias("same"), F.min("one").alias("one"), F.min("all_same").alias("all_same"))
+    judged = held.join(slots, [*along, "q"], "left").where("coalesce(same or one, true)")
+    out = judged.groupBy("doc", "item", "item_windows").agg(F.countDistinct("q").alias("n_windows"), F.min(F.coalesce("all_same", F.lit(True))).alias("same_values"))
     return out.where("2 * n_windows >= item_windows").select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "item_windows", "same_values")
 
 

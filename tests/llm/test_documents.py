@@ -218,6 +218,18 @@ def test_leaks(spark, docs, no_docs, monkeypatch):
     assert rows(decontam.leaks(real, bench), "doc_id", "item_id") == want
 
 
+LONG_QUESTION = QUESTION + " Explain every step of the long way to your answer, then check the sum again with a friend of yours, since Alice still has 12 apples in mind."
+
+
+def test_leaks_by_window(spark):
+    said = [(1, LONG_QUESTION.replace("has 12 apples in mind", "has 31 apples in mind")), (2, LONG_QUESTION), (2, LONG_QUESTION.replace("5 apples", "6 apples").replace("12 days", "13 days")), (3, QUESTION.replace("12 days", "31 days"))]
+    d = spark.createDataFrame(said, "doc_id long, text string")
+    items = spark.createDataFrame([(1, LONG_QUESTION), (2, QUESTION)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows) for r in decontam.leaks(d, items).collect()}
+    n = got[2, 1][1]
+    assert got[1, 1][0] < n and got[2, 1] == (n, n) and (3, 2) not in got and (3, 1) not in got
+
+
 def test_archives(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/ \r\nq", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "ü", "é" * 200_000), (2, "http://b/ \r\nq", "<p>x</p>"), (None, "n", "<p>x</p>")]
     d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"id": F.lit(0), "p": F.lit(0), "k": F.lit(0)})
