@@ -59,7 +59,7 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), any_case=True)
 
 
 @query

@@ -230,6 +230,14 @@ def test_leaks_by_window(spark):
     assert got[1, 1][0] < n and got[2, 1] == (n, n) and (3, 2) not in got and (3, 1) not in got
 
 
+def test_leaks_in_any_case(spark):
+    said = [(1, QUESTION.upper()), (2, QUESTION.title()), (3, QUESTION.lower()), (4, QUESTION), (5, QUESTION.upper().replace("5 APPLES", "7 APPLES")), (6, QUESTION.upper().replace("12 DAYS", "31 DAYS")), (7, "Other words in CAPITALS only, which ask nobody for anything at all today")]
+    d = spark.createDataFrame(said, "doc_id long, text string")
+    items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    found = {r.doc_id: r.same_values for r in decontam.leaks(d, items, any_case=True).collect()}
+    assert found == {1: True, 2: True, 3: True, 4: True, 5: False}
+
+
 def test_archives(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/ \r\nq", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "ü", "é" * 200_000), (2, "http://b/ \r\nq", "<p>x</p>"), (None, "n", "<p>x</p>")]
     d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"id": F.lit(0), "p": F.lit(0), "k": F.lit(0)})
