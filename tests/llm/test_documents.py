@@ -123,6 +123,14 @@ def test_line_classes(spark, docs, no_docs, monkeypatch):
     assert line_dedup.line_classes(no_docs).count() == 0 and line_dedup.without_duplicates(no_docs).count() == 0
 
 
+def test_short_lines_have_classes(spark):
+    texts = [(1, "Les.\n----\n\nRead more here now\n7"), (2, "Les.\n----\n\nRead mare here, now\n7"), (3, "Les!\n}\n}\nRead all of it here\n----------------\n----------------")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.class_size) for r in line_dedup.line_classes(d).collect()}
+    linked = {k: v for k, v in got.items() if v[2] > 1}
+    assert linked == {(1, 0): (1, 0, 2), (2, 0): (1, 0, 2), (1, 3): (1, 3, 2), (2, 3): (1, 3, 2), (1, 4): (1, 4, 2), (2, 4): (1, 4, 2), (3, 4): (3, 4, 2), (3, 5): (3, 4, 2)}
+
+
 @pytest.mark.parametrize("width,similar", [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
 def test_similar_documents(spark, docs, no_docs, width, similar, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 2000)
