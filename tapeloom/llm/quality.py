@@ -21,6 +21,10 @@ WINDOW = 5
 #: Distances beyond which a document is unlike its language, and the words (for the
 #: second, also common words expected) it needs before the distance says anything.
 MAX_CLASS, MAX_WORDS, MIN_WORDS = 0.3, 0.5, 50
+#: Common words by themselves: the part of its language's share of them below which a text lacks
+#: them, the distance inside the list beyond which they are another language's, and the hits
+#: expected, or found, before each says anything.
+MIN_SHARE, MAX_INSIDE, MIN_EXPECTED, MIN_FOUND = 0.25, 0.5, 10, 30
 
 
 def words_of(text: Column) -> Column:
@@ -98,9 +102,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_words: float = MAX_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_words: float = MAX_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", by_share: bool = False) -> DataFrame:
     """One row per input row with its counts, distances, ``base_failed`` and ``kept``.
 
+    ``by_share`` also drops texts that lack their language's common words or use those of
+    another language (MIN_SHARE, MAX_INSIDE), which ``max_words`` cannot see.
+
     A null text has no words (and so fails the base rules); a null or unlisted language is
     compared with all such documents by character classes only; a text under ``min_words``
     words is judged by the base rules alone.  Repeated rows and ids each get their row; an
@@ -115,5 +122,12 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_words: floa
     d = d.withColumn("word_distance", F.when(F.size("hits") > 0, js_distance(shares(own, F.col("n_words")), shares(ref, F.col("ref_words")))).otherwise(0.0))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     unlike = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_words))
+    if by_share:
+        hits, ref_hits = sum_of(F.col("hits")), sum_of(F.slice("ref_hits", 1, F.size("hits")))
+        expected = F.col("n_words") * ref_hits / F.greatest("ref_words", F.lit(1))
+        inside = js_distance(shares(F.col("hits"), hits), shares(F.slice("ref_hits", 1, F.size("hits")), ref_hits))
+        lacking = (expected >= MIN_EXPECTED) & (hits < MIN_SHARE * expected)
+        strange = (hits >= MIN_FOUND) & (inside > MAX_INSIDE)
+        unlike = unlike | ((F.size("hits") > 0) & (F.col("n_words") >= min_words) & (lacking | strange))
     d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~unlike)
     return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")

@@ -69,6 +69,21 @@ def test_quality_rules(spark, docs, no_docs):
     assert r[0] == 0 and abs(r[1] - 1) < 1e-12
 
 
+def test_common_words_by_themselves(spark):
+    rng = random.Random(5)
+
+    def text(lang, n, common=0.22):
+        words = quality.COMMON[lang]
+        return " ".join(rng.choices(words, range(20, 0, -1))[0] if rng.random() < common else "".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+
+    clean = [(100 * i + j, text(k, n), k) for i, k in enumerate(quality.COMMON) for j, n in enumerate((60, 120, 400, 1000) * 10)]
+    bad = [(1000 + i, text("en", n, 0), "en") for i, n in enumerate((60, 400))]
+    bad += [(1100 + i, text(a, 600), b) for i, (a, b) in enumerate([("de", "en"), ("fr", "es"), ("es", "fr"), ("en", "de")])]
+    d = spark.createDataFrame(clean + bad, "doc_id long, text string, lang string")
+    dropped = {r.doc_id for r in quality.quality_rules(d, by_share=True).where("not kept").collect()}
+    assert dropped ^ {k for k, *_ in bad} == set()
+
+
 def edit(rng, s, n):
     s = list(s)
     for _ in range(n):
