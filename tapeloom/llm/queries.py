@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
-from . import decontam, line_dedup, ngram_join, packing, quality, quality_sql, quotes, sharding, token_counts, token_files, warc
+from . import decontam, fingerprints, importance, importance_sql, line_dedup, ngram_join, packing, quality, quality_sql, quotes, sharding, token_counts, token_files, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +82,21 @@ def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.conversations(table(spark, sf, "conversations"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLE["op12_importance_resampling"] = importance_sql.SQL
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf, "documents"))
