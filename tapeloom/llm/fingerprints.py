@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 K, S, KEEP = 8, 3, 48
 #: Characters of a text handled at once.
 SLICE = 1 << 20
-#: Rows of a range of ids.
-RANGE_ROWS = 20_000
+#: Rows of a range of ids at least, and ranges of a task at most.
+RANGE_ROWS, RANGES = 2000, 8
 #: Bytes of texts that a task holds to combine equal rows.
 HELD_BYTES = 32 << 20
 
@@ -121,15 +121,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _cuts(docs: DataFrame, id_col: str) -> tuple[np.ndarray, int]:
-    """Upper ids of the ranges (an id with many rows several times) and the ranges of null ids."""
+def _cuts(docs: DataFrame, id_col: str, tasks: int) -> tuple[np.ndarray, int]:
+    """Upper ids of the ranges (an id with many rows several times) and the ranges of null
+    ids; tasks get several ranges each, so that they are evenly filled."""
     n, nulls = docs.agg(F.count(id_col), F.count_if(F.col(id_col).isNull())).first()
-    k = n // RANGE_ROWS
+    rows = max(RANGE_ROWS, (n + nulls) // (RANGES * tasks))
+    k = n // rows
     cuts = []
     if k:
         shares = F.array(*[F.lit(i / (k + 1)) for i in range(1, k + 1)])
         cuts = docs.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 20 * k)))).first()[0] or []
-    return np.array(cuts, np.int64), nulls // RANGE_ROWS + 1
+    return np.array(cuts, np.int64), nulls // rows + 1
 
 
 def ranges(ids: pa.Array, hashes: np.ndarray, cuts: np.ndarray, for_null: int) -> np.ndarray:
@@ -175,7 +177,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.select("id", F.xxhash64("t").alias("h"), "t")
-    cuts, for_null = _cuts(d, "id")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    cuts, for_null = _cuts(d, "id", tasks)
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[int, tuple] = {}
@@ -257,7 +260,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch()
 
     placed = d.mapInArrow(place, "r bigint, last boolean, id bigint, h bigint, n bigint, t binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = placed.repartition(tasks, "r").sortWithinPartitions("r", "last", "id", "h")
     found = ordered.mapInArrow(compare, f"{id_col} bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.withColumn(id_col, F.col(id_col).cast(kind))

@@ -173,7 +173,7 @@ def test_likeness_follows_shared_text():
     assert fingerprints.likeness(f(""), f("")) == 1.0 and fingerprints.likeness(f(""), f(a)) == 0.0
 
 
-@pytest.mark.parametrize("range_rows", [20_000, 3])
+@pytest.mark.parametrize("range_rows", [2000, 3])
 def test_fingerprints(spark, docs, no_docs, range_rows, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", range_rows)
     copies = spark.range(25).select(F.lit(3).cast("long").alias("doc_id"), F.when(F.col("id") > 9, F.lit("copies of one text, many times")).otherwise(F.concat(F.lit("own text "), F.col("id"))).alias("text"))
