@@ -14,6 +14,7 @@ from ..operators import signals as G
 from ..operators.asof import asof_join
 from ..operators.blocks import in_blocks
 from ..operators.spread import salted_join
+from ..plans import grouped as GR
 from ..plans import models as M
 from ..plans import panel as PN
 from ..plans import regime_fit as H
@@ -126,6 +127,23 @@ def ml01(spark, sf):
     return M.score_entry(m, te, known=tr).select(*K, "label_long", "proba")
 
 
+def fit_trees(rows):
+    return M.fit_entry(rows, FEATURES, "label_long")
+
+
+@query("ml01_model_bundles")
+def ml01_bundles(spark, sf):
+    """A model per ticker, one per asset class and a pooled one; each row takes the first of
+    these it has."""
+    tr, te = split(ml_panel(spark, sf))
+    by_ticker = GR.KeyModels.fit(tr, "ticker", FEATURES, "label_long")
+    by_class = GR.ClassModels.fit(tr, "asset_class", fit_trees, "label_long")
+    d = M.score_entry(fit_trees(tr), te, "pooled")
+    d = by_class.score(d, "class", M.score_entry)
+    d = GR.with_fallback(by_ticker.score(d, "own"), ["own", "class", "pooled"])
+    return d.select(*K, "asset_class", "label_long", "own", "class", "pooled", "proba", "model_level")
+
+
 @query("ml02_short_model")
 def ml02(spark, sf):
     tr, te = split(ml_panel(spark, sf))

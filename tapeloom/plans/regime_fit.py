@@ -87,11 +87,13 @@ def forward(m: Chains, dens: np.ndarray, first: np.ndarray, before: np.ndarray |
     return seen, scale
 
 
-def backward(m: Chains, dens: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Scaled backward variables (n, T, S)."""
+def backward(m: Chains, dens: np.ndarray, scale: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Scaled backward variables (n, T, S); ones in the rows that fill a window up, where
+    the product would run to nothing or beyond bounds."""
     out = np.ones_like(dens)
     for t in range(dens.shape[1] - 2, -1, -1):
-        out[:, t] = np.einsum("nsk,nk->ns", m.move, dens[:, t + 1] * out[:, t + 1]) / scale[:, t + 1, None]
+        step = np.einsum("nsk,nk->ns", m.move, dens[:, t + 1] * out[:, t + 1]) / scale[:, t + 1, None]
+        out[:, t] = np.where((first <= t)[:, None], step, 1.0)
     return out
 
 
@@ -120,7 +122,7 @@ def fit(windows: list[np.ndarray], rounds: int = 10) -> Chains:
     for _ in range(rounds):
         dens, _ = densities(g, x)
         ahead, scale = forward(g, dens, first)
-        behind = backward(g, dens, scale)
+        behind = backward(g, dens, scale, first)
         share = ahead * behind
         share = share / share.sum(2, keepdims=True) * live[:, :, None]
         into = dens[:, 1:] * behind[:, 1:] / scale[:, 1:, None] * follows[:, :, None]
