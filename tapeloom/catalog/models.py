@@ -18,6 +18,7 @@ from ..plans import grouped as GR
 from ..plans import models as M
 from ..plans import panel as PN
 from ..plans import regime_fit as H
+from ..plans import targets as TG
 from ..plans import walkforward as V
 from ..sources.store import scratch, stage
 from ..streaming import streams as T
@@ -194,32 +195,53 @@ def ml07(spark, sf):
     return out(M.compare_directions(d, "y", "a", "b"), [], ["accuracy_a", "accuracy_b", "agreement"], ["actual", *CMP, "n"])
 
 
+def search_rows(spark, sf, grid):
+    """Features, costs and the labels of every candidate on the daily bars."""
+    dim = supplier_dim(spark, sf).select("ticker", "asset_class", "round_trip_bps", (F.col("round_trip_bps") + 2).alias("cost_floor_bps"), F.lit(45.0).alias("stop_bps"))
+    lab = TG.labelled(salted_join(daily(spark, sf), dim, ["ticker"]), grid, DAILY)
+    return ml_panel(spark, sf).select(*K, *FEATURES).join(lab.select(*K, "round_trip_bps", "fwd", "ends", "entry", "direction"), K)
+
+
+GRID, WAYS = TG.Grid(), TG.Grid(tuple(h for h in TG.HORIZONS if h >= TG.DIRECTION_LEAST_HORIZON))
+
+
 @query("ml08_target_candidates")
 def ml08(spark, sf):
-    """Label candidates by purged folds: one fit per candidate over all tickers."""
-    d = daily(spark, sf)
-    dim = supplier_dim(spark, sf)
-    floors = dim.select("ticker", (F.col("round_trip_bps") + 2).alias("cost_floor_bps"))
-    cand = L.candidate_specs(floors, (12, 24), ("after_costs",), (1.0, 1.5))
-    feats = ml_panel(spark, sf).select(*K, *FEATURES, "round_trip_bps")
-    rows = []
-    for h in (12, 24):
-        for m in (1.0, 1.5):
-            spec = cand.where((F.col("horizon") == h) & (F.col("threshold_mult") == m)).withColumn("stop_bps", F.lit(45.0))
-            lab = L.spec_labels(d, spec, 24, DAILY).select(*K, "label_entry", "fwd_ret_entry")
-            x = stage(feats.join(lab, K))
-            tr, te = split(x)
-            s = M.score_entry(M.fit_entry(tr, FEATURES, "label_entry", params={"maxDepth": 2, "maxIter": 2}), te)
-            st = E.top_decile_stats(s, ["ticker"], "proba", "fwd_ret_entry", "round_trip_bps").select("ticker", "net_bps")
-            rate = x.groupBy("ticker").agg(F.avg("label_entry").alias("positive_rate"))
-            rows.append(st.join(rate, "ticker").withColumns({"horizon": F.lit(h), "threshold_mult": F.lit(m)}))
-    u = rows[0]
-    for x in rows[1:]:
-        u = u.unionByName(x)
-    u = u.withColumns({"cv": F.lit(0.3), "net_edge_bps": F.coalesce("net_bps", F.lit(-99.0)), "bars_per_year": F.lit(252.0)}).withColumn("score", S.target_score())
-    from ..operators.aggregates import best_candidate
-
-    return best_candidate(u, ["ticker"], F.when(F.col("net_edge_bps") > 0, 1).otherwise(0), "score", "horizon").select("ticker", "horizon", "threshold_mult", "net_edge_bps", "score")
+    """All entry candidates of each ticker over purged folds; the best one."""
+    found = TG.search_entry(search_rows(spark, sf, GRID), FEATURES, GRID, bars_per_year=252.0)
+    return TG.best_entry(found).select("ticker", "horizon", "label_type", "threshold_mult", "net_edge_bps", "positive_rate", "cv", "n_folds", "score")
+
+
+@query("ml08_direction_candidates")
+def ml08_direction(spark, sf):
+    """All direction candidates of each ticker over purged folds; the best one."""
+    found = TG.search_direction(search_rows(spark, sf, WAYS), FEATURES, WAYS, bars_per_year=252.0)
+    return TG.best_direction(found).select("ticker", "horizon", "label_type", "threshold_mult", "direction_accuracy", "n_folds", "flat_rate", "long_rate", "short_rate", "long_edge_bps", "short_edge_bps", "feasible", "score")
+
+
+RATES = ["flat_rate", "long_rate", "short_rate", "flat_edge_bps", "long_edge_bps", "short_edge_bps"]
+_hit = lambda cond: f"nullif(list_position(list_transform(p, lambda x: {cond}), true), 0)"
+_cut = lambda c: f"CASE WHEN {c} <= h THEN {c} END"
+SQL_RATES = f"""WITH {SQL_DAILY}, {SQL_SUPPLIERS}, fl AS (SELECT daily.*, 2 * (commission_bps + slippage_bps) + 2 AS fl FROM daily JOIN dim USING (ticker)),
+pt AS (SELECT *, list_transform(coalesce(list(close) OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 96 FOLLOWING), []), lambda x: x / close - 1) AS p FROM fl),
+lv AS (SELECT ticker, ts, p, len(p) AS n, t, m, round(fl * m, 2) / 10000 AS thr FROM pt, (VALUES (0, 1.0), (1, 1.25), (2, 1.5)) v(t, m)),
+ht AS (SELECT *, {_hit('x >= thr')} AS ut, {_hit('x <= -thr')} AS dt, {_hit('x >= 0.0045')} AS us, {_hit('x <= -0.0045')} AS ds FROM lv),
+cd AS (SELECT *, CASE WHEN n >= h THEN p[h] END AS f, {_cut('ut')} AS u, {_cut('dt')} AS d, {_cut('us')} AS u2, {_cut('ds')} AS d2 FROM ht, (VALUES (0, 24), (1, 36), (2, 48), (3, 72), (4, 96)) g(i, h), (VALUES (0), (1)) y(kind)),
+wn AS (SELECT *, i * 6 + kind * 3 + t AS cand, CASE WHEN u IS NOT NULL AND (d2 IS NULL OR u < d2) THEN u END AS lw, CASE WHEN d IS NOT NULL AND (u2 IS NULL OR d < u2) THEN d END AS sw FROM cd),
+wy AS (SELECT *, CASE WHEN kind = 1 THEN CASE WHEN f IS NULL THEN NULL WHEN f >= thr AND NOT f <= -thr THEN 1 WHEN f <= -thr AND NOT f >= thr THEN 2 ELSE 0 END
+  WHEN lw IS NOT NULL AND (sw IS NULL OR lw < sw) THEN 1 WHEN sw IS NOT NULL AND (lw IS NULL OR sw < lw) THEN 2 WHEN lw IS NOT NULL OR n >= h THEN 0 END AS way FROM wn),
+rt AS (SELECT ticker, cand, count(*) AS n, avg(CASE WHEN way = 0 THEN 1.0 ELSE 0.0 END) AS flat_rate, avg(CASE WHEN way = 1 THEN 1.0 ELSE 0.0 END) AS long_rate, avg(CASE WHEN way = 2 THEN 1.0 ELSE 0.0 END) AS short_rate,
+  coalesce(avg(f * 10000) FILTER (way = 0), 0) AS flat_edge_bps, coalesce(avg(f * 10000) FILTER (way = 1), 0) AS long_edge_bps, coalesce(avg(-f * 10000) FILTER (way = 2), 0) AS short_edge_bps FROM wy WHERE way IS NOT NULL GROUP BY 1, 2)
+SELECT ticker, {sel(RATES, 4)}, CAST(cand AS BIGINT) AS cand, n FROM rt"""
+
+
+@query("ml08_direction_rates", SQL_RATES)
+def ml08_rates(spark, sf):
+    """Class shares and edges of every direction candidate of each ticker."""
+    dim = supplier_dim(spark, sf).select("ticker", (F.col("round_trip_bps") + 2).alias("cost_floor_bps"), F.lit(45.0).alias("stop_bps"))
+    lab = TG.labelled(salted_join(daily(spark, sf), dim, ["ticker"]), WAYS, DAILY)
+    lab = stage(lab.select("ticker", "fwd", "direction"))
+    return out(TG.direction_rates(lab, WAYS), ["ticker"], RATES, ["cand", "n"], d=4)
 
 
 @query("ml09_grid_search")
