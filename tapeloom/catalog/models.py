@@ -11,17 +11,20 @@ from ..operators import audits as E
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import signals as G
+from ..operators.aggregates import preferred_side
 from ..operators.asof import asof_join
 from ..operators.blocks import in_blocks
 from ..operators.spread import salted_join
 from ..plans import grouped as GR
 from ..plans import models as M
 from ..plans import panel as PN
+from ..plans import policies as PO
 from ..plans import regime_fit as H
 from ..plans import targets as TG
 from ..plans import walkforward as V
 from ..sources.store import scratch, stage
 from ..streaming import streams as T
+from .audits import side_audit
 from .bars import SQL_SUPPLIERS, supplier_dim
 from .base import DAILY, INTRADAY, SQL_BARS, SQL_DAILY, SQL_TICKS, W, bars, daily, out, query, r, rnd, sel, smean, sstd, table, ticks
 from .features import SHAPE_D, lag, schange, sql_envelope, sql_observations
@@ -273,6 +276,10 @@ def wf09(spark, sf):
 # ---- policies ---------------------------------------------------------------
 
 
+# a ticker of the given tables has some 600 days: a quarter of them, not the 200 rows that bars of a few minutes allow
+HELD_ROWS, TRADES = 100, 20
+
+
 def gate_rows(spark, sf):
     d = scored(spark, sf)
     return d.select(*K, "round_trip_bps", F.col("proba").alias("gate_score"), F.col("fwd_ret").alias("gate_ret")).where(F.col("gate_ret").isNotNull())
@@ -293,38 +300,84 @@ def cal01(spark, sf):
     return d.select("ticker", rnd("cv_net", 4).alias("cv_net"), F.col("n_val").cast("bigint").alias("n_val"), "quality_ok")
 
 
-@query("cal02_isotonic_threshold")
+def sql_threshold(src: str, key: str, x: str, y: str, lo, hi, name: str, points: int = 40, fallback: float = 0.85) -> str:
+    """The smallest quantile whose rising fit reaches 0: running sums and minima find the crossing."""
+    qs = ", ".join(str(0.05 + (0.99 - 0.05) * i / (points - 1)) for i in range(points))
+    w = f"(PARTITION BY {key} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""{name}0 AS (SELECT {key}, {x} AS x, count(*) AS k, sum({y}) AS s FROM {src} WHERE {y} IS NOT NULL GROUP BY 1, 2),
+{name}1 AS (SELECT *, sum(s) OVER {w} AS c, sum(k) OVER {w} AS nc FROM {name}0), {name}2 AS (SELECT *, c - s AS e, nc - k AS nb FROM {name}1),
+{name}3 AS (SELECT *, min(e) OVER {w} AS pe, min(c) OVER (PARTITION BY {key} ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sc FROM {name}2),
+{name}4 AS (SELECT {key}, sum(k) AS n, min(x) FILTER (pe <= sc) AS xh FROM {name}3 GROUP BY 1), {name}5 AS (SELECT f.*, e AS e0, nb AS b0 FROM {name}4 f LEFT JOIN {name}2 t ON t.{key} = f.{key} AND t.x = f.xh),
+{name}6 AS (SELECT t.{key}, min((c - e0) / (nc - b0)) FILTER (x >= xh) AS vh, max(x) FILTER (x < xh) AS xb, max(CASE WHEN x < xh THEN (e0 - e) / (b0 - nb) END) AS vb FROM {name}2 t JOIN {name}5 f ON t.{key} = f.{key} GROUP BY 1),
+{name}7 AS (SELECT {key}, quantile_cont({x}, [{qs}]) AS grid, quantile_cont({x}, {fallback}) AS qf FROM {src} WHERE {y} IS NOT NULL GROUP BY 1),
+{name}8 AS (SELECT g.{key}, qf, CASE WHEN n >= 50 THEN list_filter(grid, lambda g: g >= xh OR (g > xb AND vb + (vh - vb) / (xh - xb) * (g - xb) >= 0))[1] END AS hit FROM {name}7 g JOIN {name}5 f ON g.{key} = f.{key} JOIN {name}6 v ON g.{key} = v.{key}),
+{name} AS (SELECT {key}, greatest({lo}, least({hi}, coalesce(hit, qf))) AS threshold, hit IS NOT NULL AS reached FROM {name}8)"""
+
+
+@query("cal02_isotonic_threshold", f"WITH {SQL_SCORED}, nr AS (SELECT ticker, proba * 100 AS x0, (fwd_ret - round_trip_bps / 10000) * 10000 AS y0 FROM scored WHERE fwd_ret IS NOT NULL), {sql_threshold('nr', 'ticker', 'x0', 'y0', 30, 95, 'th')} SELECT ticker, {r('threshold', 4)} AS threshold, reached FROM th")
 def cal02(spark, sf):
     d = G.net_returns(scored(spark, sf), "fwd_ret").withColumns({"x": F.col("proba") * 100, "y": F.col("net_ret") * 1e4})
-    return M.isotonic_threshold(stage(d.select("ticker", "x", "y").where(F.col("y").isNotNull())), ["ticker"], "x", "y", lo=30, hi=95)
+    t = PO.isotonic_threshold(stage(d.select("ticker", "x", "y").where(F.col("y").isNotNull())), ["ticker"], "x", "y", lo=30, hi=95)
+    return t.select("ticker", rnd("threshold", 4).alias("threshold"), "reached")
 
 
-BUYS, EDGES = (52.0, 55.0, 58.0), (0.0, 4.0, 8.0)
-SQL_GRID_POLICY = f"""{SQL_PANEL}, pn AS (SELECT *, CASE WHEN position_side < 0 THEN -fwd_ret ELSE fwd_ret END - round_trip_bps / 10000 AS net FROM panel WHERE fwd_ret IS NOT NULL),
-cnd AS (SELECT b, m FROM (VALUES (52.0), (55.0), (58.0)) x(b), (VALUES (0.0), (4.0), (8.0)) y(m)), gp AS (SELECT asset_class, year(ts) AS split, b, m, avg(net) * 10000 AS net_bps, count(*) AS n FROM pn, cnd WHERE CASE WHEN position_side > 0 THEN score >= b AND edge >= m WHEN position_side < 0 THEN score <= 100 - b AND edge <= -m ELSE false END GROUP BY 1, 2, 3, 4),
-gb AS (SELECT asset_class, b, m, avg(net_bps) AS net_bps, CAST(sum(n) AS BIGINT) AS n_trades FROM gp WHERE n >= 20 GROUP BY 1, 2, 3)"""
+BUYS = (52.0, 55.0, 58.0)
+# fixed values: bounds of both thresholds
+BUY_LO, BUY_HI, EDGE_LO, EDGE_HI = 30.0, 55.0, 4.0, 12.0
 
 
 def policy_rows(spark, sf):
     d = panel(spark, sf).where(F.col("fwd_ret").isNotNull())
-    return G.net_returns(d, "fwd_ret", side="position_side").withColumn("split", F.year("ts").cast("bigint"))
+    return G.net_returns(d, "fwd_ret", side="position_side")
+
+
+def proposals(rows, keys):
+    """Isotonic proposals for both thresholds of each key."""
+    d = rows.withColumn("y", F.col("net_ret") * 1e4)
+    buy = PO.isotonic_threshold(d, keys, "score", "y", lo=BUY_LO, hi=BUY_HI, name="buy")
+    edge = PO.isotonic_threshold(d, keys, "expected_edge_bps", "y", lo=EDGE_LO, hi=EDGE_HI, name="edge")
+    return stage(buy.drop("reached").join(edge.drop("reached"), keys))
+
+
+def searched(rows, keys, centres, lay, min_trades):
+    """The best candidate around the centres over chronological validation blocks."""
+    grids = PO.centred_grids(centres, keys, buy_lo=BUY_LO, buy_hi=BUY_HI, edge_lo=EDGE_LO, edge_hi=EDGE_HI)
+    blocks = V.expanding_splits(rows, 3, lay).where("role = 'validate'")
+    return PO.best_of_grid(PO.grid_nets(blocks, grids, keys, "split"), keys, min_trades=min_trades)
+
+
+BY_CLASS = DAILY.with_(keys=("asset_class",), order=("ts", "ticker"))
+_steps = lambda c, by, lo, hi: f"list_distinct(list_transform([{', '.join(f'{c} + ({s})' for s in by)}, {lo}, {hi}], lambda v: round(greatest({lo}, least({hi}, v)), 9)))"
+SQL_GRID_POLICY = f"""{SQL_PANEL}, pn AS (SELECT *, CASE WHEN position_side < 0 THEN -fwd_ret ELSE fwd_ret END - round_trip_bps / 10000 AS net FROM panel WHERE fwd_ret IS NOT NULL),
+py AS (SELECT *, net * 10000 AS y FROM pn), {sql_threshold('py', 'asset_class', 'score', 'y', BUY_LO, BUY_HI, 'pb')}, {sql_threshold('py', 'asset_class', 'edge', 'y', EDGE_LO, EDGE_HI, 'pe')},
+cgr AS (SELECT pb.asset_class, pb.threshold AS buy, pe.threshold AS edg, {_steps('pb.threshold', PO.BUY_STEPS, BUY_LO, BUY_HI)} AS buys, {_steps('pe.threshold', PO.EDGE_STEPS, EDGE_LO, EDGE_HI)} AS edges FROM pb JOIN pe ON pb.asset_class = pe.asset_class),
+cnd AS (SELECT asset_class, buy, edg, b, unnest(edges) AS m FROM (SELECT *, unnest(buys) AS b FROM cgr)),
+sp0 AS (SELECT *, row_number() OVER (PARTITION BY asset_class ORDER BY ts, ticker) - 1 AS p, count(*) OVER (PARTITION BY asset_class) AS n FROM pn), sp1 AS (SELECT *, unnest([0, 1, 2]) AS split FROM sp0),
+sp2 AS (SELECT * FROM sp1 WHERE p >= (n // 4) * (split + 1) AND p < CASE WHEN split = 2 THEN n ELSE (n // 4) * (split + 2) END),
+gp AS (SELECT sp2.asset_class, split, b, m, avg(net) * 10000 AS net_bps, count(*) AS n FROM sp2 JOIN cnd ON sp2.asset_class = cnd.asset_class WHERE impulse >= 0 AND CASE WHEN position_side > 0 THEN score >= b AND edge >= m WHEN position_side < 0 THEN 100 - score >= b AND -edge >= m ELSE false END GROUP BY 1, 2, 3, 4),
+gb AS (SELECT asset_class, b, m, avg(net_bps) AS net_bps, CAST(sum(n) AS BIGINT) AS n_trades FROM gp WHERE n >= 200 GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY asset_class ORDER BY round(net_bps, 9) DESC, n_trades DESC, b DESC, m) AS rn FROM gb)"""
 
 
-@query("cal03_policy_grid", f"WITH {SQL_GRID_POLICY}, k AS (SELECT *, row_number() OVER (PARTITION BY asset_class ORDER BY net_bps DESC, b, m) AS rn FROM gb) SELECT asset_class, {r('b')} AS buy_threshold, {r('m')} AS min_edge_bps, {r('net_bps', 4)} AS net_bps, n_trades FROM k WHERE rn = 1")
+@query("cal03_policy_grid", f"WITH {SQL_GRID_POLICY} SELECT k.asset_class, {r('buy', 4)} AS buy_proposal, {r('edg', 4)} AS edge_proposal, {r('b', 4)} AS buy_threshold, {r('m', 4)} AS min_edge_bps, {r('net_bps', 4)} AS net_bps, n_trades FROM k JOIN cgr ON k.asset_class = cgr.asset_class WHERE rn = 1")
 def cal03(spark, sf):
-    g = M.policy_grid(policy_rows(spark, sf), ["asset_class", "split"], BUYS, EDGES)
-    b = M.best_policy(g, ["asset_class"])
-    return b.select("asset_class", rnd("buy_threshold").alias("buy_threshold"), rnd("min_edge_bps").alias("min_edge_bps"), rnd("net_bps", 4).alias("net_bps"), F.col("n_trades").cast("bigint").alias("n_trades"))
+    rows = stage(policy_rows(spark, sf).select(*K, "asset_class", "score", "expected_edge_bps", "position_side", "impulse", "net_ret"))
+    centres = proposals(rows, ["asset_class"])
+    b = searched(rows, ["asset_class"], centres, BY_CLASS, 200).join(centres.select("asset_class", F.col("buy").alias("buy_proposal"), F.col("edge").alias("edge_proposal")), "asset_class")
+    return out(b, ["asset_class"], ["buy_proposal", "edge_proposal", "buy_threshold", "min_edge_bps", "net_bps"], ["n_trades"], d=4)
 
 
 @query("cal04_policy_table")
 def cal04(spark, sf):
-    rows = stage(policy_rows(spark, sf).select(*K, "split", "score", "expected_edge_bps", "position_side", "impulse", "net_ret", "proba", "fwd_ret", "round_trip_bps"))
-    best = M.best_policy(M.policy_grid(rows, ["ticker", "split"], BUYS, EDGES, min_trades=5), ["ticker"])
-    gate = rows.select(*K, "round_trip_bps", F.col("proba").alias("gate_score"), F.col("fwd_ret").alias("gate_ret"))
-    cv = M.cv_top_net(gate, floors(spark, sf), lay=DAILY)
-    prop = M.isotonic_threshold(rows.withColumn("y", F.col("net_ret") * 1e4), ["ticker"], "score", "y", lo=30, hi=95)
-    return M.policy_table(supplier_dim(spark, sf), best, cv, prop)
+    """Per ticker: gate quality of the preferred side by blocks and on a holdout, thresholds
+    searched around the isotonic proposals, soft size."""
+    rows = stage(policy_rows(spark, sf).select(*K, "sides", "score", "expected_edge_bps", "position_side", "impulse", "net_ret", "proba", "proba_short", "fwd_ret", "round_trip_bps"))
+    side = preferred_side(side_audit(spark, sf).withColumnRenamed("top_net_bps", "net_bps")).select("ticker", "side")
+    gate = salted_join(E.side_rows(rows, "fwd_ret"), side, ["ticker", "side"])
+    quality = PO.gate_quality(gate, floors(spark, sf), DAILY, min_rows=HELD_ROWS)
+    centres = proposals(rows, ["ticker"])
+    best = searched(rows, ["ticker"], centres, DAILY, TRADES)
+    return PO.policy_table(supplier_dim(spark, sf), best, quality, centres)
 
 
 @query("cal05_policy_folds")

@@ -9,7 +9,7 @@ from tapeloom.functions import scores as S
 from tapeloom.operators import features as X
 from tapeloom.operators import signals as G
 from tapeloom.operators.blocks import Layout, in_blocks
-from tapeloom.plans import models as M
+from tapeloom.plans import policies as PO
 from tapeloom.plans import portfolio as P
 from tapeloom.plans import regime_fit as H
 from tapeloom.sources.store import scratch
@@ -41,21 +41,76 @@ def test_deoverlap_is_the_greedy_chain(spark, block, fan):
     assert got == want
 
 
-def test_isotonic_blocks_are_the_exact_fit(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    x = np.round(rng.random(400) * 100, 1)
-    y = x * 0.3 + rng.normal(0, 20, 400)
-    df = spark.createDataFrame(pd.DataFrame({"ticker": "A", "x": x, "y": y}))
-    monkeypatch.setattr(M, "PIECE", 37)
-    got = M.isotonic_blocks(df, ["ticker"], "x", "y").toPandas().sort_values("lo")
+def plain_isotonic(x, y):
+    """Distinct x and the rising fit, by its definition."""
     g = pd.DataFrame({"x": x, "y": y}).groupby("x").y.agg(["sum", "count"]).reset_index()
-    lo = np.arange(len(g))
     s, n = np.r_[0, g["sum"].cumsum()], np.r_[0, g["count"].cumsum()]
-    mean = lambda i, j: (s[j + 1] - s[i]) / (n[j + 1] - n[i])
-    want = [max(min(mean(i, j) for j in range(t, len(g))) for i in range(t + 1)) for t in lo]
-    v = (got.y / got.n).to_numpy()
-    fit = [v[np.searchsorted(got.hi.to_numpy(), a)] for a in g.x]
-    np.testing.assert_allclose(fit, want, atol=1e-9)
+    mean = lambda i, j: (s[j + 1] - s[i]) / (n[j + 1] - n[i])
+    low = np.array([[mean(i, j) if j >= i else np.inf for j in range(len(g))] for i in range(len(g))])
+    return g.x.to_numpy(), np.array([low[: t + 1, t:].min(1).max() for t in range(len(g))])
+
+
+@pytest.mark.parametrize("piece", [7, 37, 65536])
+def test_isotonic_crossings_are_those_of_the_fit(spark, piece, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(PO, "PIECE", piece)
+    parts = []
+    for key, slope, n in (("UP", 0.3, 300), ("FLAT", 0.0, 300), ("DOWN", -0.3, 200), ("FEW", 1.0, 20), ("RISING", 1.0, 150)):
+        x = np.round(rng.random(n) * 100, 1)
+        parts.append(pd.DataFrame({"ticker": key, "x": x, "y": (x - 40) * slope + (0 if key == "RISING" else 1) * rng.normal(0, 12, n)}))
+    pdf = pd.concat(parts)
+    df = spark.createDataFrame(pdf)
+    cross = {r.ticker: r for r in PO.isotonic_crossing(df, ["ticker"], "x", "y", 0.0).collect()}
+    got = {r.ticker: r for r in PO.isotonic_threshold(df, ["ticker"], "x", "y", lo=5, hi=95).collect()}
+    for key, d in pdf.groupby("ticker"):
+        x, v = plain_isotonic(d.x, d.y)
+        hit = np.flatnonzero(v >= 0)
+        if len(hit):
+            assert cross[key].x_hit == x[hit[0]] and np.isclose(cross[key].v_hit, v[hit[0]])
+            assert hit[0] == 0 or (cross[key].x_before == x[hit[0] - 1] and np.isclose(cross[key].v_before, v[hit[0] - 1]))
+        else:
+            assert cross[key].x_hit is None
+        grid = np.unique(np.quantile(d.x, np.linspace(0.05, 0.99, 40)))
+        ok = grid[np.interp(grid, x, v) >= 0]
+        reached = len(ok) > 0 and len(d) >= 50
+        want = ok[0] if reached else np.quantile(d.x, 0.85)
+        assert got[key].reached == reached and np.isclose(got[key].threshold, np.clip(want, 5, 95))
+
+
+def test_centred_grids_against_plain_masks(spark):
+    rng = np.random.default_rng(9)
+    n = 4000
+    pdf = pd.DataFrame({"ticker": rng.choice(["A", "B"], n, p=[0.9, 0.1]), "split": rng.integers(0, 3, n), "score": rng.random(n) * 100, "expected_edge_bps": rng.normal(0, 10, n), "position_side": rng.integers(-1, 2, n), "impulse": rng.normal(0.2, 0.2, n), "net_ret": rng.normal(0, 0.01, n)})
+    df = spark.createDataFrame(pdf)
+    centres = spark.createDataFrame([("A", 33.0, 5.5), ("B", 55.0, 4.0)], "ticker string, buy double, edge double")
+    grids = PO.centred_grids(centres, ["ticker"], buy_lo=30.0, buy_hi=55.0, edge_lo=4.0, edge_hi=12.0)
+    g = {r.ticker: (r.buys, r.edges) for r in grids.collect()}
+    assert g["A"] == ([30.0, 33.0, 36.0, 39.0, 55.0], [4.0, 4.5, 5.5, 6.5, 7.5, 12.0]) and g["B"][0] == [30.0, 49.0, 52.0, 55.0]
+    got = {(r.ticker, r.split, r.buy_threshold, r.min_edge_bps): (r.n_trades, r.net_bps) for r in PO.grid_nets(df, grids, ["ticker"], "split", impulse_min=0.05).collect()}
+    for (t, s), d in pdf[pdf.impulse >= 0.05].groupby(["ticker", "split"]):
+        for b in g[t][0]:
+            for m in g[t][1]:
+                on = ((d.position_side > 0) & (d.score >= b) & (d.expected_edge_bps >= m)) | ((d.position_side < 0) & (d.score <= 100 - b) & (d.expected_edge_bps <= -m))
+                k, v = got.pop((t, s, b, m), (0, None))
+                assert k == on.sum() and (not k or np.isclose(v, d.net_ret[on].mean() * 1e4))
+    assert not got
+
+
+def test_gate_quality_holds_out_the_end(spark):
+    rng = np.random.default_rng(4)
+    n = 1200
+    pdf = pd.DataFrame({"ticker": "A", "ts": pd.date_range("2020-01-01", periods=n, freq="D"), "gate_score": rng.random(n), "round_trip_bps": 5.0, "position_side": rng.choice([-1, 0, 1], n), "expected_edge_bps": rng.normal(0, 9, n)})
+    pdf["gate_ret"] = pdf.gate_score * 0.01 * np.where(np.arange(n) < 900, 1, -1) + rng.normal(0, 0.001, n)
+    pdf["fwd_ret"] = pdf.gate_ret
+    floors = spark.createDataFrame([("A", 6.0), ("NEW", 6.0)], "ticker string, floor_bps double")
+    q = PO.gate_quality(spark.createDataFrame(pdf), floors, Layout(bucket=90 * 86400)).collect()
+    assert [r.ticker for r in q] == ["A"]
+    held = pdf.iloc[900:]
+    top = held[held.gate_score >= held.gate_score.quantile(0.9)]
+    assert np.isclose(q[0].holdout_net, top.gate_ret.mean() * 1e4 - 5) and q[0].holdout_net < 0 < q[0].cv_net and q[0].n_holdout == 300
+    assert q[0].pass_rate == 1.0 and not q[0].quality_ok
+    on = held[held.position_side != 0]
+    assert np.isclose(q[0].alignment, on.expected_edge_bps.abs().rank().corr((on.fwd_ret * on.position_side).rank()))
 
 
 def test_macd_equals_the_recursion_over_chunks(spark):
