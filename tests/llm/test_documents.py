@@ -87,6 +87,8 @@ def test_common_words_by_themselves(spark):
 def edit(rng, s, n):
     s = list(s)
     for _ in range(n):
+        if not s:
+            break
         at = rng.randrange(len(s))
         s[at : at + rng.choice((0, 1))] = rng.choice(["", "x", "y"])
     return "".join(s)
