@@ -250,7 +250,7 @@ def ml08_rates(spark, sf):
 @query("ml09_grid_search")
 def ml09(spark, sf):
     d = ml_panel(spark, sf).where(F.col("label_long").isNotNull())
-    return M.grid_search(d, d.select(F.to_date("ts").alias("session")), FEATURES, "label_long", [{"maxDepth": 2, "maxIter": 3}, {"maxDepth": 4, "maxIter": 3}])
+    return M.grid_search(d, d.select(F.to_date("ts").alias("session")), FEATURES, "label_long", [{"maxDepth": d_, "stepSize": s_} for d_ in (2, 4) for s_ in (0.05, 0.1)])
 
 
 @query("wf08_trailing_scores")

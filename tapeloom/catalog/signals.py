@@ -10,6 +10,7 @@ from ..functions import scores as S
 from ..functions.frames import log_return
 from ..operators import bars as B
 from ..operators import signals as G
+from ..operators.labels import HOLD_BUCKETS
 from ..operators.asof import asof_join
 from ..operators.blocks import fill_forward, in_blocks
 from ..operators.spread import salted_join
@@ -269,13 +270,13 @@ SQL_GPOS = "gp AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS gpos FROM (
 
 @query(
     "sig13_deoverlap",
-    f"""WITH RECURSIVE {SQL_SCORED}, {SQL_GPOS}, c AS MATERIALIZED (SELECT ticker, ts, gpos, 5 + CAST(floor(conf * 40) AS BIGINT) AS h FROM scored JOIN gp USING (ts) WHERE proba > 0.4),
+    f"""WITH RECURSIVE {SQL_SCORED}, {SQL_SF}, {SQL_GPOS}, c AS MATERIALIZED (SELECT ticker, ts, gpos, 5 + CAST(floor(conf * 40) AS BIGINT) AS h FROM sigframe JOIN gp USING (ts) WHERE position_side <> 0),
 k AS (SELECT ticker, min(gpos) AS gpos FROM c GROUP BY 1 UNION ALL SELECT k.ticker, (SELECT min(d.gpos) FROM c d WHERE d.ticker = k.ticker AND d.gpos >= k.gpos + x.h) FROM k JOIN c x ON x.ticker = k.ticker AND x.gpos = k.gpos WHERE k.gpos IS NOT NULL)
 SELECT c.ticker, c.ts, CAST(c.gpos AS BIGINT) AS gpos, h FROM c JOIN k ON k.ticker = c.ticker AND k.gpos = c.gpos""",
 )
 def sig13(spark, sf):
     grid = G.grid_positions(daily(spark, sf), DAILY)
-    s = scored(spark, sf).where("proba > 0.4").select(*K, (5 + F.floor(F.col("conf") * 40)).alias("h")).join(grid, "ts")
+    s = signal_frame(spark, sf).where("position_side != 0").select(*K, (5 + F.floor(F.col("conf") * 40)).alias("h")).join(grid, "ts")
     return out(G.deoverlap(s, ["ticker"], 48, horizon="h"), K, ints=["gpos", "h"])
 
 
@@ -290,15 +291,15 @@ REGIME = "CASE WHEN p_imp >= p_mr AND p_imp >= p_st THEN 'impulse' WHEN p_mr >=
 
 @query(
     "sig15_regime_horizons",
-    f"""WITH RECURSIVE {SQL_SCORED}, {SQL_GPOS}, c AS MATERIALIZED (SELECT ticker, ts, gpos, close, {REGIME} AS regime, unnest([12, 24, 48]) AS h FROM scored JOIN gp USING (ts) WHERE proba > 0.3),
+    f"""WITH RECURSIVE {SQL_SCORED}, {SQL_SF}, {SQL_GPOS}, c AS MATERIALIZED (SELECT ticker, ts, gpos, close, {REGIME} AS regime, unnest({list(HOLD_BUCKETS)}) AS h FROM sigframe JOIN gp USING (ts) WHERE position_side > 0),
 k AS (SELECT ticker, regime, h, min(gpos) AS gpos FROM c GROUP BY 1, 2, 3 UNION ALL SELECT k.ticker, k.regime, k.h, (SELECT min(d.gpos) FROM c d WHERE d.ticker = k.ticker AND d.regime = k.regime AND d.h = k.h AND d.gpos >= k.gpos + k.h) FROM k WHERE k.gpos IS NOT NULL),
 r AS (SELECT c.regime, c.h, d.close / c.close - 1 - 0.0005 AS net FROM k JOIN c ON c.ticker = k.ticker AND c.regime = k.regime AND c.h = k.h AND c.gpos = k.gpos JOIN gp g ON g.gpos = c.gpos + c.h JOIN daily d ON d.ticker = c.ticker AND d.ts = g.ts),
 v AS (SELECT regime, h, count(*) AS n, avg(net) * 10000 AS ev, avg(net) / (stddev_samp(net) / sqrt(count(*))) AS t FROM r GROUP BY 1, 2), b AS (SELECT regime, coalesce(arg_max(h, ev) FILTER (n >= 20 AND ev > 0), 36) AS chosen FROM v GROUP BY 1)
 SELECT regime, CAST(h AS BIGINT) AS horizon, n AS n_trades, {r('ev', 4)} AS ev_bps, {r('t')} AS ev_tstat, CAST(chosen AS BIGINT) AS chosen_horizon FROM v JOIN b USING (regime)""",
 )
 def sig15(spark, sf):
-    e = scored(spark, sf).where("proba > 0.3").select(*K, R.dominant().alias("regime"))
-    v = G.horizon_values(e, daily(spark, sf), (12, 24, 48), 5.0, DAILY)
+    e = signal_frame(spark, sf).where("position_side > 0").select(*K, R.dominant().alias("regime"))
+    v = G.horizon_values(e, daily(spark, sf), HOLD_BUCKETS, 5.0, DAILY)
     p = v.join(G.pick_horizons(v, 36), "regime")
     return p.select("regime", F.col("horizon").cast("bigint").alias("horizon"), F.col("n_trades").cast("bigint").alias("n_trades"), rnd("ev_bps", 4).alias("ev_bps"), rnd("ev_tstat").alias("ev_tstat"), F.col("chosen_horizon").cast("bigint").alias("chosen_horizon"))
 
