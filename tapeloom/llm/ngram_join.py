@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
-from math import ceil, comb, exp
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,9 @@ from .groups import Union, dealt, each_group, in_blocks
 
 #: A band's upper size over its lower one.
 RATIO = 1.4
-#: Chances beyond H + 1: segments that may be (nearly) empty without posting the empty set.
-SPARE = 2
+#: What the cost of a plan expects: the share of other sets of the band that hold a passage of
+#: a set, and the part of the set that it is.
+SHARING, PASSAGE = 0.01, 0.2
 #: N-grams of a block of a candidate cluster.
 BLOCK = 4_000_000
 WORDS = 500_000  # entries of a task's memo of word hashes
@@ -85,29 +86,50 @@ def differences(upper: int, similar: Fraction) -> int:
     return int(upper * (1 - similar) / similar)
 
 
+def _tail(mean1: np.ndarray, mean2: np.ndarray, most: int) -> np.ndarray:
+    """[i, s]: the chance that a Poisson count of mean1[i] plus twice one of mean2[i] is over s."""
+    s = np.arange(most + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, most + 1)))))
+    pmf = lambda mean: np.exp(s * np.log(np.maximum(mean, 1e-300))[:, None] - mean[:, None] - logs)
+    one, two = pmf(mean1), pmf(mean2)
+    both = np.zeros_like(one)
+    for i in range(most // 2 + 1):
+        both[:, 2 * i :] += two[:, i : i + 1] * one[:, : most + 1 - 2 * i]
+    return np.clip(1 - np.cumsum(both, axis=1), 0, 1)
+
+
 @lru_cache(maxsize=None)
-def allocation(upper: int, similar: Fraction, n_sets: int) -> tuple[int, int]:
-    """(segments, how many of them with one-deletion neighbourhoods) for a band, by cost:
-    rows posted by a set, and the other sets it meets by chance in nearly empty segments."""
-    need = differences(upper, similar) + 1 + SPARE
+def allocation(upper: int, similar: Fraction, n_sets: int) -> tuple[int, int, int]:
+    """(segments, how many of them with one-deletion neighbourhoods, spare chances) for a
+    band, by cost.
+
+    Plain segments are one chance each, those with neighbourhoods two; all but H + 1 are
+    spare: a set whose segments as good as empty weigh no more than the spare chances need
+    not post them.  The cost of a set is the rows it posts, the ties to sets that share a
+    passage and have nothing else in a segment, and, if it is one of the few that must
+    post the empty subset, comparisons with all others of that kind, which follow the size.
+    """
+    least = differences(upper, similar) + 1
+    spares = sorted({0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192} & set(range(2 * least + 4)))
     best = None
-    for a in range(need // 2 + 1):
+    for spare in spares:
+        need = least + spare
+        a = np.unique(np.linspace(0, need // 2, 17).astype(int))
         m = need - a
         mean = upper / RATIO / m
-        empty, few = exp(-mean), exp(-mean) * (1 + mean)
-        rows = m + a * mean
-        # the chance that more weight than SPARE lies in segments as good as empty
-        weight = {0: 1.0}
-        spread = [(1, comb(m - a, i) * empty**i * (1 - empty) ** (m - a - i)) for i in range(min(m - a, SPARE) + 1)]
-        double = [comb(a, i) * few**i * (1 - few) ** (a - i) for i in range(min(a, SPARE // 2) + 1)]
-        weight = sum(p * q for i, (_, p) in enumerate(spread) for j, q in enumerate(double) if i + 2 * j <= SPARE)
-        cost = rows + max(0.0, 1 - weight) * n_sets * 0.01
-        if best is None or cost < best[0] - 1e-9:
-            best = cost, m, a
-    return best[1], best[2]
-
-
-def posts(grams: np.ndarray, band: int, m: int, a: int) -> np.ndarray:
+        empty, few = np.exp(-mean), np.exp(-mean) * (1 + mean)
+        wide = _tail((m - a) * empty, a * few, spare)[:, spare]
+        foreign = mean * (1 - PASSAGE)
+        pure = (1 - np.exp(-mean * PASSAGE)) * np.exp(-2 * foreign)
+        ties = n_sets * SHARING * ((m - a) * pure + a * pure * (1 + foreign) ** 2)
+        cost = m + a * mean + wide * wide * n_sets * (1 + upper / 8) + ties
+        i = int(cost.argmin())
+        if best is None or cost[i] < best[0] - 1e-9:
+            best = float(cost[i]), int(m[i]), int(a[i]), spare
+    return best[1:]
+
+
+def posts(grams: np.ndarray, band: int, m: int, a: int, spare: int) -> np.ndarray:
     """Hashes of the segments' subsets of a set under a band's plan; the first ``a``
     segments also post each subset less one n-gram."""
     segment = ((mixed(grams, 11) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -118,7 +140,7 @@ def posts(grams: np.ndarray, band: int, m: int, a: int) -> np.ndarray:
     filled = counts > 0
     sums[filled] = np.add.reduceat(values, np.concatenate(([0], np.cumsum(counts)[:-1]))[filled])
     trivial = np.where(np.arange(m) < a, counts <= 1, counts == 0)
-    wide = int(trivial[:a].sum()) * 2 + int(trivial[a:].sum()) > SPARE
+    wide = int(trivial[:a].sum()) * 2 + int(trivial[a:].sum()) > spare
     ids = np.arange(m, dtype=np.uint64)
     out = [sums if wide else sums[filled]]
     where = [ids if wide else ids[filled]]

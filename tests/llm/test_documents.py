@@ -187,8 +187,28 @@ def test_allocations_leave_no_gap():
     for similar in (Fraction(9, 10), Fraction(4, 5)):
         for upper in (9, 12, 30, 200, 3000):
             for n in (1, 10**6, 10**12):
-                m, a = ngram_join.allocation(upper, similar, n)
-                assert 0 <= a <= m and m + a == ngram_join.differences(upper, similar) + 1 + ngram_join.SPARE
+                m, a, spare = ngram_join.allocation(upper, similar, n)
+                assert 0 <= a <= m and m + a == ngram_join.differences(upper, similar) + 1 + spare
+    # neighbourhoods come where ties would cost more than their rows
+    assert ngram_join.allocation(1000, Fraction(4, 5), 10**3)[1] == 0 < ngram_join.allocation(1000, Fraction(4, 5), 10**7)[1]
+
+
+@pytest.mark.parametrize("n", [150, 1300, 5000])
+def test_long_unrelated_sets_do_not_meet(n):
+    rng = np.random.default_rng(8)
+    similar = Fraction(4, 5)
+    at = ngram_join.bands(n)
+    plan = ngram_join.allocation(at[-1] - 1, similar, 20_000)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2000 if n < 5000 else 300)]
+    seen = Counter(h for s in sets for h in ngram_join.posts(s, 9, *plan).tolist())
+    assert max(seen.values()) < 20
+
+
+def test_tails():
+    rng = np.random.default_rng(3)
+    one, two = rng.poisson(1.7, 400_000), rng.poisson(0.4, 400_000)
+    got = ngram_join._tail(np.array([1.7]), np.array([0.4]), 12)[0]
+    assert all(abs(got[k] - (one + 2 * two > k).mean()) < 0.004 for k in range(13))
 
 
 @pytest.mark.parametrize("similar", [Fraction(9, 10), Fraction(4, 5)])
@@ -196,15 +216,15 @@ def test_similar_sets_share_a_post_under_every_plan(similar):
     rng = np.random.default_rng(2)
     for upper in (9, 14, 26, 60):
         most = ngram_join.differences(upper, similar)
-        for a in range((most + 1 + ngram_join.SPARE) // 2 + 1):
-            m = most + 1 + ngram_join.SPARE - a
-            for _ in range(150):
+        for spare, a in [(s, a) for s in (0, 2, 5) for a in range((most + 1 + s) // 2 + 1)]:
+            m = most + 1 + spare - a
+            for _ in range(50):
                 base = rng.integers(0, 2**63, upper + most).astype(np.uint64)
                 gone = int(rng.integers(0, most + 1))
                 one, two = np.unique(base[gone:upper]), np.unique(base[: upper + most - gone][: upper])
                 two = np.unique(np.concatenate([two, base[upper : upper + most - gone]]))
                 assert len(np.setxor1d(one, two)) <= most
-                assert len(np.intersect1d(ngram_join.posts(one, 3, m, a), ngram_join.posts(two, 3, m, a)))
+                assert len(np.intersect1d(ngram_join.posts(one, 3, m, a, spare), ngram_join.posts(two, 3, m, a, spare)))
 
 
 def test_components(spark):
