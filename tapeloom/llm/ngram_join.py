@@ -38,6 +38,8 @@ RATIO = 1.4
 SHARING, PASSAGE = 0.01, 0.2
 #: N-grams of a block of a candidate cluster.
 BLOCK = 4_000_000
+#: Bits that mark the documents of clusters.
+BITS = 1 << 23
 WORDS = 500_000  # entries of a task's memo of word hashes
 
 
@@ -245,6 +247,17 @@ def similar_in(sets: list[np.ndarray], similar: Fraction) -> Union:
     return found
 
 
+def possible(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may be among ``placed``, and some others, so that texts that
+    are in no cluster are not shuffled: hashes marked in BITS bits, at most BITS / 64 rows."""
+    bit = lambda *key: F.pmod(F.xxhash64(*key), F.lit(BITS))
+    one = placed.select(bit("mdoc", "mth").alias("_bit"))
+    marks = one.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_marks"))
+    d = docs.withColumn("_bit", bit("doc", "th")).withColumn("_word", F.shiftright("_bit", 6))
+    d = d.join(F.broadcast(marks), "_word").where(F.expr("getbit(_marks, cast(_bit % 64 as int)) = 1"))
+    return d.drop("_word", "_bit", "_marks")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``text_hash``, ``n_shingles``, ``component_id`` (the least
     id of its component) and ``component_hash`` (that document's text hash).
@@ -276,7 +289,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fract
     members = members.withColumn("_part", F.explode(parts)).withColumn("root", F.xxhash64("root", "_part"))
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("root")
     placed = stage(in_blocks(members.join(several, "root"), "root", "k2", BLOCK, "n").select("k1", "k2", "root", "mdoc", "mth", "_g", "_own"))
-    texts = d.join(placed, d["doc"].eqNullSafe(F.col("mdoc")) & (d["th"] == F.col("mth"))).select("k1", "k2", "root", "_g", "_own", "t")
+    texts = possible(d, placed).join(placed, d["doc"].eqNullSafe(F.col("mdoc")) & (d["th"] == F.col("mth"))).select("k1", "k2", "root", "_g", "_own", "t")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
