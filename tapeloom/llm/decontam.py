@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.store import stage
+from .names import free
 
 WIDTH, MIN_LITERALS = 8, 3
 #: Windows of the benchmark (24 bytes each) up to which their table is broadcast; a larger one is shuffled.
@@ -112,7 +113,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
     return out.where("2 * n_windows >= item_windows").select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "item_windows", "same_values")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents (all columns) that leak no item; those with a null id stay."""
-    bad = stage(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_leak")).distinct())
-    return docs.join(bad, docs[id_col] == F.col("_leak"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents (all columns, rows and order of columns as given) that leak no item.
+
+    A document is an id with its text: a null id is an id like others, and a clean text stays
+    though another one under its id leaks.  Repeated rows stay or go together; null and empty
+    texts stay; texts of any length are judged whole; an empty table gives an empty table, an
+    empty benchmark keeps all; other columns, of whatever name, are not read.
+    """
+    doc, th = free(docs, "leak_doc", "leak_th")
+    named = docs.select(F.struct(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th")).alias("key"), F.col(text_col).alias("text"))
+    found = leaks(named, benchmark, id_col="key", text_col="text", **options)
+    bad = stage(found.select(F.col("key.doc").alias(doc), F.col("key.th").alias(th)).distinct())
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[doc]) & (F.xxhash64(docs[text_col]) == bad[th]), "left_anti")

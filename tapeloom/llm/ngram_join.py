@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..sources.store import stage
 from .components import components
 from .groups import Union, dealt, each_group, in_blocks
+from .names import free
 
 #: A band's upper size over its lower one.
 RATIO = 1.4
@@ -319,10 +320,16 @@ def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fract
 
 def one_of_each(docs: DataFrame, width: int = 5, similar: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents (all columns) that stay: of each component the one with the least id.
-    Rows that share id and text are one document and leave one row."""
+    Rows that share id and text are one document and leave one row.
+
+    Texts without words, null ones too, resemble nothing and all stay; a null id stays only
+    if its component has no other; texts of any length count whole; an empty table gives an
+    empty table; other columns, of whatever name, are carried along.
+    """
+    doc, th, h = free(docs, "kept_doc", "kept_th", "kept_h")
     found = similar_documents(docs, width, similar, id_col, text_col)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash")))
-    stay = stay.select(F.col(id_col).alias("_doc"), F.col("text_hash").alias("_th")).distinct()
-    d = docs.withColumn("_h", F.xxhash64(text_col))
-    d = d.join(stay, d[id_col].eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return d.dropDuplicates([id_col, "_h"]).select(*docs.columns)
+    stay = stay.select(F.col(id_col).alias(doc), F.col("text_hash").alias(th)).distinct()
+    d = docs.withColumn(h, F.xxhash64(text_col))
+    d = d.join(stay, d[id_col].eqNullSafe(F.col(doc)) & (F.col(h) == F.col(th)), "left_semi")
+    return d.dropDuplicates([id_col, h]).select(*docs.columns)

@@ -102,11 +102,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_words: float = MAX_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", by_share: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_words: float = MAX_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", by_share: bool = True) -> DataFrame:
     """One row per input row with its counts, distances, ``base_failed`` and ``kept``.
 
     ``by_share`` also drops texts that lack their language's common words or use those of
-    another language (MIN_SHARE, MAX_INSIDE), which ``max_words`` cannot see.
+    another language (MIN_SHARE, MAX_INSIDE), which ``max_words`` cannot see: common words
+    are so small a part of a text that one without any is near its language by all words.
 
     A null text has no words (and so fails the base rules); a null or unlisted language is
     compared with all such documents by character classes only; a text under ``min_words``

@@ -80,7 +80,7 @@ def test_common_words_by_themselves(spark):
     bad = [(1000 + i, text("en", n, 0), "en") for i, n in enumerate((60, 400))]
     bad += [(1100 + i, text(a, 600), b) for i, (a, b) in enumerate([("de", "en"), ("fr", "es"), ("es", "fr"), ("en", "de")])]
     d = spark.createDataFrame(clean + bad, "doc_id long, text string, lang string")
-    dropped = {r.doc_id for r in quality.quality_rules(d, by_share=True).where("not kept").collect()}
+    dropped = {r.doc_id for r in quality.quality_rules(d).where("not kept").collect()}
     assert dropped ^ {k for k, *_ in bad} == set()
 
 
@@ -137,6 +137,9 @@ def test_line_classes(spark, docs, no_docs, monkeypatch):
     kept = line_dedup.without_duplicates(fuzzy)
     left = {r.doc_id: r.text for r in kept.collect()}
     assert 20 not in left and left[21] is None and left[22] == "" and kept.columns == fuzzy.columns
+    names = ("_doc", "_th", "_gone", "_lines", "_left", "gone_doc", "GONE_LINES", "left_lines")
+    clash = line_dedup.without_duplicates(fuzzy.withColumns({c: F.coalesce("doc_id", F.lit(-1)) for c in names}))
+    assert rows(clash, "doc_id", "text", *names) == sorted(((k, t, *[-1 if k is None else k] * len(names)) for k, t in left.items()), key=str)
     assert line_dedup.line_classes(no_docs).count() == 0 and line_dedup.without_duplicates(no_docs).count() == 0
 
 
@@ -180,6 +183,9 @@ def test_similar_documents(spark, docs, no_docs, width, similar, monkeypatch):
         assert kept.columns == d.columns
         full = [k for k, _, c in want if k == c]
         assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(set(map(str, full)))
+    names = ("_h", "_doc", "_th", "kept_h", "Kept_Doc", "n")
+    clash = ngram_join.one_of_each(fuzzy.withColumns({c: F.col("doc_id") * 3 for c in names}), width, similar)
+    assert {(r.doc_id * 3,) * len(names) for r in clash.collect()} == {tuple(r[2:]) for r in clash.collect()}
     assert ngram_join.similar_documents(no_docs).count() == 0
 
 
@@ -254,7 +260,13 @@ def test_leaks(spark, docs, no_docs, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     assert len(decontam.leaks(d, items).collect()) == 2
     kept = decontam.decontaminate(d, items)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "4", "5", "6", "7", "None"]) and kept.columns == d.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "4", "5", "6", "7"]) and kept.columns == d.columns
+    # a document is an id with its text; helper columns never touch the caller's
+    clean = d.limit(0).select("doc_id", "text").unionByName(spark.createDataFrame([(1, "A clean text under the id of one that leaks"), (None, "no id, no leak"), (None, QUESTION)], "doc_id long, text string"))
+    names = ("_leak", "leak_doc", "LEAK_TH", "doc", "th", "key")
+    kept = decontam.decontaminate(clean.withColumns({c: F.length("text") for c in names}), items)
+    assert rows(kept, "doc_id", *names) == sorted([(1, *[43] * 6), (None, *[14] * 6)], key=str)
+    assert decontam.decontaminate(no_docs, items).count() == 0 and decontam.decontaminate(clean, items.where("false")).count() == 3
     assert decontam.leaks(no_docs, items).count() == 0 and decontam.leaks(d, items.where("false")).count() == 0
     assert decontam.leaks(docs, items).count() == 0
     real, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -349,6 +361,9 @@ def test_pipeline(spark, docs):
     assert seen[0] > seen[1] > seen[2] >= seen[3] >= seen[4] > 0
     first = corpus_pipeline.keep_quality(spark, docs, sf)
     verdict = quality.quality_rules(docs).where("kept")
+    names = ("_key", "_bad", "_th", "bad_doc", "bad_th")
+    clash = docs.withColumns({c: F.col("doc_id") + 7 for c in names})
+    assert rows(corpus_pipeline.keep_quality(spark, clash, sf), "doc_id", *names) == sorted(((r.doc_id, *[None if r.doc_id is None else r.doc_id + 7] * 5) for r in verdict.collect()), key=str)
     assert rows(first, "doc_id") == rows(verdict, "doc_id") and first.columns == docs.columns
     assert corpus_pipeline.keep_quality(spark, docs.where("false"), sf).count() == 0
 
