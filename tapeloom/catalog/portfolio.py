@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.draws import sql_draw
 from ..operators import bars as B
 from ..operators import signals as G
 from ..operators.blocks import in_blocks
@@ -235,10 +236,21 @@ def pf11(spark, sf):
     return out(P.weighted_equity(book(spark, sf), daily(spark, sf), 3.5, DAILY), ["ts"], ["gross_ret", "turnover", "value"])
 
 
-@query("pf12_bootstrap")
+SURVIVAL = ["terminal_p5", "terminal_p50", "terminal_p95", "drawdown_p5", "drawdown_p50", "drawdown_p95", "p_loss", "survival_rate", "p_ruin"]
+
+
+@query(
+    "pf12_bootstrap",
+    f"""WITH {SQL_RETS}, m AS (SELECT ts, avg(ret) AS ret FROM rets GROUP BY 1 HAVING avg(ret) IS NOT NULL), p AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS pos, ret FROM m), n AS (SELECT count(*) AS n FROM p),
+c AS (SELECT path, b FROM range(2000) x(path), range(21) y(b)), starts AS (SELECT path, b, u % (n - 12 + 1) AS s FROM {sql_draw('c', 'u', 42, ['path', 'b'])}, n),
+steps AS (SELECT path, 12 * b + j AS t, s + j AS pos FROM starts, range(12) z(j) WHERE 12 * b + j < 252), w AS (SELECT path, t, product(1 + ret) OVER (PARTITION BY path ORDER BY t ROWS UNBOUNDED PRECEDING) AS w FROM steps JOIN p USING (pos)),
+k AS (SELECT *, w / max(w) OVER (PARTITION BY path ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM w), e AS (SELECT path, arg_max(w, t) AS terminal, min(dd) AS max_drawdown FROM k GROUP BY 1)
+SELECT count(*) AS n_paths, {', '.join(f"{r(f'quantile_cont({c}, {q / 100})')} AS {n}_p{q}" for c, n in (('terminal', 'terminal'), ('max_drawdown', 'drawdown')) for q in (5, 50, 95))},
+  {r('avg(CAST(terminal < 1 AS INT))')} AS p_loss, {r('avg(CAST(terminal >= 1 AS INT))')} AS survival_rate, {r('avg(CAST(max_drawdown < -0.2 AS INT))')} AS p_ruin FROM e""",
+)
 def pf12(spark, sf):
     d = with_ret(daily(spark, sf)).groupBy("ts").agg(F.avg("ret").alias("ret")).where(F.col("ret").isNotNull())
-    return P.survival(P.bootstrap(d, paths=2000, horizon=252, block=12, lay=DAILY))
+    return out(P.survival(P.bootstrap(d, paths=2000, horizon=252, block=12, lay=DAILY)), [], SURVIVAL, ["n_paths"])
 
 
 @query("pf13_flat_equity", f"WITH {SQL_DAILY} SELECT DISTINCT ts, 1.0::DOUBLE AS value FROM daily WHERE ts >= TIMESTAMP '1999-01-01' AND ts < TIMESTAMP '2000-01-01'")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import with_draw
 from ..functions.frames import nz, zero
 from ..operators.aggregates import slice_return
 from ..operators.asof import asof_join
@@ -163,30 +164,40 @@ def flat_equity(df: DataFrame, start, end) -> DataFrame:
 def bootstrap(returns: DataFrame, *, paths: int, horizon: int, block: int, seed: int = 42, lay: Layout = BARS) -> DataFrame:
     """Block-bootstrap paths: (path, terminal, max_drawdown).
 
-    Each path draws ceil(horizon/block) block starts by hash; a draw is joined to the
-    returns by position.  A path is at most ``horizon`` rows.
+    Each path draws ceil(horizon/block) block starts from counters (path, block), so any
+    engine draws the same; a draw is joined to the returns by position.  A path is at most
+    ``horizon`` rows.  Null and non-finite returns are left out; of under ``block`` + 2
+    returns there is one flat path.
     """
+    returns = returns.where(F.abs("ret") < float("inf"))
     r = with_position(returns.select("ts", "ret"), "pos", series_layout(lay))
     n = returns.agg(F.count(F.lit(1))).scalar()
     spark = returns.sparkSession
     k = -(-horizon // block)
     draws = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("b"))
-    start = F.pmod(F.xxhash64("path", "b", F.lit(seed)), n - block + 1)
+    draws = with_draw(draws, "_x", seed, ["path", "b"]).where(n >= block + 2)
+    start = F.pmod("_x", n - block + 1)
     steps = draws.select("path", start.alias("s"), "b", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
     steps = steps.select("path", (F.col("b") * block + F.col("j")).alias("t"), (F.col("s") + F.col("j")).alias("pos")).where(F.col("t") < horizon)
     w = Window.partitionBy("path").orderBy("t")
-    d = steps.join(r.select("pos", "ret"), "pos").withColumn("_w", F.exp(F.sum(F.log1p("ret")).over(w)))
-    d = d.withColumn("_pk", F.greatest(F.lit(1.0), F.max("_w").over(w)))
-    return d.groupBy("path").agg(F.max_by("_w", "t").alias("terminal"), F.min(F.col("_w") / F.col("_pk") - 1).alias("max_drawdown"))
+    d = steps.join(r.select("pos", "ret"), "pos").withColumn("_w", F.product(1 + F.col("ret")).over(w))
+    d = d.withColumn("_pk", F.max("_w").over(w))
+    drawn = d.groupBy("path").agg(F.max_by("_w", "t").alias("terminal"), F.min(F.col("_w") / F.col("_pk") - 1).alias("max_drawdown"))
+    flat = spark.range(1).where(n < block + 2).select(F.col("id").alias("path"), F.lit(1.0).alias("terminal"), F.lit(0.0).alias("max_drawdown"))
+    return drawn.unionByName(flat)
 
 
 def survival(paths: DataFrame, limit: float = 0.20) -> DataFrame:
-    """Quantiles of terminal wealth and drawdown, loss and ruin shares (one row per path in)."""
-    t = F.percentile("terminal", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return paths.agg(
-        F.count(F.lit(1)).alias("n_paths"), t.alias("_t"), F.percentile("max_drawdown", F.lit(0.5)).alias("median_drawdown"),
-        F.avg((F.col("terminal") < 1).cast("double")).alias("p_loss"), F.avg((F.col("max_drawdown") <= -limit).cast("double")).alias("p_ruin"),
-    ).select("n_paths", F.get("_t", 0).alias("terminal_p5"), F.get("_t", 1).alias("terminal_p50"), F.get("_t", 2).alias("terminal_p95"), "median_drawdown", "p_loss", "p_ruin")
+    """Quantiles of terminal wealth and of the deepest drawdown, the shares of paths that end
+    below 1, not below 1 (``survival_rate``), and that fall below ``limit`` (one row per path in)."""
+    at = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
+    share = lambda c: F.avg(c.cast("double"))
+    found = paths.agg(
+        F.count(F.lit(1)).alias("n_paths"), F.percentile("terminal", at).alias("_t"), F.percentile("max_drawdown", at).alias("_d"),
+        share(F.col("terminal") < 1).alias("p_loss"), share(F.col("terminal") >= 1).alias("survival_rate"), share(F.col("max_drawdown") < -limit).alias("p_ruin"),
+    )
+    parts = [F.get(f"_{x[0]}", i).alias(f"{x}_p{p}") for x in ("terminal", "drawdown") for i, p in enumerate((5, 50, 95))]
+    return found.select("n_paths", *parts, "p_loss", "survival_rate", "p_ruin")
 
 
 def research_cards(folds: DataFrame, audit: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.functions import draws
 from tapeloom.functions import scores as S
 from tapeloom.operators import features as X
 from tapeloom.operators import signals as G
@@ -218,6 +219,30 @@ def test_bootstrap_paths(spark):
     assert set(again.path) == set(p.path)
 
 
+def test_bootstrap_equals_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    ret = np.concatenate([rng.normal(0, 0.05, 40), [-1.0], rng.normal(0, 0.05, 20)])
+    times = pd.date_range("2024-01-01", periods=len(ret) + 2, freq="D")
+    df = spark.createDataFrame(list(zip(times.to_pydatetime(), [*ret.tolist(), None, float("inf")])), "ts timestamp_ntz, ret double")
+    lay = Layout(bucket=10 * 86400)
+    got = {r.path: (r.terminal, r.max_drawdown) for r in P.bootstrap(df, paths=30, horizon=25, block=7, seed=9, lay=lay).collect()}
+    for path in range(30):
+        starts = [draws.mixed(draws.mixed(draws.mixed(9) ^ path) ^ b) % (len(ret) - 7 + 1) for b in range(4)]
+        w = np.cumprod(1 + np.concatenate([ret[s : s + 7] for s in starts])[:25])
+        np.testing.assert_allclose(got[path], (w[-1], (w / np.maximum.accumulate(w) - 1).min()), atol=1e-12)
+    few = P.bootstrap(df.limit(8), paths=30, horizon=25, block=7, lay=lay).collect()
+    assert [tuple(r) for r in few] == [(0, 1.0, 0.0)]
+    assert P.survival(P.bootstrap(df.limit(0), paths=30, horizon=25, block=7, lay=lay)).first().survival_rate == 1.0
+
+
+def test_draws_are_even():
+    x = np.array([draws.mixed(draws.mixed(draws.mixed(42) ^ i) ^ j) for i in range(2000) for j in range(21)])
+    for m in (2, 7, 64, 1000):
+        counts = np.bincount(x % m, minlength=m)
+        assert abs(((counts - len(x) / m) ** 2 / (len(x) / m)).sum() - (m - 1)) < 5 * (2 * m) ** 0.5
+    assert len({draws.mixed(i) for i in range(50_000)}) == 50_000
+
+
 def test_inverse_vol_budget(spark):
     df = spark.createDataFrame([("A", 0.1), ("B", 0.2), ("C", 0.9), ("D", 1.5)], "ticker string, vol double")
     w = {r.ticker: r.weight for r in G.inverse_vol_budget(df, 0.35).collect()}
