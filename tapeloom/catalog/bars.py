@@ -209,6 +209,16 @@ def src12(spark, sf):
     return out(store.resume_load(spark, path, b), ["ticker", "ts"], O)
 
 
+@query("src12_upsert_days", f"WITH {SQL_BARS} SELECT ticker, ts, " + ", ".join(f"{r(f'CASE WHEN ts >= TIMESTAMP {chr(39)}2024-01-20 10:00:00{chr(39)} THEN {c} + 1 ELSE {c} END')} AS {c}" for c in O) + " FROM bars")
+def src12_upsert(spark, sf):
+    path = store.scratch(spark)
+    b = bars(spark, sf)
+    late = F.col("ts") >= "2024-01-20 10:00:00"
+    store.upsert_days(spark, path, b.where(F.col("ts") < "2024-01-20 14:00:00"))
+    store.upsert_days(spark, path, b.where(late).select("ticker", "ts", *[(F.col(c) + 1).alias(c) for c in O]))
+    return out(store.load_days(spark, path), ["ticker", "ts"], O)
+
+
 @query(
     "src13_load_plan",
     """WITH s AS (SELECT o_custkey AS k, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1),

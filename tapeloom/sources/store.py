@@ -85,6 +85,42 @@ def resume_load(spark: SparkSession, path: str, incoming: DataFrame) -> DataFram
     return keep_last(both, ["ticker", "ts"], ["_seq"]).drop("_seq")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark resolves the path to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def upsert_days(spark: SparkSession, path: str, incoming: DataFrame, order: tuple[str, ...] = ()) -> None:
+    """Merge bars (ticker, ts, values) into a dataset with one partition a day; incoming rows win.
+
+    Only days of ``incoming`` are read and rewritten: its first and last day prune the scan,
+    a semi join does the rest.  The merged days are written aside first and then replace
+    theirs, so a run that dies leaves each day old or new, and running it again gives what
+    one run gives.  ``order`` decides among incoming rows of one ticker and time, which must
+    be unique without it.  Rows without a time belong to no day and are left out; an empty
+    input changes nothing.
+    """
+    fresh = incoming.where("ts is not null").withColumn("day", F.to_date("ts"))
+    if order:
+        fresh = keep_last(fresh, ["ticker", "ts"], list(order))
+    fresh = stage(fresh.select("ticker", "ts", *OHLCV, "day"))
+    lo, hi = fresh.agg(F.min("day"), F.max("day")).first()
+    if lo is None:
+        return
+    both = fresh.withColumn("_seq", F.lit(1))
+    if exists(spark, path):
+        stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("day").between(lo, hi))
+        stored = stored.join(fresh.select("day").distinct(), "day", "left_semi")
+        both = both.unionByName(stored.withColumn("_seq", F.lit(0)))
+    merged = stage(keep_last(both, ["ticker", "ts"], ["_seq"]).drop("_seq"))
+    _replacing(merged).partitionBy("day").parquet(path)
+
+
+def load_days(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("ticker", "ts", *OHLCV)
+
+
 def load_plan(df: DataFrame, start: str, end: str, chunk_days: int) -> DataFrame:
     """Rows (…, start, end) to chunks of ``chunk_days`` days, ends included."""
     starts = F.sequence(F.col(start), F.col(end), F.expr(f"interval {int(chunk_days)} days"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import keep_last
 from ..plans import regime_fit
+from ..sources.store import exists
 
 
 def drain(stream: DataFrame, path: str, *, mode: str = "append", batch: Callable | None = None) -> None:
@@ -44,8 +46,37 @@ def ingest_keep_last(stream: DataFrame, path: str, keys: list[str], order: list[
     drain(stream, path, mode="append", batch=save)
 
 
-def read_keep_last(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    return keep_last(spark.read.parquet(f"{path}/rows"), keys, ["epoch", *order]).drop("epoch")
+def _epochs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The rows that count, with their epochs, and the last epoch that is compacted (-1: none)."""
+    rows = spark.read.parquet(f"{path}/rows").withColumn("epoch", F.col("epoch").cast("bigint"))
+    if not exists(spark, f"{path}/compacted"):
+        return rows, -1
+    upto, folder = spark.read.parquet(f"{path}/compacted").agg(F.max(F.struct("upto", "folder"))).first()[0]
+    return spark.read.parquet(folder).unionByName(rows.where(F.col("epoch") > upto)), upto
+
+
+def read_keep_last(spark: SparkSession, path: str, keys: list[str], order: list[str], by_order: bool = False) -> DataFrame:
+    """The current rows: of each key that of the latest epoch, then order; with ``by_order``
+    the order decides between epochs too, so late rows do not win by coming late."""
+    rows, _ = _epochs(spark, path)
+    return keep_last(rows, keys, [*order, "epoch"] if by_order else ["epoch", *order]).drop("epoch")
+
+
+def compact_keep_last(spark: SparkSession, path: str, keys: list[str], order: list[str], by_order: bool = False) -> None:
+    """Fold all epochs so far into one table, so that reads do not grow with their number.
+
+    The table has a folder of its own and counts once the manifest (a row of last epoch and
+    folder) names it, so a run that dies changes nothing.  Epochs up to the manifest's are
+    no longer read, also if one is replayed; their folders are pruned by partition.  Run it
+    between runs of the stream, not while one commits.
+    """
+    rows, upto = _epochs(spark, path)
+    last = spark.read.parquet(f"{path}/rows").agg(F.max(F.col("epoch").cast("bigint"))).first()[0]
+    if last is None or last <= upto:
+        return
+    folder = f"{path}/upto-{last}-{uuid.uuid4().hex}"
+    keep_last(rows, keys, [*order, "epoch"] if by_order else ["epoch", *order]).write.parquet(folder)
+    spark.createDataFrame([(last, folder)], "upto bigint, folder string").coalesce(1).write.mode("append").parquet(f"{path}/compacted")
 
 
 def _ordered(batches: Iterator[pd.DataFrame], by: str = "ts") -> pd.DataFrame:
