@@ -194,10 +194,12 @@ def write(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00Z", id_co
     d = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("p"))
     d = d.withColumn("k", F.sha1("p")).withColumn("row", F.monotonically_increasing_id())
     # keys of payloads that occur again: copies meet as (id, row) pairs, never as payloads
-    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"))
-    firsts = stage(d.groupBy("k").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "f"))
+    # the row number decides only between rows that share payload and id: it may differ when a task runs again
+    same = d.groupBy("k", "id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("c"))
+    order = F.struct(F.col("id").isNull().alias("n"), "id", F.when(F.col("c") > 1, F.col("row")).alias("row"))
+    firsts = stage(same.groupBy("k").agg(F.min(order).alias("f"), F.sum("c").alias("c")).where("c > 1").select("k", "f"))
     d = d.join(firsts, "k", "left")
-    revisit = F.coalesce(F.col("f.row") != F.col("row"), F.lit(False))
+    revisit = F.col("f").isNotNull() & (~F.col("f.id").eqNullSafe(F.col("id")) | F.coalesce(F.col("f.row") != F.col("row"), F.lit(False)))
     d = d.select("id", "url", "p", F.col("f.id").alias("refers"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
