@@ -436,14 +436,29 @@ def str02(spark, sf):
     return out(T.read_keep_last(spark, path, K, ["event_id"], by_order=True), K, ["value"])
 
 
+def landed(spark, df, parts):
+    """A landing folder: the rows in ``parts`` files out of time order, then a closing mark."""
+    path = scratch(spark)
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(parts, F.xxhash64("ts")).write.parquet(f"{path}/in")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/in")
+    T.closing_mark(rows).write.parquet(f"{path}/mark")
+    return path, df.schema
+
+
+def streamed(spark, df, through, parts=8):
+    """All rows through a stream: one run takes the files, one the closing mark."""
+    path, schema = landed(spark, df, parts)
+    source = spark.readStream.schema(schema).parquet(f"{path}/in")
+    T.drain(through(source.unionByName(spark.readStream.schema(schema).parquet(f"{path}/mark"))), path)
+    return spark.read.parquet(f"{path}/data").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("str03_stream_regime")
 def str03(spark, sf):
-    path = scratch(spark)
-    observations(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select(*K, "trend_z", "vol_z", "ret_z").write.parquet(f"{path}/in")
-    src = spark.read.parquet(f"{path}/in")
     model = {"pi": [1 / 3] * 3, "A": [[0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.05, 0.05, 0.9]], "mean": [[1.0, 0.0, 0.0], [0.0, -0.5, 0.0], [-1.0, 1.0, 0.0]], "cov": [[[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]] * 3}
-    T.drain(T.regime_filter(spark.readStream.schema(src.schema).parquet(f"{path}/in"), model, ("trend_z", "vol_z", "ret_z")), path)
-    return spark.read.parquet(f"{path}/data").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    dims = ("trend_z", "vol_z", "ret_z")
+    return streamed(spark, observations(spark, sf).select(*K, *dims), lambda d: T.regime_filter(d, model, dims))
 
 
 @query(
@@ -452,10 +467,6 @@ def str03(spark, sf):
 SELECT ticker, ts, CAST(state AS BIGINT) AS state, {r('c0 / (c0 + c1 + c2)')} AS next_impulse, {r('c1 / (c0 + c1 + c2)')} AS next_mean_revert, {r('c2 / (c0 + c1 + c2)')} AS next_stress FROM c""",
 )
 def str04(spark, sf):
-    path = scratch(spark)
     s = F.when((F.col("p_imp") >= F.col("p_mr")) & (F.col("p_imp") >= F.col("p_st")), 0).when(F.col("p_mr") >= F.col("p_st"), 1).otherwise(2)
-    scored(spark, sf).select("ticker", F.col("ts").cast("timestamp").alias("ts"), s.alias("state")).write.parquet(f"{path}/in")
-    src = spark.read.parquet(f"{path}/in")
-    T.drain(T.transition_counts(spark.readStream.schema(src.schema).parquet(f"{path}/in")), path)
-    d = spark.read.parquet(f"{path}/data").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    d = streamed(spark, scored(spark, sf).select(*K, s.alias("state")), T.transition_counts)
     return out(d, K, ["next_impulse", "next_mean_revert", "next_stress"], ["state"])

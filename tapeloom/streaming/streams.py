@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.bars import keep_last
 from ..plans import regime_fit
@@ -79,44 +80,115 @@ def compact_keep_last(spark: SparkSession, path: str, keys: list[str], order: li
     spark.createDataFrame([(last, folder)], "upto bigint, folder string").coalesce(1).write.mode("append").parquet(f"{path}/compacted")
 
 
-def _ordered(batches: Iterator[pd.DataFrame], by: str = "ts") -> pd.DataFrame:
-    """The rows of one ticker in one trigger, in time order (bounded by the trigger)."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+class InOrder(StatefulProcessor):
+    """Rows of a key are held until the watermark has passed them and then go, in time order,
+    through ``advance(memory, rows) -> (memory, result)``.
 
+    Held rows are those of the watermark's delay and of the current trigger; one timer a
+    key, at its earliest held row, calls for them.  So the result does not depend on how the
+    input is split into files and triggers.  Rows older than the watermark are dropped, rows
+    of one time go by their values.
+    """
 
-def regime_filter(stream: DataFrame, model: dict, dims: tuple[str, ...]) -> DataFrame:
-    """Forward filter of a fixed model per ticker; the state is the last probability vector."""
-    fixed = {k: np.asarray(v, dtype=float).tolist() for k, v in model.items()}
-
-    def run(key, batches, state):
-        m = regime_fit.Chains(*(np.asarray(fixed[k])[None] for k in ("pi", "A", "mean", "cov")))
-        pdf = _ordered(batches)
-        before = np.asarray(state.get[0])[None] if state.exists else None
-        p = regime_fit.filtered(m, [pdf[list(dims)].to_numpy(dtype=float)], before)[0]
-        state.update((p[-1].tolist(),))
+    def __init__(self, columns: dict[str, str], memory: str):
+        self.columns, self.memory_schema = columns, memory
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "us bigint, " + ", ".join(f"`{c}` {t}" for c, t in self.columns.items()))
+        self.due = handle.getValueState("due", "ms bigint")
+        self.memory = handle.getValueState("memory", self.memory_schema)
+
+    def _call_at(self, us: int) -> None:
+        """Let the timer ring once all rows of this millisecond are behind the watermark."""
+        ms = int(us // 1000 + 1)
+        now = self.due.get()[0] if self.due.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names are Spark's)
+        for pdf in rows:
+            if key[0] is None:
+                continue
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            self.held.appendList(list(zip(us.tolist(), *(pdf[c].tolist() for c in self.columns))))
+            self._call_at(int(us.min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.held.get()), columns=["us", *self.columns])
+        self.due.clear()
+        ready, rest = held[held["us"] < upto], held[held["us"] >= upto]
+        if len(rest):
+            self.held.put(list(zip(*(rest[c].tolist() for c in rest))))
+            self._call_at(int(rest["us"].min()))
+        else:
+            self.held.clear()
+        if not len(ready):
+            return iter(())
+        ready = ready.sort_values(["us", *self.columns], kind="stable", ignore_index=True)
+        memory, result = self.advance(self.memory.get() if self.memory.exists() else None, ready)
+        self.memory.update(memory)
+        return iter([pd.DataFrame({"ticker": key[0], "ts": ready["us"].astype("datetime64[us]"), **result})])
+
+
+class RegimeFilter(InOrder):
+    """Forward filter; the memory is the last probability vector."""
+
+    def __init__(self, model: dict, dims: tuple[str, ...]):
+        super().__init__({c: "double" for c in dims}, "probs array<double>")
+        self.model, self.dims = {k: np.asarray(v, dtype=float).tolist() for k, v in model.items()}, list(dims)
+
+    def advance(self, memory, rows):
+        m = regime_fit.Chains(*(np.asarray(self.model[k])[None] for k in ("pi", "A", "mean", "cov")))
+        p = regime_fit.filtered(m, [rows[self.dims].to_numpy(dtype=float)], None if memory is None else np.asarray(memory[0])[None])[0]
         named = p[:, m.roles()[0]]
-        yield pd.DataFrame({"ticker": key[0], "ts": pdf["ts"], "p_imp": named[:, 0], "p_mr": named[:, 1], "p_st": named[:, 2]})
+        return (p[-1].tolist(),), {"p_imp": named[:, 0], "p_mr": named[:, 1], "p_st": named[:, 2]}
 
-    return stream.groupBy("ticker").applyInPandasWithState(run, "ticker string, ts timestamp, p_imp double, p_mr double, p_st double", "probs array<double>", "append", "NoTimeout")
 
+class TransitionCounts(InOrder):
+    """Next-state probabilities; the memory is nine pair counts and the last state."""
 
-def transition_counts(stream: DataFrame) -> DataFrame:
-    """Causal next-state probabilities; the state is nine pair counts and the last state."""
+    def __init__(self):
+        super().__init__({"state": "int"}, "counts array<double>, prev int")
 
-    def run(key, batches, state):
-        pdf = _ordered(batches)
-        held, last = (np.asarray(state.get[0]), state.get[1]) if state.exists else (np.ones(9), -1)
-        now = pdf["state"].to_numpy(dtype=int)
+    def advance(self, memory, rows):
+        now = rows["state"].to_numpy(dtype=int)
+        held, last = (np.ones(9), -1) if memory is None else (np.asarray(memory[0]), memory[1])
         before = np.concatenate(([last], now[:-1]))
         # one column per pair; a row sees the pairs that ended before it
         pairs = (np.arange(9) == (before * 3 + now)[:, None]) & (before >= 0)[:, None]
         total = held + np.cumsum(pairs, axis=0)
         seen = np.vstack([held, total[:-1]]).reshape(-1, 3, 3)
         row = seen[np.arange(len(now)), now]
-        out = row / row.sum(axis=1, keepdims=True)
-        state.update((total[-1].tolist(), int(now[-1])))
-        yield pd.DataFrame({"ticker": key[0], "ts": pdf["ts"], "state": pdf["state"], "next_impulse": out[:, 0], "next_mean_revert": out[:, 1], "next_stress": out[:, 2]})
+        p = row / row.sum(axis=1, keepdims=True)
+        return (total[-1].tolist(), int(now[-1])), {"state": now.astype("int32"), "next_impulse": p[:, 0], "next_mean_revert": p[:, 1], "next_stress": p[:, 2]}
 
-    return stream.groupBy("ticker").applyInPandasWithState(
-        run, "ticker string, ts timestamp, state int, next_impulse double, next_mean_revert double, next_stress double", "counts array<double>, prev int", "append", "NoTimeout"
-    )
+
+def _through(stream: DataFrame, processor: InOrder, schema: str, late: str) -> DataFrame:
+    """Rows without a time are left out.  Rows without a ticker belong to no series and only
+    move the watermark (a closing mark is such a row), so the processor, not a filter that
+    Spark would push below the watermark, skips them."""
+    d = stream.withWatermark("ts", late).where(F.col("ts").isNotNull()).select("ticker", "ts", *[F.col(c).cast(t).alias(c) for c, t in processor.columns.items()])
+    return d.groupBy("ticker").transformWithStateInPandas(processor, f"ticker string, ts timestamp, {schema}", "append", "eventTime")
+
+
+def regime_filter(stream: DataFrame, model: dict, dims: tuple[str, ...], late: str = "10 minutes") -> DataFrame:
+    """Causal regime probabilities of a fixed model per ticker, in time order behind the watermark."""
+    return _through(stream, RegimeFilter(model, dims), "p_imp double, p_mr double, p_st double", late)
+
+
+def transition_counts(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Causal next-state probabilities per ticker, in time order behind the watermark."""
+    return _through(stream, TransitionCounts(), "state int, next_impulse double, next_mean_revert double, next_stress double", late)
+
+
+def closing_mark(df: DataFrame, after: str = "1 day") -> DataFrame:
+    """One row without a ticker, ``after`` the last time of ``df``: landed last, it moves the
+    watermark past all rows before it."""
+    last = df.agg((F.max("ts") + F.expr(f"interval {after}")).alias("ts"))
+    return last.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])

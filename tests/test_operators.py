@@ -183,29 +183,46 @@ def test_streamed_filter_and_counts_equal_batch(spark):
     rng = np.random.default_rng(9)
     n = 90
     pdf = pd.DataFrame({"ticker": ["A", "B"] * (n // 2), "ts": pd.date_range("2024-01-01", periods=n, freq="5min"), "a": rng.normal(size=n), "b": rng.normal(size=n), "state": rng.integers(0, 3, n).astype("int32")})
+    # rows of less than a millisecond apart keep their order too
+    pdf.loc[4:9, "ts"] = pdf.ts[4] + pd.to_timedelta([0, 0, 2, 2, 1, 1], unit="us")
     model = {"pi": [1 / 3] * 3, "A": [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], "mean": [[1.0, 0.0], [0.0, -0.5], [-1.0, 1.0]], "cov": [[[1.0, 0], [0, 1.0]]] * 3}
-    path = scratch(spark)
-    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp"))
-    df.where("ts < '2024-01-01 03:00:00'").coalesce(1).write.parquet(f"{path}/in")
-    src = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    T.drain(T.regime_filter(src(), model, ("a", "b")), f"{path}/f")
-    T.drain(T.transition_counts(src()), f"{path}/c")
-    df.where("ts >= '2024-01-01 03:00:00'").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    T.drain(T.regime_filter(src(), model, ("a", "b")), f"{path}/f")  # state carries on
-    T.drain(T.transition_counts(src()), f"{path}/c")
-    got = spark.read.parquet(f"{path}/f/data").toPandas().sort_values(["ticker", "ts"])
-    cnt = spark.read.parquet(f"{path}/c/data").toPandas().sort_values(["ticker", "ts"])
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp")).cache()
+    of_none = df.limit(3).withColumn("ticker", F.lit(None).cast("string"))
+
+    def run(path, late, parts):
+        """Land the parts one file each, streaming after each half: the state carries on."""
+        src = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        for i, part in enumerate(parts):
+            part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+            if i in (len(parts) // 2 - 1, len(parts) - 1):
+                T.drain(T.regime_filter(src(), model, ("a", "b"), late), f"{path}/f")
+                T.drain(T.transition_counts(src(), late), f"{path}/c")
+        read = lambda x: spark.read.parquet(f"{path}/{x}/data").toPandas().sort_values(["ticker", "ts"])
+        return read("f"), read("c")
+
+    mark = T.closing_mark(df)
+    shuffled = [df.where(F.pmod(F.xxhash64("ts", "ticker"), F.lit(3)) == i) for i in range(3)]
+    in_order = [df.where("ts < '2024-01-01 03:00:00'").unionByName(of_none), df.where("ts >= '2024-01-01 03:00:00'").unionByName(df.limit(2)), mark]
     m = H.Chains(*(np.asarray(model[k], float)[None] for k in ("pi", "A", "mean", "cov")))
-    for t, g in pdf.groupby("ticker"):
-        want = H.filtered(m, [g[["a", "b"]].to_numpy()])[0][:, m.roles()[0]]
-        np.testing.assert_allclose(got[got.ticker == t][["p_imp", "p_mr", "p_st"]], want, atol=1e-9)
-        c, prev, rows = np.ones((3, 3)), None, []
-        for s in g.state:
-            rows.append(c[s] / c[s].sum())
-            if prev is not None:
-                c[prev, s] += 1
-            prev = s
-        np.testing.assert_allclose(cnt[cnt.ticker == t][["next_impulse", "next_mean_revert", "next_stress"]], rows, atol=1e-12)
+    # files in any order within the delay, and files in order of which the second repeats rows too late to count
+    for late, parts in (("10 hours", [*shuffled, mark]), ("10 minutes", in_order)):
+        got, cnt = run(scratch(spark), late, parts)
+        assert len(got) == len(cnt) == n
+        for t, g in pdf.groupby("ticker"):
+            g = g.sort_values("ts")
+            want = H.filtered(m, [g[["a", "b"]].to_numpy()])[0][:, m.roles()[0]]
+            np.testing.assert_allclose(got[got.ticker == t][["p_imp", "p_mr", "p_st"]], want, atol=1e-9)
+            assert (got[got.ticker == t].ts.to_numpy() == g.ts.to_numpy()).all()
+            c, prev, rows = np.ones((3, 3)), None, []
+            for s in g.state:
+                rows.append(c[s] / c[s].sum())
+                if prev is not None:
+                    c[prev, s] += 1
+                prev = s
+            np.testing.assert_allclose(cnt[cnt.ticker == t][["next_impulse", "next_mean_revert", "next_stress"]], rows, atol=1e-12)
+    # without a mark the rows of the delay stay held
+    got, _ = run(scratch(spark), "1 hour", [df, df.limit(0)])
+    assert (got.ts < pdf.ts.max() - pd.Timedelta("1h")).all() and len(got) == (pdf.ts < pdf.ts.max() - pd.Timedelta("1h")).sum()
 
 
 def test_bootstrap_paths(spark):
