@@ -80,6 +80,9 @@ def compact_keep_last(spark: SparkSession, path: str, keys: list[str], order: li
     spark.createDataFrame([(last, folder)], "upto bigint, folder string").coalesce(1).write.mode("append").parquet(f"{path}/compacted")
 
 
+NUMPY = {"double": "float64", "int": "int32", "bigint": "int64"}
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key are held until the watermark has passed them and then go, in time order,
     through ``advance(memory, rows) -> (memory, result)``.
@@ -114,7 +117,9 @@ class InOrder(StatefulProcessor):
             if key[0] is None:
                 continue
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            self.held.appendList(list(zip(us.tolist(), *(pdf[c].tolist() for c in self.columns))))
+            # a batch may also hold rows of other keys with nulls, which turn whole numbers to floats
+            values = [pdf[c].astype(NUMPY[t]).tolist() for c, t in self.columns.items()]
+            self.held.appendList(list(zip(us.tolist(), *values)))
             self._call_at(int(us.min()))
         return iter(())
 
@@ -183,7 +188,9 @@ def regime_filter(stream: DataFrame, model: dict, dims: tuple[str, ...], late: s
 
 
 def transition_counts(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Causal next-state probabilities per ticker, in time order behind the watermark."""
+    """Causal next-state probabilities per ticker, in time order behind the watermark.  Rows
+    without a state are left out."""
+    stream = stream.where(F.col("state").isNotNull() | F.col("ticker").isNull())
     return _through(stream, TransitionCounts(), "state int, next_impulse double, next_mean_revert double, next_stress double", late)
 
 

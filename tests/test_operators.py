@@ -187,7 +187,7 @@ def test_streamed_filter_and_counts_equal_batch(spark):
     pdf.loc[4:9, "ts"] = pdf.ts[4] + pd.to_timedelta([0, 0, 2, 2, 1, 1], unit="us")
     model = {"pi": [1 / 3] * 3, "A": [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], "mean": [[1.0, 0.0], [0.0, -0.5], [-1.0, 1.0]], "cov": [[[1.0, 0], [0, 1.0]]] * 3}
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp")).cache()
-    of_none = df.limit(3).withColumn("ticker", F.lit(None).cast("string"))
+    of_none = df.limit(3).withColumns({"ticker": F.lit(None).cast("string"), "state": F.lit(None).cast("int")})
 
     def run(path, late, parts):
         """Land the parts one file each, streaming after each half: the state carries on."""
