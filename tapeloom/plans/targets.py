@@ -218,7 +218,7 @@ def search_entry(d: DataFrame, features: list[str], grid: Grid = Grid(), *, k: i
     m = bin_metrics(stage(entry_bins(blocks, beta, grid)), ["ticker", "cand", "fold"]).where(F.col("n") >= MIN_VALIDATE)
     cost = d.groupBy("ticker").agg(F.max("round_trip_bps").alias("_rt"))
     m = salted_join(m, cost, ["ticker"], salts=1).withColumn("top_decile_net_bps", F.col("gross_bps") - F.col("_rt"))
-    rate = fit.select("ticker", F.posexplode(F.zip_with("positives", "n", lambda a, b: a / b))).select("ticker", F.floor(F.col("pos") / k).cast("int").alias("cand"), F.pmod("pos", F.lit(k)).alias("fold"), F.col("col").alias("_rate"))
+    rate = fit.select("ticker", F.posexplode(F.zip_with("positives", "n", lambda a, b: a / F.nullif(b, F.lit(0.0))))).select("ticker", F.floor(F.col("pos") / k).cast("int").alias("cand"), F.pmod("pos", F.lit(k)).alias("fold"), F.col("col").alias("_rate"))
     m = m.join(rate, ["ticker", "cand", "fold"])
     names = ("accuracy", "precision", "recall", "auc", "pr_auc", "edge_corr", "top_decile_net_bps")
     g = m.groupBy("ticker", "cand").agg(F.count(F.lit(1)).alias("n_folds"), F.avg("_rate").alias("positive_rate"), *[F.round(F.avg(c), 4).alias(c) for c in names])
