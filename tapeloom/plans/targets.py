@@ -164,7 +164,7 @@ def entry_bins(blocks: DataFrame, beta: DataFrame, grid: Grid) -> DataFrame:
                     met = np.flatnonzero(each[0])
                     yield pd.DataFrame({"ticker": row["ticker"], "cand": met // BINS, "fold": f, "bin": met % BINS, **{c: v[met] for c, v in zip(("n", "pos", "fn", "fsum", "fsq"), each)}})
 
-    own = salted_join(blocks, beta.select("ticker", "beta", "fitted"), ["ticker"])
+    own = GR.beside(blocks, beta.select("ticker", "blocks", "beta", "fitted"), ["ticker"])
     sent = own.mapInPandas(count, "ticker string, cand int, fold int, bin int, n double, pos double, fn double, fsum double, fsq double")
     return sent.groupBy("ticker", "cand", "fold", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "fn", "fsum", "fsq")])
 
@@ -268,7 +268,7 @@ def direction_hits(blocks: DataFrame, beta: DataFrame, grid: Grid, k: int) -> Da
                     hit = ok & (p.argmax(2) == np.nan_to_num(y).argmax(2))
                     yield pd.DataFrame({"ticker": row["ticker"], "cand": np.arange(c), "fold": f, "n": ok.sum(0), "hits": hit.sum(0)})
 
-    own = salted_join(blocks, beta.select("ticker", "beta", "fitted"), ["ticker"])
+    own = GR.beside(blocks, beta.select("ticker", "blocks", "beta", "fitted"), ["ticker"])
     sent = own.mapInPandas(count, "ticker string, cand int, fold int, n bigint, hits bigint")
     return sent.groupBy("ticker", "cand", "fold").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
 
