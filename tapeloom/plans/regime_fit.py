@@ -22,6 +22,8 @@ STATES = 3
 # Rows a fit needs, the addition to each variance, the seed of the starting rows.
 LEAST_ROWS, RIDGE, SEED = 24, 1e-3, 42
 TINY = 1e-12
+#: Rows of the blocks that go to Python together, and of the windows fitted in one batch.
+PACK_ROWS, BATCH_ROWS = 1 << 15, 1 << 17
 
 
 @dataclass
@@ -169,36 +171,63 @@ def regime_table(obs: DataFrame, dims: tuple[str, ...] = ("trend_z", "vol_z", "r
     bars before, filter in between.  ``obs`` has no null in ``dims``.
 
     A row's position fixes its refit, so a block with a halo of train + every rows gives
-    the same numbers as the whole series would.
+    the same numbers as the whole series would.  Blocks go to Python many at a time: windows
+    of equal length, whatever their block, are steps of one batch.
     """
     keep = [c for c in obs.columns]
     groups, by = block_groups(obs, back=train + every, lay=lay)
     schema = ", ".join(f"`{c}` {t}" for c, t in obs.dtypes) + ", p_imp double, p_mr double, p_st double, hmm_confidence double, hmm_state int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def windows_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]] | None:
+        """Sorted rows of a block and its refits: (past rows, past and own rows, offsets)."""
         pdf = pdf.sort_values("_pos")
         base, end = int(pdf["_pos"].iloc[0]), int(pdf["_pos"].iloc[-1]) + 1
         x, own = pdf[list(dims)].to_numpy(dtype=float), ~pdf["_halo"].to_numpy()
-        none = pd.DataFrame(columns=keep + REGIME_COLS)
         if not own.any():
-            return none
+            return None
         begin = int(pdf["_pos"].to_numpy()[own][0])
         # refits at ``least`` and at every multiple of ``every`` after it
         starts = [at for at in sorted({least, *range(0, end, every)}) if least <= at < end]
         spans = [(at, min((at // every + 1) * every, end)) for at in starts]
         spans = [(at, to) for at, to in spans if to > begin and max(0, at - train) >= base]
         if not spans:
-            return none
-        past = [x[max(0, at - train) - base : at - base] for at, _ in spans]
-        m = fit(past, rounds)
-        both = filtered(m, [x[max(0, at - train) - base : to - base] for at, to in spans])
-        idx = np.concatenate([np.arange(at, to) - base for at, to in spans])
-        new = [p[len(h) :] for p, h in zip(both, past)]
-        named = np.concatenate([p[:, r] for p, r in zip(new, m.roles())])
-        res = pdf.iloc[idx][keep].assign(**dict(zip(PROBS, named.T)), hmm_confidence=named.max(1), hmm_state=np.concatenate([p.argmax(1) for p in new]).astype("int32"))
-        return res[own[idx]]
-
-    return groups.groupBy(*by).applyInPandas(run, schema)
+            return None
+        return pdf, [(x[max(0, at - train) - base : at - base], x[max(0, at - train) - base : to - base], at - base, to - base) for at, to in spans]
+
+    def frame(held: list) -> pd.DataFrame:
+        """The rows of the held blocks under models fitted together."""
+        refits = [w for _, each in held for w in each]
+        out = [None] * len(refits)
+        # one batch holds windows of one length, so none is filled up for another's sake
+        batches: dict[int, list[int]] = {}
+        for i, w in enumerate(refits):
+            batches.setdefault(len(w[0]), []).append(i)
+        for length, members in batches.items():
+            size = max(1, BATCH_ROWS // length)
+            for at in range(0, len(members), size):
+                part = members[at : at + size]
+                m = fit([refits[i][0] for i in part], rounds)
+                for i, p, r in zip(part, filtered(m, [refits[i][1] for i in part]), m.roles()):
+                    new = p[length:]
+                    out[i] = new[:, r], new.argmax(1)
+        frames, done = [], 0
+        for pdf, each in held:
+            mine = out[done : done + len(each)]
+            done += len(each)
+            idx = np.concatenate([np.arange(at, to) for *_, at, to in each])
+            named = np.concatenate([n for n, _ in mine])
+            res = pdf.iloc[idx][[*keep, "_halo"]].assign(**dict(zip(PROBS, named.T)), hmm_confidence=named.max(1), hmm_state=np.concatenate([s for _, s in mine]).astype("int32"))
+            frames.append(res)
+        res = pd.concat(frames, ignore_index=True)
+        return res[~res["_halo"].astype(bool)].drop(columns="_halo")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [w for _, g in pdf.groupby(by, sort=False, dropna=False) if (w := windows_of(g)) is not None]
+        return frame(held) if held else pd.DataFrame(columns=keep + REGIME_COLS)
+
+    packs = max(1, -(-obs.count() // PACK_ROWS))
+    groups = groups.withColumn("_pack", F.pmod(F.xxhash64(*by), F.lit(packs)))
+    return groups.groupBy("_pack").applyInPandas(run, schema)
 
 
 def blended_frame(tables: DataFrame, weights: DataFrame) -> DataFrame:
