@@ -42,6 +42,21 @@ def test_deoverlap_is_the_greedy_chain(spark, block, fan):
     assert got == want
 
 
+def test_deoverlap_takes_many_small_keys_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"K{i}", int(p), int(h)) for i in range(300) for p, h in zip(rng.integers(0, 90, 6), rng.integers(1, 40, 6))]
+    rows = list({r[:2]: r for r in rows}.values()) + [(None, 3, 5), ("K1", None, 5)]
+    df = spark.createDataFrame(rows, "ticker string, gpos bigint, exit_horizon int")
+    d = G.deoverlap(df, ["ticker"], 40)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    want, free = set(), {}
+    for t, p, h in sorted(r for r in rows if None not in r):
+        if p >= free.get(t, 0):
+            want.add((t, p))
+            free[t] = p + h
+    assert {(r.ticker, r.gpos) for r in d.collect()} == want
+
+
 def plain_isotonic(x, y):
     """Distinct x and the rising fit, by its definition."""
     g = pd.DataFrame({"x": x, "y": y}).groupby("x").y.agg(["sum", "count"]).reset_index()
@@ -154,6 +169,19 @@ def test_regime_table_does_not_depend_on_blocks(spark):
     np.testing.assert_allclose(whole[["p_imp", "p_mr", "p_st"]].to_numpy()[90:114], p, atol=1e-8)
 
 
+def test_regime_blocks_go_to_python_together(spark):
+    rng = np.random.default_rng(8)
+    each = [pd.DataFrame({"ticker": f"T{i}", "ts": pd.date_range("2024-01-01", periods=n, freq="5min"), "a": rng.normal(size=n), "b": rng.normal(size=n)}) for i, n in enumerate((90, 200, 20, 131))]
+    kw = dict(dims=("a", "b"), train=60, every=24, least=30, rounds=3, lay=Layout(bucket=3600, rows=80))
+    got = H.regime_table(spark.createDataFrame(pd.concat(each)), **kw)
+    assert "FlatMapGroupsInPandas [_pack" in got._jdf.queryExecution().toString()
+    got = got.toPandas().sort_values(["ticker", "ts"])
+    alone = pd.concat([H.regime_table(spark.createDataFrame(p), **kw).toPandas().sort_values("ts") for p in each])
+    assert len(got) == sum(max(0, len(p) - 30) for p in each)
+    np.testing.assert_allclose(got[["p_imp", "p_mr", "p_st"]], alone[["p_imp", "p_mr", "p_st"]], atol=1e-8)
+    assert (got.hmm_state.to_numpy() == alone.hmm_state.to_numpy()).all()
+
+
 def test_regime_fit_against_plain_sums():
     from itertools import product
     from math import isclose, log
