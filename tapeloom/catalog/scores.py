@@ -345,10 +345,12 @@ prior AS (SELECT *, exp(l0) / (exp(l0) + exp(l1) + exp(l2)) AS r_imp, exp(l1) /
 
 def observed(spark, sf):
     def stage(d, w):
-        d = X.factors(d, w)
-        from ..functions.frames import nz, rmean, rstd
+        from ..functions.frames import log_return, nz, rmean, rstd
 
-        return d.withColumn("ret_z", (F.col("log_ret") - rmean("log_ret", w, 12, 6)) / nz(rstd("log_ret", w, 12, 6)))
+        # before the factors, whose arrays end the shuffle that these windows use
+        d = d.withColumn("log_ret", log_return("close", w))
+        d = d.withColumn("ret_z", (F.col("log_ret") - rmean("log_ret", w, 12, 6)) / nz(rstd("log_ret", w, 12, 6)))
+        return X.factors(d, w)
 
     return in_blocks(daily(spark, sf), stage, back=X.FACTORS_BACK + 12, lay=DAILY)
 
@@ -377,10 +379,10 @@ fused AS (SELECT ticker, ts, vr, risk_on, lr, z, p_imp / (p_imp + p_mr + p_st) A
 
 
 def fused(spark, sf):
-    d = observed(spark, sf)
-    p = with_scores(d.drop("risk_on", "vol_ratio", "vol_ann")).drop("risk_on", "vol_ratio", "vol_ann", "proba", "proba_short", "conf")
     # probabilities stand in for the filter output; the observables are the real ones
-    return R.fuse(p.join(d.select("ticker", "ts", "risk_on", "vol_ratio"), ["ticker", "ts"]))
+    d = observed(spark, sf).withColumnsRenamed({"risk_on": "_on", "vol_ratio": "_vr"})
+    p = with_scores(d).drop("risk_on", "vol_ratio", "vol_ann", "proba", "proba_short", "conf")
+    return R.fuse(p.withColumnsRenamed({"_on": "risk_on", "_vr": "vol_ratio"}))
 
 
 @query("reg02_fused", f"WITH {SQL_FUSED} SELECT ticker, ts, {sel(['p_imp', 'p_mr', 'p_st'])} FROM fused")

@@ -182,6 +182,28 @@ def test_regime_blocks_go_to_python_together(spark):
     assert (got.hmm_state.to_numpy() == alone.hmm_state.to_numpy()).all()
 
 
+def test_factors_work_many_blocks_at_once_and_equal_plain_windows(spark):
+    each = [walk(n, i, f"T{i}") for i, n in enumerate((700, 40, 1, 330, 25))]
+    df = pd.concat(each).reset_index(drop=True)
+    df.loc[[5, 300, 301, 900], "close"] = np.nan
+    frame = spark.createDataFrame(df).withColumn("close", F.nanvl("close", F.lit(None)))
+    size = dict(vol=10, trend=40, skip=5, sma=30, med=120)
+    d = in_blocks(frame, lambda x, w: X.factors(x, w, **size), back=140, lay=Layout(bucket=3600, rows=256))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    got = d.toPandas().sort_values(["ticker", "ts"]).reset_index(drop=True)
+    df = df.sort_values(["ticker", "ts"]).reset_index(drop=True)
+    g = lambda x, n, m: df.assign(x=x).groupby("ticker").x.rolling(n, min_periods=m)
+    at = lambda r: r.reset_index(level=0, drop=True).sort_index()
+    ret = np.log(df.close / df.groupby("ticker").close.shift())
+    vol = at(g(ret, 10, 10).std()) * np.sqrt(252)
+    mean, sd = at(g(df.close, 30, 30).mean()), at(g(df.close, 30, 30).std())
+    np.testing.assert_allclose(got.ann_vol.astype(float), vol, rtol=1e-9)
+    np.testing.assert_allclose(got.z_sma.astype(float), (df.close - mean) / sd, rtol=1e-6, atol=1e-8)
+    np.testing.assert_allclose(got.vol_ratio.astype(float), vol / at(g(vol, 120, 40).median()), rtol=1e-9)
+    assert (got.risk_on == (df.close > mean)).all() and got.vol_ratio.notna().sum() > 300
+
+
 def test_regime_fit_against_plain_sums():
     from itertools import product
     from math import isclose, log
