@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tapeloom.functions import draws
 from tapeloom.functions import scores as S
 from tapeloom.operators import features as X
+from tapeloom.operators import labels as L
 from tapeloom.operators import signals as G
 from tapeloom.operators.blocks import Layout, in_blocks
+from tapeloom.operators.spread import value_positions
 from tapeloom.plans import policies as PO
 from tapeloom.plans import portfolio as P
 from tapeloom.plans import regime_fit as H
@@ -204,6 +206,38 @@ def test_factors_work_many_blocks_at_once_and_equal_plain_windows(spark):
     assert (got.risk_on == (df.close > mean)).all() and got.vol_ratio.notna().sum() > 300
 
 
+def test_balanced_horizon_of_short_series_is_worked_as_arrays(spark):
+    each = [walk(n, 20 + i, f"T{i}") for i, n in enumerate((300, 7, 1, 150))]
+    df = pd.concat(each).reset_index(drop=True)
+    df.loc[[3, 100, 310], "close"] = np.nan
+    d = spark.createDataFrame(df).withColumn("close", F.nanvl("close", F.lit(None))).select("ticker", "ts", "close")
+    whole = L.median_shares(d, (5, 10, 20), Layout(bucket=3600))
+    cut = L.median_shares(d, (5, 10, 20), Layout(bucket=3600, rows=100))
+    key = lambda t: sorted(t.collect(), key=lambda r: (r.ticker, r["rank"]))
+    assert key(whole) == key(cut) and whole.count() == 7
+    assert "MapInArrow" in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_keys_cost_no_sketch(spark):
+    df = spark.createDataFrame([(k, float(v)) for k in range(40) for v in range(30)] + [(None, 1.0)], "k int, x double")
+    pos = value_positions(df, ["k"], "x")
+    rows = pos.collect()
+    assert len(rows) == 1200 and all(r.before == r.x and r.total == 30 for r in rows)
+    assert "percentile_approx" not in pos._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_macd_sorts_the_rows_once(spark):
+    each = [walk(n, 30 + i, f"T{i}") for i, n in enumerate((1200, 40, 1))]
+    df = pd.concat(each).reset_index(drop=True)
+    d = in_blocks(spark.createDataFrame(df), X.macd_hist, back=X.MACD_BACK, lay=Layout(bucket=3600, rows=600))
+    got = d.toPandas()
+    assert d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("+- Sort [ticker") <= 2
+    for t, p in df.groupby("ticker"):
+        fast, slow = (p.close.ewm(span=n, adjust=False).mean() for n in (12, 26))
+        want = (fast - slow) - (fast - slow).ewm(span=9, adjust=False).mean()
+        np.testing.assert_allclose(got[got.ticker == t].sort_values("ts").macd_hist.astype(float), want, atol=1e-9)
+
+
 def test_regime_fit_against_plain_sums():
     from itertools import product
     from math import isclose, log
