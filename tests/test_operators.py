@@ -12,6 +12,7 @@ from tapeloom.operators import labels as L
 from tapeloom.operators import signals as G
 from tapeloom.operators.blocks import Layout, in_blocks
 from tapeloom.operators.spread import value_positions
+from tapeloom.plans import panel as PN
 from tapeloom.plans import policies as PO
 from tapeloom.plans import portfolio as P
 from tapeloom.plans import regime_fit as H
@@ -375,3 +376,22 @@ def test_short_series_fall_back_to_the_first_horizon(spark):
     pdf = walk(90)
     got = L.balanced_labels(spark.createDataFrame(pdf).select("ticker", "ts", "close"), (5, 10), Layout(bucket=86400, rows=700)).toPandas()
     assert len(got) == 90 and set(got.horizon) == {5} and set(got.threshold) == {0.0}
+
+
+def test_panel_moves_only_what_is_asked_for(spark):
+    """Ranks, costs and regimes per ticker and time, a row per spec, and no column is carried
+    along that nobody reads."""
+    pdf = pd.concat([walk(150, i, t) for i, t in enumerate("ABC")])
+    bars = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spec = spark.createDataFrame([("A", 12, "positive", 40.0, 45.0), ("B", 12, "triple_barrier", 40.0, 45.0), ("B", 24, "after_costs", 30.0, 45.0), ("C", 24, "after_costs", 40.0, 45.0)], "ticker string, horizon int, label_type string, threshold_bps double, stop_bps double")
+    dim = spark.createDataFrame([("A", "x", 5.0), ("B", "y", 6.0)], "ticker string, asset_class string, round_trip_bps double")
+    regime = bars.where(F.minute("ts") == 0).select("ticker", "ts", F.col("close").alias("level"))
+    d = PN.build_panel(bars, spec, dim, regime, ["level"], max_h=24)
+    few = d.select("ticker", "ts", "horizon", "ret_12", "ret_12_cs_rank", "round_trip_bps", "level")
+    assert "macd_hist" not in few._jdf.queryExecution().executedPlan().toString()
+    got = few.toPandas().sort_values(["ticker", "ts", "horizon"], ignore_index=True)
+    assert got.groupby(["ticker", "horizon"]).size().to_dict() == {("A", 12): 114, ("B", 12): 114, ("B", 24): 114, ("C", 24): 114}
+    assert np.allclose(got["ret_12_cs_rank"], got.groupby("ts")["ret_12"].rank(pct=True))
+    assert got.groupby("ticker")["round_trip_bps"].first().to_dict()["B"] == 6.0 and got.loc[got["ticker"] == "C", "round_trip_bps"].isna().all()
+    known = pdf[pdf["ts"].dt.minute == 0].set_index(["ticker", "ts"])["close"]
+    assert [known[t, s.floor("h")] for t, s in zip(got["ticker"], got["ts"])] == got["level"].tolist()
