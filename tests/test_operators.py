@@ -395,3 +395,28 @@ def test_panel_moves_only_what_is_asked_for(spark):
     assert got.groupby("ticker")["round_trip_bps"].first().to_dict()["B"] == 6.0 and got.loc[got["ticker"] == "C", "round_trip_bps"].isna().all()
     known = pdf[pdf["ts"].dt.minute == 0].set_index(["ticker", "ts"])["close"]
     assert [known[t, s.floor("h")] for t, s in zip(got["ticker"], got["ts"])] == got["level"].tolist()
+
+
+def test_legacy_labels_skip_nulls_ahead_and_need_no_window_frames(spark):
+    pdf = walk(260, 5)
+    pdf.loc[[40, 41, 100], "close"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("close", F.nanvl("close", F.lit(None)))
+    for rows in (64, 65536):
+        lay = Layout(bucket=3600, rows=rows)
+        d = in_blocks(df, L.legacy_labels, ahead=96, lay=lay)
+        assert "collect_list" not in d._jdf.queryExecution().optimizedPlan().toString()
+        got = d.toPandas().sort_values("ts", ignore_index=True)
+        c = pdf["close"].to_numpy()
+        for i in range(len(c)):
+            for h in (20, 48, 96):
+                future = c[i + 1 : i + 1 + h]
+                future = future[~np.isnan(future)]
+                want = [np.nan] * 2 if not len(future) else [0.0] * 2 if np.isnan(c[i]) else [max(0.0, -(future.min() / c[i] - 1)), max(0.0, future.max() / c[i] - 1)]
+                assert np.allclose(got.loc[i, [f"mae_{h}", f"mfe_{h}"]].astype(float), want, equal_nan=True)
+            future = c[i + 1 : i + 21]
+            step = future[~np.isnan(future)] / c[i] - 1
+            hit = np.flatnonzero((step >= 5.2e-4) | (step <= -45e-4))
+            want = float(step[hit[0]] > 0) if len(hit) else 0.0 if len(step) >= 20 else np.nan
+            assert np.isclose(got.loc[i, "label_barrier_20"], want, equal_nan=True)
+            later = c[i + 12] / c[i] - 1 if i + 12 < len(c) else np.nan
+            assert np.isclose(got.loc[i, "fwd_ret_12"], later, equal_nan=True) and got.loc[i, "label_12_positive"] == int(later > 0)
