@@ -207,8 +207,9 @@ def pf09(spark, sf):
 SELECT ticker, count(*) AS periods_held, {r('avg(weight)')} AS mean_weight, {r('100 * sum(weight * ret)')} AS contribution_pct, {r('avg(CASE WHEN weight * ret > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate FROM d GROUP BY 1""",
 )
 def pf10(spark, sf):
-    rets = scored(spark, sf).where(F.col("fwd_ret").isNotNull()).select("ticker", "ts", F.col("fwd_ret").alias("ret"))
-    return out(P.participation(weights(spark, sf), rets), ["ticker"], ["mean_weight", "contribution_pct", "hit_rate"], ["periods_held"])
+    days = daily(spark, sf)
+    rets = scored(spark, sf, days).where(F.col("fwd_ret").isNotNull()).select("ticker", "ts", F.col("fwd_ret").alias("ret"))
+    return out(P.participation(weights(spark, sf, signal_frame(spark, sf, days)), rets), ["ticker"], ["mean_weight", "contribution_pct", "hit_rate"], ["periods_held"])
 
 
 SQL_BOOK = """bk AS (SELECT ticker, date_trunc('month', ts) AS m, max(ts) AS ts FROM daily GROUP BY 1, 2), me AS (SELECT m, max(ts) AS ts FROM bk GROUP BY 1), bw0 AS (SELECT DISTINCT d.ticker, me.ts FROM daily d JOIN me ON date_trunc('month', d.ts) = me.m WHERE d.volume > 40),

@@ -420,3 +420,20 @@ def test_legacy_labels_skip_nulls_ahead_and_need_no_window_frames(spark):
             assert np.isclose(got.loc[i, "label_barrier_20"], want, equal_nan=True)
             later = c[i + 12] / c[i] - 1 if i + 12 < len(c) else np.nan
             assert np.isclose(got.loc[i, "fwd_ret_12"], later, equal_nan=True) and got.loc[i, "label_12_positive"] == int(later > 0)
+
+
+def test_weights_work_the_signal_frame_once(spark):
+    """The totals per time read stored rows, not the plan behind the signal frame again."""
+    from pyspark.sql import Window
+
+    from tapeloom.catalog import signals
+
+    rows = [(t, f"2024-01-0{d}", s, 50.0 + 10 * i, 0.2) for d in (1, 2) for i, (t, s) in enumerate((("A", 1), ("B", -1), ("C", 1), ("D", 0)))]
+    frame = spark.createDataFrame(rows, "ticker string, day string, position_side int, score double, vol_ann double")
+    frame = frame.withColumns({"ts": F.col("day").cast("timestamp_ntz"), "_n": F.row_number().over(Window.partitionBy("ticker").orderBy("day"))}).where("_n > 0")
+    w = signals.weights(spark, "", frame)
+    assert "Window" not in w._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.ticker, r.ts.day): r.weight for r in w.collect()}
+    assert set(got) == {(t, d) for t in "ABC" for d in (1, 2)}
+    for d in (1, 2):  # three names of near equal weight, each above the cap of a fifth
+        assert [round(got[t, d], 9) for t in "ABC"] == [0.2, -0.2, 0.2]
