@@ -437,3 +437,18 @@ def test_weights_work_the_signal_frame_once(spark):
     assert set(got) == {(t, d) for t in "ABC" for d in (1, 2)}
     for d in (1, 2):  # three names of near equal weight, each above the cap of a fifth
         assert [round(got[t, d], 9) for t in "ABC"] == [0.2, -0.2, 0.2]
+
+
+def test_signal_frame_works_each_score_once(spark, tmp_path):
+    """The plan of the exits and sides reads the scores; it does not hold their expressions."""
+    from tapeloom.catalog import signals
+
+    spark.createDataFrame([(1, 0, 100.0), (2, 0, 9000.0)], "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    days = pd.concat([walk(30, i, t) for i, t in enumerate(("S1", "S2"))]).assign(ts=pd.concat([walk(30)["ts"]] * 2) + pd.to_timedelta(np.tile(np.arange(30), 2), unit="D"))
+    days = spark.createDataFrame(days).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    d = signals.signal_frame(spark, str(tmp_path), days)
+    assert "ascii(" not in d._jdf.queryExecution().optimizedPlan().toString()
+    got = d.toPandas()
+    assert len(got) == 60 and set(got["ticker"]) == {"S1", "S2"} and got["position_side"].isin([-1, 0, 1]).all()
+    assert np.allclose(got["score"], np.clip(got["proba"] * 100, 0, 100))
