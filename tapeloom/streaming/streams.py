@@ -87,18 +87,20 @@ class InOrder(StatefulProcessor):
     """Rows of a key are held until the watermark has passed them and then go, in time order,
     through ``advance(memory, rows) -> (memory, result)``.
 
-    Held rows are those of the watermark's delay and of the current trigger; one timer a
-    key, at its earliest held row, calls for them.  So the result does not depend on how the
-    input is split into files and triggers.  Rows older than the watermark are dropped, rows
-    of one time go by their values.
+    Held rows are those of the watermark's delay and of the current trigger, packed: one
+    entry of the state a batch of rows, with an array of each column.  One timer a key, at
+    its earliest held row, calls for them.  So the result does not depend on how the input
+    is split into files and triggers.  Rows older than the watermark are dropped, rows of
+    one time go by their values.
     """
 
     def __init__(self, columns: dict[str, str], memory: str):
         self.columns, self.memory_schema = columns, memory
+        self.types = {"us": "int64"} | {c: NUMPY[t] for c, t in columns.items()}
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "us bigint, " + ", ".join(f"`{c}` {t}" for c, t in self.columns.items()))
+        self.held = handle.getListState("held", ", ".join(f"`{c}` binary" for c in self.types))
         self.due = handle.getValueState("due", "ms bigint")
         self.memory = handle.getValueState("memory", self.memory_schema)
 
@@ -112,33 +114,41 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(ms)
             self.due.update((ms,))
 
+    def _packed(self, columns: list[np.ndarray]) -> tuple:
+        return tuple(x.astype(t).tobytes() for x, t in zip(columns, self.types.values()))
+
+    def _unpacked(self, entries: list[tuple]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*entries), self.types.values())]
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names are Spark's)
         for pdf in rows:
             if key[0] is None:
                 continue
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
             # a batch may also hold rows of other keys with nulls, which turn whole numbers to floats
-            values = [pdf[c].astype(NUMPY[t]).tolist() for c, t in self.columns.items()]
-            self.held.appendList(list(zip(us.tolist(), *values)))
+            self.held.appendValue(self._packed([us, *(pdf[c].to_numpy() for c in self.columns)]))
             self._call_at(int(us.min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.held.get()), columns=["us", *self.columns])
+        held = self._unpacked(list(self.held.get()))
         self.due.clear()
-        ready, rest = held[held["us"] < upto], held[held["us"] >= upto]
-        if len(rest):
-            self.held.put(list(zip(*(rest[c].tolist() for c in rest))))
-            self._call_at(int(rest["us"].min()))
+        ready = held[0] < upto
+        if not ready.all():
+            rest = [x[~ready] for x in held]
+            self.held.put([self._packed(rest)])
+            self._call_at(int(rest[0].min()))
         else:
             self.held.clear()
-        if not len(ready):
+        if not ready.any():
             return iter(())
-        ready = ready.sort_values(["us", *self.columns], kind="stable", ignore_index=True)
-        memory, result = self.advance(self.memory.get() if self.memory.exists() else None, ready)
+        held = [x[ready] for x in held]
+        order = np.lexsort(held[::-1])
+        rows = {c: x[order] for c, x in zip(self.types, held)}
+        memory, result = self.advance(self.memory.get() if self.memory.exists() else None, rows)
         self.memory.update(memory)
-        return iter([pd.DataFrame({"ticker": key[0], "ts": ready["us"].astype("datetime64[us]"), **result})])
+        return iter([pd.DataFrame({"ticker": key[0], "ts": rows["us"].astype("datetime64[us]"), **result})])
 
 
 class RegimeFilter(InOrder):
@@ -150,7 +160,7 @@ class RegimeFilter(InOrder):
 
     def advance(self, memory, rows):
         m = regime_fit.Chains(*(np.asarray(self.model[k])[None] for k in ("pi", "A", "mean", "cov")))
-        p = regime_fit.filtered(m, [rows[self.dims].to_numpy(dtype=float)], None if memory is None else np.asarray(memory[0])[None])[0]
+        p = regime_fit.filtered(m, [np.column_stack([rows[c] for c in self.dims])], None if memory is None else np.asarray(memory[0])[None])[0]
         named = p[:, m.roles()[0]]
         return (p[-1].tolist(),), {"p_imp": named[:, 0], "p_mr": named[:, 1], "p_st": named[:, 2]}
 
@@ -162,7 +172,7 @@ class TransitionCounts(InOrder):
         super().__init__({"state": "int"}, "counts array<double>, prev int")
 
     def advance(self, memory, rows):
-        now = rows["state"].to_numpy(dtype=int)
+        now = rows["state"].astype(int)
         held, last = (np.ones(9), -1) if memory is None else (np.asarray(memory[0]), memory[1])
         before = np.concatenate(([last], now[:-1]))
         # one column per pair; a row sees the pairs that ended before it

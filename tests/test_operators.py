@@ -264,6 +264,39 @@ def test_regime_fit_against_plain_sums():
     assert isclose(H.log_likelihood(m, [x])[0], log(total), rel_tol=1e-6)
 
 
+def test_held_rows_are_packed():
+    """A batch of rows is one entry of the state, whatever its rows; what is left is one again."""
+
+    class State:
+        def __init__(self):
+            self.now = []
+
+        appendValue = lambda self, x: self.now.append(x)  # noqa: E731, N815
+        appendList = lambda self, x: self.now.extend(x)  # noqa: E731, N815
+        put = update = lambda self, x: setattr(self, "now", list(x))
+        get = lambda self: self.now
+        exists = lambda self: bool(self.now)
+        clear = lambda self: self.now.clear()
+
+    class Handle:
+        registerTimer = deleteTimer = lambda self, ms: None  # noqa: N815
+        getListState = getValueState = lambda self, name, schema: State()  # noqa: N815
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 100 * 300_000  # noqa: N802
+
+    p = T.TransitionCounts()
+    p.init(Handle())
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"ts": pd.to_datetime(np.arange(150) * 300, unit="s"), "state": rng.integers(0, 3, 150).astype("int32")})
+    mixed = pdf.sample(frac=1, random_state=1)
+    list(p.handleInputRows(("A",), iter([mixed[:70], mixed[70:]]), None))
+    assert len(p.held.now) == 2
+    (got,) = p.handleExpiredTimer(("A",), Times(), None)
+    assert len(p.held.now) == 1 and (got.ts.to_numpy() == pdf.ts[:100].to_numpy()).all()
+    assert (got.state == pdf.state[:100]).all() and p.memory.now[1] == pdf.state[99]
+
+
 def test_streamed_filter_and_counts_equal_batch(spark):
     rng = np.random.default_rng(9)
     n = 90
