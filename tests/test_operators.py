@@ -297,6 +297,32 @@ def test_held_rows_are_packed():
     assert (got.state == pdf.state[:100]).all() and p.memory.now[1] == pdf.state[99]
 
 
+def test_grid_search_shares_the_medians_of_a_fold(spark, monkeypatch):
+    from pyspark.ml.feature import Imputer
+
+    from tapeloom.plans import models as M
+
+    fits, fit = [], Imputer._fit
+    monkeypatch.setattr(Imputer, "_fit", lambda self, d: fits.append(1) or fit(self, d))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=1200)
+    pdf = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=1200, freq="2h"), "x": np.where(rng.random(1200) < 0.1, np.nan, x), "y": (x > 0.3) * 1.0, "fwd_ret": x / 100, "round_trip_bps": 4.0})
+    d = spark.createDataFrame(pdf)
+    grid = [{"maxDepth": k, "maxIter": 2} for k in (1, 2)]
+    found = {r.trial: r for r in M.grid_search(d, d.select(F.to_date("ts").alias("session")), ["x"], "y", grid, folds=2).collect()}
+    assert len(fits) == 2 and found[0].n_folds == found[1].n_folds == 2
+    plan = M.walkforward.session_folds(d.select(F.to_date("ts").alias("session")), 2, 1)
+    part = d.withColumn("session", F.to_date("ts")).join(plan, "session")
+    for i, params in enumerate(grid):
+        net = []
+        for f in (0, 1):
+            rows = part.where(F.col("fold") == f)
+            model = M.fit_entry(rows.where("role = 'train'"), ["x"], "y", params=params)
+            s = M.audits.top_decile_stats(M.score_entry(model, rows), ["role"], "proba", "fwd_ret", "round_trip_bps")
+            net.append({r.role: r.net_bps for r in s.collect()}["test"])
+        assert abs(found[i].top_decile_net_bps - np.mean(net)) < 1e-6
+
+
 def test_streamed_filter_and_counts_equal_batch(spark):
     rng = np.random.default_rng(9)
     n = 90
