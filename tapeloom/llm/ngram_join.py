@@ -248,17 +248,23 @@ def similar_in(sets: list[np.ndarray], similar: Fraction) -> Union:
     return found
 
 
-def possible(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that may be among ``placed``, and some others, so that texts that
-    are in no cluster are not shuffled: hashes marked in BITS bits, at most BITS / 64 rows."""
+def _marked(docs: DataFrame, keys: DataFrame, doc: str, th: str, kdoc: str, kth: str) -> DataFrame:
+    """``docs`` with a flag ``_hit``: true for the rows that may be among ``keys``, and some
+    others.  Hashes are marked in BITS bits, at most BITS / 64 rows, so no text is shuffled."""
     bit = lambda *key: F.pmod(F.xxhash64(*key), F.lit(BITS))
-    one = placed.select(bit("mdoc", "mth").alias("_bit"))
+    one = keys.select(bit(kdoc, kth).alias("_bit"))
     marks = one.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_marks"))
-    d = docs.withColumn("_bit", bit("doc", "th")).withColumn("_word", F.shiftright("_bit", 6))
-    d = d.join(F.broadcast(marks), "_word").where(F.expr("getbit(_marks, cast(_bit % 64 as int)) = 1"))
+    d = docs.withColumn("_bit", bit(doc, th)).withColumn("_word", F.shiftright("_bit", 6))
+    d = d.join(F.broadcast(marks), "_word", "left").withColumn("_hit", F.expr("coalesce(getbit(_marks, cast(_bit % 64 as int)) = 1, false)"))
     return d.drop("_word", "_bit", "_marks")
 
 
+def possible(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may be among ``placed``, and some others, so that texts that
+    are in no cluster are not shuffled."""
+    return _marked(docs, placed, "doc", "th", "mdoc", "mth").where("_hit").drop("_hit")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similar: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``text_hash``, ``n_shingles``, ``component_id`` (the least
     id of its component) and ``component_hash`` (that document's text hash).
@@ -326,10 +332,18 @@ def one_of_each(docs: DataFrame, width: int = 5, similar: Fraction = Fraction(4,
     if its component has no other; texts of any length count whole; an empty table gives an
     empty table; other columns, of whatever name, are carried along.
     """
-    doc, th, h = free(docs, "kept_doc", "kept_th", "kept_h")
+    given = docs.columns
+    names = free(docs, *(f"n{i}" for i in range(len(given))))  # so that helper columns hide none
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)])
+    key, text = names[given.index(id_col)], names[given.index(text_col)]
     found = similar_documents(docs, width, similar, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash")))
-    stay = stay.select(F.col(id_col).alias(doc), F.col("text_hash").alias(th)).distinct()
-    d = docs.withColumn(h, F.xxhash64(text_col))
-    d = d.join(stay, d[id_col].eqNullSafe(F.col(doc)) & (F.col(h) == F.col(th)), "left_semi")
-    return d.dropDuplicates([id_col, h]).select(*docs.columns)
+    stays = F.col(id_col).eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("component_hash"))
+    each = found.select(F.col(id_col).alias("kept_doc"), F.col("text_hash").alias("kept_th"), stays.alias("stays"))
+    each = each.groupBy("kept_doc", "kept_th").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    # documents that go or are there twice; only texts that may be among them are shuffled
+    touched = stage(each.where("not stays or n > 1").drop("n"))
+    d = _marked(d.withColumn("_th", F.xxhash64(text)), touched, key, "_th", "kept_doc", "kept_th")
+    some = d.where("_hit").join(touched, F.col(key).eqNullSafe(F.col("kept_doc")) & (F.col("_th") == F.col("kept_th")), "left")
+    some = some.where(F.coalesce("stays", F.lit(True))).dropDuplicates([key, "_th"])
+    both = d.where("not _hit").select(*names).unionByName(some.select(*names))
+    return both.select(*[F.col(n).alias(c) for n, c in zip(names, given)])

@@ -189,6 +189,18 @@ def test_similar_documents(spark, docs, no_docs, width, similar, monkeypatch):
     assert ngram_join.similar_documents(no_docs).count() == 0
 
 
+def test_texts_that_stay_alone_are_not_shuffled(spark):
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(200)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[3], texts[5] + " x", None, "", ""])] + [(7, texts[7])], "doc_id long, text string")
+    kept = ngram_join.one_of_each(d)
+    # the branch of rows that nothing else resembles has a filter over a broadcast join, no more
+    assert kept._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == [*range(200), 202, 203, 204]
+    hit = ngram_join._marked(d.withColumn("th", F.xxhash64("text")), d.where("doc_id in (3, 7)").select("doc_id", F.xxhash64("text").alias("kth")), "doc_id", "th", "doc_id", "kth").where("_hit")
+    assert {3, 7} <= {r.doc_id for r in hit.collect()} and hit.count() < 10
+
+
 def test_allocations_leave_no_gap():
     for similar in (Fraction(9, 10), Fraction(4, 5)):
         for upper in (9, 12, 30, 200, 3000):
