@@ -14,18 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores as S
 from ..functions.frames import clip
 from ..operators import labels as L
 from ..operators.aggregates import best_candidate
-from ..operators.blocks import BARS, Layout, in_blocks
+from ..operators.blocks import BARS, Layout, along_blocks, block_frame, finish_blocks
 from ..operators.spread import salted_join
 from ..sources.store import stage
 from . import grouped as GR
 
 #: Resolution of a validation score.
 BINS = 1024
+DOUBLES = T.ArrayType(T.DoubleType())
 # The shipped grid, rows a fold needs to train and to validate, the weights of
 # the direction score, its edge and accuracy scales, the shares it allows.
 HORIZONS, TYPES, MULTS = (12, 24, 36, 48, 72, 96), ("triple_barrier", "after_costs"), (1.0, 1.25, 1.5)
@@ -58,38 +60,58 @@ def labelled(df: DataFrame, grid: Grid, lay: Layout = BARS) -> DataFrame:
     The path is read once up to the longest horizon: a barrier counts for a horizon if it is
     touched within it.
     """
-    longest = max(grid.horizons)
-    levels = sorted(set(grid.mults) | {1.0})
-    # one small expression over the candidates, as one per candidate would be too much code to compile
-    cands = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(kind).alias("kind"), F.lit(levels.index(m)).alias("j")) for h, kind, m in grid.candidates])
-
-    def add(d: DataFrame, w) -> DataFrame:
-        thr = F.array(*[F.round(F.col("cost_floor_bps") * m, 2) / L.BPS for m in levels])
-        d = d.withColumns({"_path": L.path(w, longest), "_thr": thr, "_stop": F.col("stop_bps") / L.BPS, "ends": F.array(*[F.to_date(F.lead("ts", h).over(w)) for h in grid.horizons])})
-        hits = lambda above: F.transform("_thr", lambda t: L.first_hit(F.col("_path"), t if above else -t, above))
-        d = d.withColumns({"_up": hits(True), "_dn": hits(False), "_ups": L.first_hit(F.col("_path"), F.col("_stop"), True), "_dns": L.first_hit(F.col("_path"), -F.col("_stop"), False), "_n": F.size("_path")})
-        none = F.lit(longest + 1)
-        within = lambda x, h: F.when(x <= h, x).otherwise(none).cast("int")
-
-        def touched(c: Column) -> Column:
-            """Bars of the first touches within the horizon, beyond every path where there is none."""
-            up, dn, ups, dns = within(F.col("_up")[c["j"]], c["h"]), within(F.col("_dn")[c["j"]], c["h"]), within(F.col("_ups"), c["h"]), within(F.col("_dns"), c["h"])
-            return F.struct(c["h"].alias("h"), c["kind"].alias("kind"), F.col("_thr")[c["j"]].alias("thr"), F.get("_path", c["h"] - 1).alias("f"), (F.col("_n") >= c["h"]).alias("full"), up.alias("up"), dns.alias("dns"), F.when(up < dns, up).otherwise(none).alias("long"), F.when(dn < ups, dn).otherwise(none).alias("short"))
-
-        d = d.withColumns({"_c": cands, "fwd": F.transform(F.array(*map(F.lit, grid.horizons)), lambda h: F.when(F.col("_n") >= h, F.get("_path", h - 1)))})
-        d = d.withColumn("_t", F.transform("_c", touched))
-        barrier = lambda c: c["kind"] == "triple_barrier"
-        bar = lambda c: F.when(c["kind"] == "positive", 0.0).otherwise(c["thr"])
-        rises = lambda c: F.when(c["kind"] == "positive", c["f"] > 0).otherwise(c["f"] >= bar(c))
-        falls = lambda c: F.when(c["kind"] == "positive", c["f"] < 0).otherwise(c["f"] <= -bar(c))
-        entry = lambda c: F.when(barrier(c), F.when(c["long"] < none, 1.0).when((c["up"] < none) | (c["dns"] < none) | c["full"], 0.0)).when(c["full"], rises(c).cast("double"))
-        way = lambda c: F.when(
-            barrier(c), F.when(c["long"] < c["short"], 1.0).when(c["short"] < c["long"], 2.0).when((c["long"] < none) | c["full"], 0.0)
-        ).when(c["full"], F.when(rises(c) & ~falls(c), 1.0).when(falls(c) & ~rises(c), 2.0).otherwise(0.0))
-        d = d.withColumns({"entry": F.transform("_t", entry), "direction": F.transform("_t", way)})
-        return d.drop("_path", "_thr", "_stop", "_up", "_dn", "_ups", "_dns", "_n", "_c", "_t")
-
-    return in_blocks(df, add, ahead=longest, lay=lay)
+    longest, levels = max(grid.horizons), sorted(set(grid.mults) | {1.0})
+    given = {"_day": F.unix_date(F.to_date(lay.order[0])), "_stop": F.col("stop_bps") / L.BPS, **{f"_thr{i}": F.round(F.col("cost_floor_bps") * m, 2) / L.BPS for i, m in enumerate(levels)}}
+    names = {"fwd": DOUBLES, "ends": T.ArrayType(T.DateType()), "entry": DOUBLES, "direction": DOUBLES}
+    d, _ = block_frame(df.withColumns(given), ahead=longest, lay=lay)
+    d = along_blocks(d, ["close", *given], names, lambda *x: _labels(grid, levels, *x), lay.keys, lay.order[0])
+    return finish_blocks(d).drop(*given)
+
+
+def _labels(grid: Grid, levels: list[float], back: np.ndarray, close: np.ma.MaskedArray, day: np.ma.MaskedArray, stop: np.ma.MaskedArray, *thr: np.ma.MaskedArray) -> list[np.ma.MaskedArray]:
+    """Matrices (rows by horizon or candidate) of ``labelled``, one step ahead at a time.  A path
+    is the closes that are there among the rows ahead; NaN is above all numbers, as in Spark."""
+    size, longest = len(close), max(grid.horizons)
+    none = longest + 1
+    n, steps = L.path_steps(back, close, longest)
+    levels_up = [*thr, stop]
+    up, dn = ([np.full(size, none, dtype=np.int32) for _ in levels_up] for _ in range(2))
+    fwd = {h: np.ma.masked_all(size) for h in grid.horizons}
+    level = [(t.data, ~np.ma.getmaskarray(t)) for t in levels_up]
+    with np.errstate(all="ignore"):
+        for k, x, ok in steps:
+            high = np.isnan(x)
+            for j, (t, given) in enumerate(level):
+                on = ok & given
+                up[j][on & (up[j] == none) & ((x >= t) | high)] = k
+                dn[j][on & (dn[j] == none) & (x <= -t)] = k
+            if k in fwd:
+                fwd[k] = np.ma.array(x, mask=~ok)
+    ends = np.ma.masked_all((size, len(grid.horizons)))
+    for i, h in enumerate(grid.horizons):
+        later = back[h:] >= h
+        ends[: max(size - h, 0), i] = np.ma.array(day.data[h:], mask=~later | np.ma.getmaskarray(day)[h:])
+    entry, way = (np.ma.masked_all((size, len(grid.candidates))) for _ in range(2))
+    for c, (h, kind, m) in enumerate(grid.candidates):
+        j, full = levels.index(m), n >= h
+        if kind == "triple_barrier":
+            u, d, us, ds = (np.where(v <= h, v, none) for v in (up[j], dn[j], up[-1], dn[-1]))
+            long, short = np.where(u < ds, u, none), np.where(d < us, d, none)
+            is_long, is_short = long < short, short < long
+            entry[:, c] = np.ma.array((long < none).astype(float), mask=~((u < none) | (ds < none) | full))
+            way[:, c] = np.ma.array(np.where(is_long, 1.0, np.where(is_short, 2.0, 0.0)), mask=~(is_long | is_short | (long < none) | full))
+            continue
+        f, there = fwd[h].data, ~np.ma.getmaskarray(fwd[h])
+        with np.errstate(all="ignore"):
+            if kind == "positive":
+                rises, falls = (f > 0) | np.isnan(f), f < 0
+            else:
+                there &= level[j][1]
+                rises, falls = (f >= level[j][0]) | np.isnan(f), f <= -level[j][0]
+        rises, falls = rises & there, falls & there
+        entry[:, c] = np.ma.array(rises.astype(float), mask=~(full & there))
+        way[:, c] = np.ma.array(np.where(rises & ~falls, 1.0, np.where(falls & ~rises, 2.0, 0.0)), mask=~full)
+    return [np.ma.stack([np.ma.array(fwd[h], mask=np.ma.getmaskarray(fwd[h]) | (n < h)) for h in grid.horizons], axis=1), ends, entry, way]
 
 
 def fold_bounds(df: DataFrame, k: int) -> list[tuple]:

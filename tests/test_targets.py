@@ -55,3 +55,40 @@ def test_masks_end_before_the_test_block(spark):
     second = [i for i, r in enumerate(rows) if r.w[1]]
     assert second == [*range(5), *range(22, 40)]  # labels end before day 10; two days' purge after day 19
     assert TG.fold_bounds(d.where(F.lit(False)), 4) == []
+
+
+def test_labels_skip_missing_closes_and_are_worked_on_arrays(spark):
+    rng = np.random.default_rng(9)
+    n = 170
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.004, n)))
+    rows = [(t, d.to_pydatetime(), None if rng.random() < 0.1 else float(c), 60.0 if t == "A" else None, 45.0) for t, at in (("A", 0), ("B", 30)) for d, c in list(zip(pd.date_range("2024-01-01", periods=n, freq="D"), close))[at:]]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, close double, cost_floor_bps double, stop_bps double")
+    grid = TG.Grid(horizons=(6, 20), types=("triple_barrier", "after_costs", "positive"), mults=(1.0, 1.5))
+    found = TG.labelled(d, grid, LAY)
+    assert "collect_list" not in found._jdf.queryExecution().toString()  # a list a row, gone over anew for each level
+    got = {(r.ticker, r.ts): r for r in found.collect()}
+    assert len(got) == len(rows)
+    for t in "AB":
+        mine = [r for r in rows if r[0] == t]
+        for i, (_, ts, c, floor, stop) in enumerate(mine):
+            path = [None if c is None else x / c - 1 for _, _, x, _, _ in mine[i + 1 : i + 21] if x is not None]
+            r = got[t, ts]
+            assert [e and e.isoformat() for e in r.ends] == [mine[i + h][1].date().isoformat() if i + h < len(mine) else None for h in grid.horizons]
+            for v, h in zip(r.fwd, grid.horizons):
+                assert v == (path[h - 1] if len(path) >= h else None)
+            for k, (h, kind, m) in enumerate(grid.candidates):
+                p, full = path[:h], len(path) >= h
+                thr = None if floor is None else round(floor * m, 2) / 1e4
+                first = lambda test: next((j for j, x in enumerate(p) if x is not None and test(x)), 99)
+                up, dn = (99, 99) if thr is None else (first(lambda x: x >= thr), first(lambda x: x <= -thr))  # noqa: B023
+                ups, dns = first(lambda x: x >= stop / 1e4), first(lambda x: x <= -stop / 1e4)  # noqa: B023
+                long, short = up if up < dns else 99, dn if dn < ups else 99
+                if kind == "triple_barrier":
+                    entry = 1.0 if long < 99 else 0.0 if min(up, dns) < 99 or full else None
+                    way = 1.0 if long < short else 2.0 if short < long else 0.0 if long < 99 or full else None
+                else:
+                    bar, f = 0.0 if kind == "positive" else thr, p[-1] if full else None
+                    some = f is not None and bar is not None
+                    entry = float(f > 0 if kind == "positive" else f >= bar) if some else None
+                    way = (1.0 if some and (f > 0 or f == bar > 0) and f >= bar else 2.0 if some and f <= -bar and f < 0 else 0.0) if full else None
+                assert (r.entry[k], r.direction[k]) == (entry, way), (t, i, h, kind, m)
