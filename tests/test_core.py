@@ -117,3 +117,22 @@ def test_position(spark):
     got = with_position(to_spark(spark, pdf), lay=Layout(bucket=3600, rows=10)).toPandas()
     got = got.sort_values(["ticker", "ts"])
     assert (got.pos == got.groupby("ticker").cumcount()).all()
+
+
+def test_series_of_one_block_are_shuffled_once(spark):
+    from tapeloom.operators.blocks import Layout, in_blocks
+
+    n = 400
+    ts = pd.date_range("2020-01-01", periods=n, freq="D")
+    rows = [(k, t.to_pydatetime(), float(i)) for k, m in (("A", n), ("B", 50), (None, 3)) for i, t in enumerate(ts[:m])]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, x double")
+    beside = spark.createDataFrame([("A", 1), ("C", 2)], "ticker string, own int")
+    fn = lambda x, w: x.withColumns({"p": F.col("_pos"), "s": F.sum("x").over(w.rowsBetween(-5, 3))})
+    whole = in_blocks(d, fn, back=5, ahead=3, lay=Layout(bucket=30 * 86400))
+    text = whole._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    assert in_blocks(d, fn, back=5, ahead=3, lay=Layout(bucket=30 * 86400), beside=beside).select("ticker", "own").distinct().collect() == [("A", 1)]
+    # A is several blocks here, B one
+    parts = in_blocks(d, fn, back=5, ahead=3, lay=Layout(bucket=30 * 86400, rows=100), beside=beside.union(spark.createDataFrame([("B", 3)], beside.schema)))
+    rows = lambda x: sorted(x.select("ticker", "ts", "x", "p", "s").collect())
+    assert rows(whole) == rows(parts) and len(rows(whole)) == n + 50
