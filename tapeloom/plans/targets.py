@@ -166,29 +166,78 @@ def _validated(row, n_cand: int, per: int) -> list[tuple]:
     return out
 
 
-def entry_bins(blocks: DataFrame, beta: DataFrame, grid: Grid) -> DataFrame:
-    """(ticker, cand, fold, bin, n, pos, fn, fsum, fsq): validation rows of each bin of the
-    score, positives, and rows, sum and squares of their forward returns."""
-    cands = grid.candidates
-    where = np.array([grid.horizons.index(h) for h, _, _ in cands])
+def _counted(row, cands: int, where: np.ndarray):
+    """For each fold with rows: (fold, rows, positives, and rows, sum and squares of forward
+    returns, each a matrix candidate by bin)."""
+    y_all, more = GR._matrix(row["y"], row["n"]), GR._matrix(row["more"], row["n"])
+    for f, at, p, fitted in _validated(row, cands, 1):
+        y, r = y_all[at], more[at][:, 1 + where]
+        ok = ~np.isnan(y) & fitted
+        cell = (np.arange(cands) * BINS + np.minimum((p * BINS).astype(int), BINS - 1))[ok]
+        have = ~np.isnan(r[ok])
+        fwd = np.where(have, r[ok], 0.0)
+        yield f, *[np.bincount(cell, weights=v, minlength=cands * BINS).reshape(cands, BINS) for v in (None, y[ok], have.astype(float), fwd, fwd**2)]
+
+
+def entry_metrics(blocks: DataFrame, beta: DataFrame, grid: Grid) -> DataFrame:
+    """(ticker, cand, fold, metrics) of the validation rows.  A ticker of one block has them
+    from its bins where they are counted, as its bins are about as many as its rows; the
+    bins of longer ones are added up first."""
+    cands = len(grid.candidates)
+    where = np.array([grid.horizons.index(h) for h, _, _ in grid.candidates])
+    own = GR.beside(blocks, beta.select("ticker", "blocks", "beta", "fitted").withColumnRenamed("blocks", "_blocks").withColumn("blocks", F.col("_blocks")), ["ticker"])
 
     def count(pdfs):
         for pdf in pdfs:
             for row in pdf.to_dict("records"):
-                y_all, more = GR._matrix(row["y"], row["n"]), GR._matrix(row["more"], row["n"])
-                for f, at, p, fitted in _validated(row, len(cands), 1):
-                    y, r = y_all[at], more[at][:, 1 + where]
-                    ok = ~np.isnan(y) & fitted
-                    cell = (np.arange(len(cands)) * BINS + np.minimum((p * BINS).astype(int), BINS - 1))[ok]
-                    have = ~np.isnan(r[ok])
-                    fwd = np.where(have, r[ok], 0.0)
-                    each = [np.bincount(cell, weights=v, minlength=len(cands) * BINS) for v in (np.ones(len(cell)), y[ok], have.astype(float), fwd, fwd**2)]
-                    met = np.flatnonzero(each[0])
-                    yield pd.DataFrame({"ticker": row["ticker"], "cand": met // BINS, "fold": f, "bin": met % BINS, **{c: v[met] for c, v in zip(("n", "pos", "fn", "fsum", "fsq"), each)}})
+                for f, *each in _counted(row, cands, where):
+                    cand, met = np.nonzero(each[0])
+                    yield pd.DataFrame({"ticker": row["ticker"], "cand": cand, "fold": f, "bin": met, **{c: v[cand, met].astype(float) for c, v in zip(("n", "pos", "fn", "fsum", "fsq"), each)}})
 
-    own = GR.beside(blocks, beta.select("ticker", "blocks", "beta", "fitted"), ["ticker"])
-    sent = own.mapInPandas(count, "ticker string, cand int, fold int, bin int, n double, pos double, fn double, fsum double, fsq double")
-    return sent.groupBy("ticker", "cand", "fold", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "fn", "fsum", "fsq")])
+    def measure(pdfs):
+        for pdf in pdfs:
+            for row in pdf.to_dict("records"):
+                for f, *each in _counted(row, cands, where):
+                    m = pd.DataFrame(measured(*each)).assign(ticker=row["ticker"], cand=np.arange(cands), fold=f)
+                    yield m[m["n"] > 0]
+
+    sent = own.where("_blocks > 1").mapInPandas(count, "ticker string, cand int, fold int, bin int, n double, pos double, fn double, fsum double, fsq double")
+    bins = sent.groupBy("ticker", "cand", "fold", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "fn", "fsum", "fsq")])
+    several = bin_metrics(stage(bins), ["ticker", "cand", "fold"])
+    names = ", ".join(f"{c} double" for c in METRICS)
+    return own.where("_blocks = 1").mapInPandas(measure, f"ticker string, cand int, fold int, {names}").unionByName(several)
+
+
+METRICS = ("n", "accuracy", "precision", "recall", "auc", "pr_auc", "edge_corr", "gross_bps")
+
+
+def measured(n: np.ndarray, pos: np.ndarray, fn: np.ndarray, fsum: np.ndarray, fsq: np.ndarray) -> dict[str, np.ndarray]:
+    """``bin_metrics`` of every row of matrices by bin; NaN where it has null."""
+    n = n.astype(float)
+    p, neg = (np.arange(BINS) + 0.5) / BINS, n - pos
+    before = lambda x: np.cumsum(x, 1) - x
+    upward = lambda x: np.cumsum(x[:, ::-1], 1)[:, ::-1]
+    whole = lambda x: x.sum(1)
+    total, npos, rows = whole(n), whole(pos), whole(fn)
+    with np.errstate(all="ignore"):
+        over = lambda a, b, other: np.where(b != 0, a / b, other)
+        at, first = 0.9 * (rows - 1), before(fn)
+        # the bin that holds the row at this position
+        bin_at = lambda i: p[np.minimum((first + fn <= i[:, None]).sum(1), BINS - 1)]
+        lo, hi = bin_at(np.floor(at)), bin_at(np.ceil(at))
+        top = p >= (lo + (hi - lo) * (at - np.floor(at)))[:, None]
+        hat = p >= np.maximum(0.5, npos / total)[:, None]
+        s, sp, sr, p2, r2 = whole(p * fsum), whole(p * fn), whole(fsum), whole(p * p * fn), whole(fsq)
+        spread = np.sqrt(np.maximum((rows * p2 - sp * sp) * (rows * r2 - sr * sr), 0.0))
+        hit = whole(np.where(hat, pos, 0.0))
+        return {
+            "n": total, "accuracy": whole(np.where(hat, pos, neg)) / total,
+            "precision": over(hit, whole(np.where(hat, n, 0.0)), 0.0), "recall": over(hit, npos, 0.0),
+            "auc": over(whole(pos * (before(neg) + neg / 2)), npos * whole(neg), 0.5),
+            "pr_auc": over(whole(np.where(pos > 0, pos * upward(pos) / upward(n), 0.0)), npos, 0.0),
+            "edge_corr": over(rows * s - sp * sr, spread, 0.0),
+            "gross_bps": np.where(rows >= DECILE_ROWS, over(whole(np.where(top, fsum, 0.0)), whole(np.where(top, fn, 0.0)), np.nan) * L.BPS, np.nan),
+        }
 
 
 def bin_metrics(bins: DataFrame, keys: list[str]) -> DataFrame:
@@ -237,7 +286,7 @@ def search_entry(d: DataFrame, features: list[str], grid: Grid = Grid(), *, k: i
     k, cands = len(bounds), grid.candidates
     arms = [(c, grid.horizons.index(h) * k + f) for c, (h, _, _) in enumerate(cands) for f in range(k)]
     beta = fit = GR.fit_logistic(blocks, ["ticker"], arms, rounds=rounds, balance=False, min_rows=MIN_TRAIN)
-    m = bin_metrics(stage(entry_bins(blocks, beta, grid)), ["ticker", "cand", "fold"]).where(F.col("n") >= MIN_VALIDATE)
+    m = entry_metrics(blocks, beta, grid).where(F.col("n") >= MIN_VALIDATE)
     cost = d.groupBy("ticker").agg(F.max("round_trip_bps").alias("_rt"))
     m = salted_join(m, cost, ["ticker"], salts=1).withColumn("top_decile_net_bps", F.col("gross_bps") - F.col("_rt"))
     rate = fit.select("ticker", F.posexplode(F.zip_with("positives", "n", lambda a, b: a / F.nullif(b, F.lit(0.0))))).select("ticker", F.floor(F.col("pos") / k).cast("int").alias("cand"), F.pmod("pos", F.lit(k)).alias("fold"), F.col("col").alias("_rate"))
@@ -282,12 +331,12 @@ def direction_hits(blocks: DataFrame, beta: DataFrame, grid: Grid, k: int) -> Da
     def count(pdfs):
         for pdf in pdfs:
             for row in pdf.to_dict("records"):
-                y_all = GR._matrix(row["y"], row["n"]).reshape(row["n"], c, 3)
+                y_all = GR._matrix(row["y"], row["n"])
                 for f, at, p, fitted in _validated(row, c, 3):
                     p = np.where(fitted, p, -1.0).reshape(len(at), c, 3)
                     y = y_all[at]
-                    ok = ~np.isnan(y[:, :, 0]) & (fitted.reshape(c, 3).sum(1) > 1)
-                    hit = ok & (p.argmax(2) == np.nan_to_num(y).argmax(2))
+                    ok = ~np.isnan(y) & (fitted.reshape(c, 3).sum(1) > 1)
+                    hit = ok & (p.argmax(2) == y)
                     yield pd.DataFrame({"ticker": row["ticker"], "cand": np.arange(c), "fold": f, "n": ok.sum(0), "hits": hit.sum(0)})
 
     own = GR.beside(blocks, beta.select("ticker", "blocks", "beta", "fitted"), ["ticker"])
@@ -312,16 +361,16 @@ def direction_score(*, tpy: float = 30.0, pen: float = 0.0008) -> Column:
 
 def search_direction(d: DataFrame, features: list[str], grid: Grid, *, k: int = 4, purge: int = 1, bars_per_year: float, rounds: int = 8) -> DataFrame:
     """(ticker, cand, ...): accuracy over purged folds, shares, edges and score of every
-    direction candidate that had a fold.  Each class is an arm, weighed to equal classes."""
+    direction candidate that had a fold.  Each class is an arm over the same labels, weighed to
+    equal classes."""
     spark = d.sparkSession
     d = stage(d.select("ticker", "ts", *features, "fwd", "ends", "direction"))
     bounds = fold_bounds(d, k)
     rates = direction_rates(d, grid)
     if bounds:
-        classes = F.flatten(F.transform("direction", lambda v: F.array(*[F.when(v.isNotNull(), (v == i).cast("double")) for i in range(3)])))
-        blocks = _blocks(d, features, classes, bounds, grid, purge)
+        blocks = _blocks(d, features, F.col("direction"), bounds, grid, purge)
         n = len(bounds)
-        arms = [(3 * c + i, grid.horizons.index(h) * n + f) for c, (h, _, _) in enumerate(grid.candidates) for i in range(3) for f in range(n)]
+        arms = [(c, grid.horizons.index(h) * n + f, float(i)) for c, (h, _, _) in enumerate(grid.candidates) for i in range(3) for f in range(n)]
         beta = GR.fit_logistic(blocks, ["ticker"], arms, rounds=rounds, min_rows=MIN_TRAIN)
         hits = direction_hits(blocks, beta, grid, n).where(F.col("n") >= MIN_VALIDATE)
         acc = hits.groupBy("ticker", "cand").agg(F.round(F.avg(F.col("hits") / F.col("n")), 4).alias("direction_accuracy"), F.count(F.lit(1)).alias("n_folds"))

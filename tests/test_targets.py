@@ -92,3 +92,45 @@ def test_labels_skip_missing_closes_and_are_worked_on_arrays(spark):
                     entry = float(f > 0 if kind == "positive" else f >= bar) if some else None
                     way = (1.0 if some and (f > 0 or f == bar > 0) and f >= bar else 2.0 if some and f <= -bar and f < 0 else 0.0) if full else None
                 assert (r.entry[k], r.direction[k]) == (entry, way), (t, i, h, kind, m)
+
+
+def test_metrics_where_bins_are_counted_are_those_of_spark(spark):
+    rng = np.random.default_rng(11)
+    rows, mats = [], []
+    for c in range(8):
+        size = (400, 400, 30, 0, 60, 60, 55, 1)[c]
+        b = rng.integers(0, TG.BINS, size) if c != 4 else np.full(size, 700)
+        y = (rng.random(size) < 0.4).astype(float) if c != 5 else np.zeros(size)
+        have, f = (rng.random(size) < 0.8).astype(float), rng.normal(0, 0.01, size)
+        each = [np.bincount(b, weights=v, minlength=TG.BINS) for v in (np.ones(size), y, have, f * have, f * f * have)]
+        mats.append(each)
+        rows += [(c, int(i), *[float(v[i]) for v in each]) for i in np.flatnonzero(each[0])]
+    bins = spark.createDataFrame(rows, "k int, bin int, n double, pos double, fn double, fsum double, fsq double")
+    want = {r.k: r for r in TG.bin_metrics(bins, ["k"]).collect()}
+    got = TG.measured(*[np.array([m[i] for m in mats]) for i in range(5)])
+    assert sorted(want) == [c for c in range(8) if got["n"][c] > 0] == [0, 1, 2, 4, 5, 6, 7]
+    for c, r in want.items():
+        for name in TG.METRICS:
+            w = getattr(r, name)
+            assert np.isclose(got[name][c], np.nan if w is None else w, atol=1e-12, equal_nan=True), (c, name)
+
+
+def test_entry_search_counts_short_tickers_without_bins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 420
+    parts = []
+    for t in "AB":
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+        parts.append(pd.DataFrame({"ticker": t, "ts": pd.date_range("2022-01-01", periods=n, freq="D"), "close": close, "x": rng.normal(size=n), "cost_floor_bps": 60.0, "stop_bps": 45.0, "round_trip_bps": 5.0}))
+    grid = TG.Grid(horizons=(6, 12), mults=(1.0,))
+    d = TG.labelled(spark.createDataFrame(pd.concat(parts)), grid, Layout(bucket=400 * 86400))
+    staged = []
+    monkeypatch.setattr(TG, "stage", lambda df, real=TG.stage: staged.append((df.columns, real(df))) or staged[-1][1])
+    found = lambda: sorted(TG.search_entry(d, ["x"], grid, bars_per_year=252.0).collect())
+    one = found()
+    assert [x.count() for c, x in staged if "bin" in c] == [0]
+    monkeypatch.setattr(TG.GR, "BLOCK", 100)
+    many = found()
+    assert len(one) == len(many) == 8
+    for a, b in zip(one, many):
+        assert a[:2] == b[:2] and np.allclose([float(v) for v in a[2:7] if not isinstance(v, str)], [float(v) for v in b[2:7] if not isinstance(v, str)], atol=2e-4)
