@@ -511,3 +511,32 @@ def test_signal_frame_works_each_score_once(spark, tmp_path):
     got = d.toPandas()
     assert len(got) == 60 and set(got["ticker"]) == {"S1", "S2"} and got["position_side"].isin([-1, 0, 1]).all()
     assert np.allclose(got["score"], np.clip(got["proba"] * 100, 0, 100))
+
+
+def test_long_frames_are_those_of_the_windows(spark):
+    from tapeloom.operators.blocks import block_frame, finish_blocks
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for t, n in (("A", 260), ("B", 9)):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+        close[5:9] = close[4]
+        for i, day in enumerate(pd.date_range("2023-01-01", periods=n, freq="D")):
+            gone = lambda v: None if rng.random() < 0.05 else float(v)
+            rows.append((t, day.to_pydatetime(), gone(close[i]), gone(close[i] * 1.01), gone(close[i] * 0.99), gone(rng.integers(0, 9)), gone(rng.normal()), t == "B"))
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, close double, high double, low double, volume double, vol_imbalance double, _mostly_flat boolean")
+    lay = Layout(bucket=20 * 86400, rows=130)
+    frame, w = block_frame(d, back=X.MACD_BACK, lay=lay)
+    got = {(r.ticker, r.ts): r for r in finish_blocks(X.long_frames(frame, w)).collect()}
+    want, w = block_frame(d, back=X.MACD_BACK, lay=lay)
+    want = X.macd_hist(want, w).repartition("ticker", "_blk")
+    for f in (X.returns, X.imbalance_stats, X.with_rsi, X.trend_efficiency, X.return_autocorrelation, X.range_z, X.vol_of_vol, X.distances):
+        want = f(want, w)
+    want = want.withColumn("vol_realized_12", X.rstd("ret_1", w, 12, 4)).withColumn("garch_cond_vol", F.col("vol_realized_12"))
+    want = want.withColumn("_med", X.rmedian("garch_cond_vol", w, 48, 12))
+    want = finish_blocks(want).collect()
+    assert len(want) == len(got) == len(rows)
+    for r in want:
+        for c in X.LONG_FRAMES:
+            a, b = r[c], got[r.ticker, r.ts][c]
+            assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=1e-12, atol=1e-12)), (r.ticker, r.ts, c, a, b)
