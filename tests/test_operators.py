@@ -540,3 +540,24 @@ def test_long_frames_are_those_of_the_windows(spark):
         for c in X.LONG_FRAMES:
             a, b = r[c], got[r.ticker, r.ts][c]
             assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=1e-12, atol=1e-12)), (r.ticker, r.ts, c, a, b)
+
+
+def test_barrier_targets_are_those_of_the_windows(spark):
+    from tapeloom.operators.blocks import block_frame, finish_blocks
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for t, n in (("A", 230), ("B", 7), ("C", 1)):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.006, n)))
+        rows += [(t, day.to_pydatetime(), None if t == "A" and rng.random() < 0.1 else float(c)) for day, c in zip(pd.date_range("2023-01-01", periods=n, freq="D"), close)]
+    d = spark.createDataFrame(rows, "ticker string, ts timestamp, close double")
+    names = ("fwd_ret", "label_long", "label_short", "label_direction", "target_tp_bps", "target_sl_bps")
+    frame, w = block_frame(d, ahead=12, lay=Layout(bucket=20 * 86400, rows=100))
+    found = finish_blocks(L.barrier_targets(frame, 12, 120.0, 110.0))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = {(r.ticker, r.ts): r for r in found.collect()}
+    want = L.excursion_targets(L.barrier_labels(frame, w, 12, 120.0, 110.0), w, 12).withColumn("fwd_ret", L.forward_return(w, 12))
+    want = finish_blocks(want).collect()
+    assert len(want) == len(got) == len(rows)
+    for r in want:
+        assert all(r[c] == got[r.ticker, r.ts][c] for c in names), r
